@@ -182,7 +182,7 @@ class Segmenter:
             raise ValueError("dropout is in [0, 1), variants at least 1")
         self.model, self.seed = pieces(path), seed
         self.bound, self.variants = int(dropout * (1 << 53)), variants if dropout else 1
-        self.table = PretokenTable()
+        self.table = PretokenTable(400_000)
         self._empty()
 
     def _empty(self):

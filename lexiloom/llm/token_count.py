@@ -129,7 +129,7 @@ class Counter:
     """Counts per text, with the counts of distinct pre-tokens kept between batches."""
 
     def __init__(self, path: str):
-        self.path, self.table, self.counts = path, PretokenTable(), np.zeros(0, np.int64)
+        self.path, self.table, self.counts = path, PretokenTable(400_000), np.zeros(0, np.int64)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         flat, lengths, new, anew = self.table.number([split(t, self.path) for t in texts])

@@ -119,7 +119,7 @@ def write_orc(encoded: DataFrame, path: str) -> None:
         .option("orc.row.index.stride", str(ROW_INDEX))
         .option("orc.stripe.size", str(STRIPE_BYTES))
         .option("orc.write.format", "0.12")
-        .option("orc.compress", "ZSTD")
+        .option("orc.compress", "SNAPPY")
         .orc(path)
     )
 
