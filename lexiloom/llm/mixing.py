@@ -38,7 +38,7 @@ BUDGET = 1.5
 CAP = 2
 SEED = "mix-1"
 #: Rows that one (source, bucket) window is meant to hold.
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 500
 DIGITS = 9
 
 
