@@ -80,7 +80,7 @@ def split(text: str, path: str) -> list[str]:
 class PretokenTable:
     """Numbers distinct pre-tokens; emptied once it holds ``most`` of them, so memory is bounded."""
 
-    def __init__(self, most: int = 1_200_000):
+    def __init__(self, most: int = 600_000):
         self.most, self.index = most, defaultdict()
         self.index.default_factory = self.index.__len__
 

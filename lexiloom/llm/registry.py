@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import exact_dedup, html_blocks, language_id, media, mixing, piece_dropout, secret_scan, token_count, token_orc
+from lexiloom.llm import exact_dedup, html_blocks, language_id, media, mixing, near_dedup, piece_dropout, secret_scan, token_count, token_orc
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.query,
+        "op2_near_dedup": near_dedup.query,
         "op3_matroska": media.query,
         "op4_token_orc": token_orc.query,
         "op5_exact_dedup": exact_dedup.query,
