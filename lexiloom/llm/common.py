@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of the contracts: ``[\x20\x09-\x0D]``.
@@ -22,8 +26,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        package = Path(__file__).resolve().parents[1]
+        at = tempfile.mkdtemp(prefix="lexiloom-")  # the driver serves it to executors while it runs
+        atexit.register(shutil.rmtree, at, True)
+        with zipfile.ZipFile(f"{at}/lexiloom-package.zip", "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        spark.sparkContext.addPyFile(f"{at}/lexiloom-package.zip")
+
+
 def python_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch can hold, unless the session already set a bound."""
+    """Before Python runs on executors: ship the package, and bound what one Arrow batch can hold unless the session did."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) in (0, -1, 10000):
         spark.conf.set(key, str(ROWS_PER_BATCH))
@@ -82,3 +104,20 @@ def map_batches(df: DataFrame, body, schema: str) -> DataFrame:
                 )
 
     return df.mapInArrow(run, schema)
+
+
+def row_id() -> Column:
+    """doc_id as text, null as an empty string: an equi-join key that is never null."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, mark: Column) -> DataFrame:
+    """Rows of ``docs``, columns unchanged, whose (doc_id, mark) is in ``kept`` (id, mark); one row of each.
+
+    The semi-join and the choice among tied rows share one shuffle.
+    """
+    marked = docs.withColumn("__lx_id", row_id()).withColumn("__lx_mark", mark)
+    held = kept.select(F.col("id").alias("__lx_id"), F.col("mark").alias("__lx_mark"))
+    first = Window.partitionBy("__lx_id", "__lx_mark").orderBy(*(tie_order(docs, ("text",)) or [F.lit(0)]))
+    found = marked.join(held, ["__lx_id", "__lx_mark"], "left_semi").withColumn("__lx_n", F.row_number().over(first))
+    return found.where("__lx_n = 1").select([F.col(f"`{c}`") for c in docs.columns])

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import SPACE, materialize, table, text_or_empty
+from lexiloom.llm.common import SPACE, keep_rows, materialize, python_batches, row_id, table, text_or_empty
 from lexiloom.llm.perfect_hash import PerfectHash, matrix
 
 #: Distinct digests that one shard is meant to hold.
@@ -115,6 +115,7 @@ def exact_groups(docs: DataFrame, cut: int | None = None) -> DataFrame:
     cut = cut if cut is not None else (span["a"] + span["b"]) // 2 if span["a"] is not None else 0
     old = F.coalesce(F.col("doc_id") <= F.lit(cut), F.lit(False))
     past = _groups(rows.where(old))
+    python_batches(docs.sparkSession)
     shards = max(1, -(-rows.count() // DIGESTS_PER_SHARD))
     slots = build_history(past, shards)
     groups = probe(slots, _groups(rows.where(~old)), shards)
@@ -125,6 +126,12 @@ def exact_groups(docs: DataFrame, cut: int | None = None) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all columns) without exact duplicates: the winner of each group stays."""
+    kept = exact_groups(docs).where("kept").select(row_id().alias("id"), F.col("digest").alias("mark"))
+    return keep_rows(docs, kept, digest_of())
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     out = exact_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))

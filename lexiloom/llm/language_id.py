@@ -19,10 +19,12 @@ columns besides doc_id, text and lang are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from lexiloom.llm.common import map_batches, table
+from lexiloom.llm.common import map_batches, python_batches, table
 
 WINDOW = 256
 EMBED = 8
@@ -209,5 +211,21 @@ def language_id(docs: DataFrame, net: ByteNet | None = None) -> DataFrame:
     return map_batches(rows, body, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def known_language(docs: DataFrame, net: ByteNet | None = None, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose language is known: not ``und``, and scored ``min_score`` or more."""
+    net = net or train(docs)
+    python_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            langs, scores = classify(batch.column("__lx_text").to_pylist(), net)
+            keep = pa.array([lang != UND and score >= min_score for lang, score in zip(langs, scores)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], keep], [*batch.schema.names[:-1], "__lx_keep"])
+
+    schema = StructType([*docs.schema.fields, StructField("__lx_keep", BooleanType())])
+    found = docs.withColumn("__lx_text", F.col("text").cast("string")).mapInArrow(run, schema)
+    return found.where("__lx_keep").select([F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))

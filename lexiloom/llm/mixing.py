@@ -53,7 +53,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, ramps=RAMPS, budget: float
 
     The share is water filling: with sources ordered by cap / weight, the level
     is the first ``(budget - caps before) / (weights from here)`` that the
-    source's own cap does not undercut; ``target = least(cap, level * weight)``.
+    source's own cap does not undercut, which is also the largest such one;
+    ``target = least(cap, level * weight)``.
     ``sizes`` has one row per source, a dimension table.
     """
     order = Window.orderBy(F.col("__source").asc_nulls_last())
@@ -72,7 +73,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, ramps=RAMPS, budget: float
     return (
         caps.withColumn("__level", level)
         .withColumn("__open", F.when(F.col("__level") * F.col("__w") <= F.col("__cap"), F.col("__level")))
-        .withColumn("__fill", F.min("__open").over(every))
+        .withColumn("__fill", F.max("__open").over(every))
         .select(
             "__source", "source_size", "ramp",
             F.least(F.col("__cap"), F.coalesce(F.col("__fill") * F.col("__w"), F.col("__cap"))).alias("target"),
@@ -92,16 +93,13 @@ def buckets_for(rows: int, per_bucket: int = ROWS_PER_BUCKET) -> int:
     return max(1, min(65536, -(-rows // per_bucket)))
 
 
-def mix(docs: DataFrame, *, weights=WEIGHTS, ramps=RAMPS, budget: float = BUDGET, cap: int = CAP, seed: str = SEED, sort: bool = True) -> DataFrame:
-    """Per row: doc_id, size, source_size, target, taken, first_position, last_position.
-
-    ``first_position`` is the training position of the row's first taken word
-    stream, ``last_position`` that of its last pass (null when nothing is taken).
-    """
+def placed(docs: DataFrame, *, weights=WEIGHTS, ramps=RAMPS, budget: float = BUDGET, cap: int = CAP, seed: str = SEED, carry: bool = False) -> DataFrame:
+    """Per row: doc_id, size, source_size, target, ramp, taken, __at (words before it), __turns; with ``carry`` __row, all its columns."""
     n_buckets = buckets_for(docs.count())
     sized = docs.select(
         F.col("doc_id"), F.col("source").cast("string").alias("__source"), words_of(F.col("text").cast("string")).alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("__key"),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")] if carry else []),
     ).withColumn("__bucket", F.floor(F.conv(F.substring("__key", 1, 4), 16, 10).cast("long") * n_buckets / 65536))
     cells = sized.groupBy("__source", "__bucket").agg(F.sum("size").alias("__cell"))
     targets = source_targets(cells.groupBy("__source").agg(F.sum("__cell").alias("source_size")), weights, ramps, budget, cap)
@@ -109,27 +107,54 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, ramps=RAMPS, budget: float = BUDGET
     starts = cells.withColumn("__start", F.coalesce(F.sum("__cell").over(ahead), F.lit(0))).drop("__cell")
     same = starts.alias("c").join(targets.alias("t"), F.expr("c.__source <=> t.__source")).select("c.*", "t.source_size", "t.target", "t.ramp")
     inside = Window.partitionBy("__source", "__bucket").orderBy("__key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
+    found = (
         sized.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .alias("d")
         .join(same.alias("c"), F.expr("d.__source <=> c.__source AND d.__bucket = c.__bucket"))
-        .select("d.doc_id", "d.size", "c.source_size", "c.target", "c.ramp", (F.col("__start") + F.col("__in")).alias("__at"))
+        .select("d.doc_id", "d.size", "c.source_size", "c.target", "c.ramp", (F.col("__start") + F.col("__in")).alias("__at"), *(["d.__row"] if carry else []))
     )
     goal = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.expr("CAST(round(target) AS BIGINT) DIV source_size")).otherwise(F.lit(0))
-    out = (
-        placed.withColumn("__passes", passes)
+    return (
+        found.withColumn("__passes", passes)
         .withColumn("__rest", goal - F.col("__passes") * F.col("source_size"))
         .withColumn("__last", F.least(F.col("size"), F.greatest(F.col("__rest") - F.col("__at"), F.lit(0))))
         .withColumn("taken", (F.col("__passes") * F.col("size") + F.col("__last")).cast("long"))
         .withColumn("__turns", F.col("__passes") + (F.col("__last") > 0).cast("long"))
-        .withColumn("first_position", F.when(F.col("taken") > 0, position(F.col("__at"), F.col("target"), F.col("ramp"))))
-        .withColumn("last_position", F.when(F.col("taken") > 0, position(F.col("__at") + (F.col("__turns") - 1) * F.col("source_size"), F.col("target"), F.col("ramp"))))
-        .select("doc_id", "size", "source_size", "target", "taken", "first_position", "last_position")
+        .drop("__passes", "__rest", "__last")
     )
+
+
+def turn_position(turn: Column) -> Column:
+    """Training position of a row's pass ``turn`` (from 0)."""
+    return position(F.col("__at") + turn * F.col("source_size"), F.col("target"), F.col("ramp"))
+
+
+def mix(docs: DataFrame, *, sort: bool = True, **how) -> DataFrame:
+    """Per row: doc_id, size, source_size, target, taken, first_position, last_position.
+
+    The positions are those of the first and the last pass that takes words of the
+    row (null when nothing is taken).
+    """
+    used = F.col("taken") > 0
+    out = placed(docs, **how).select(
+        "doc_id", "size", "source_size", "target", "taken",
+        F.when(used, turn_position(F.lit(0))).alias("first_position"),
+        F.when(used, turn_position(F.col("__turns") - 1)).alias("last_position"),
+    )
     return out.orderBy(F.col("first_position").asc_nulls_last(), "doc_id") if sort else out
 
 
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: rows of ``docs`` (all columns), once for each pass that takes any of their words, sorted by position.
+
+    Rows are whole: the one row a source at most that a last pass ends in is not cut.
+    """
+    turns = placed(docs, carry=True, **how).where("taken > 0").withColumn("__turn", F.explode(F.expr("sequence(0L, __turns - 1)")))
+    rows = turns.select(turn_position(F.col("__turn")).alias("__position"), "doc_id", "__row").orderBy("__position", "doc_id")
+    return rows.select([F.col("__row").getField(c).alias(c) for c in docs.columns])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -151,7 +176,7 @@ WITH d AS (
           / sum(w) OVER (ORDER BY cap / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM w
 ), t AS (
   SELECT source, source_size, ramp,
-         least(cap, coalesce(min(CASE WHEN lv * w <= cap THEN lv END) OVER () * w, cap)) AS target FROM l
+         least(cap, coalesce(max(CASE WHEN lv * w <= cap THEN lv END) OVER () * w, cap)) AS target FROM l
 ), p AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.ramp,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY k, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a,
@@ -162,7 +187,7 @@ WITH d AS (
 ), z AS (SELECT *, CASE WHEN target > 0 THEN least(greatest(a / target, 0), 1) END AS q1,
                 CASE WHEN target > 0 THEN least(greatest((a + (turns - 1) * source_size) / target, 0), 1) END AS q2 FROM q)
 SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
-  CASE WHEN taken > 0 THEN round(CASE WHEN ramp = 0 THEN q1 ELSE (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * q1) - (1 - ramp)) / (2 * ramp) END, 9) END AS first_position,
-  CASE WHEN taken > 0 THEN round(CASE WHEN ramp = 0 THEN q2 ELSE (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * q2) - (1 - ramp)) / (2 * ramp) END, 9) END AS last_position
+  CASE WHEN taken > 0 THEN 0.0::DOUBLE + round(CASE WHEN ramp = 0 THEN q1 ELSE (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * q1) - (1 - ramp)) / (2 * ramp) END, 9) END AS first_position,
+  CASE WHEN taken > 0 THEN 0.0::DOUBLE + round(CASE WHEN ramp = 0 THEN q2 ELSE (sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * q2) - (1 - ramp)) / (2 * ramp) END, 9) END AS last_position
 FROM z
 """

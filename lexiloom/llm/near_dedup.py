@@ -23,8 +23,8 @@ probability that a pair at the threshold shares no band.
 
 Defined results: null text counts as empty; texts without words have an empty set,
 link with nothing and are kept; a component's id is its smallest non-null doc_id
-(null when it has none); rows that repeat the winning doc_id are all ``kept`` (the
-pipeline stage keeps one of them); an empty table gives no rows; columns besides
+(null when it has none); rows that repeat the winning doc_id are all ``kept``
+(``one_of_each`` keeps one of them); an empty table gives no rows; columns besides
 doc_id and text are ignored.
 """
 
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import map_batches, materialize, python_batches, shuffle_width, table
+from lexiloom.llm.common import keep_rows, map_batches, materialize, python_batches, row_id, shuffle_width, table
 from lexiloom.llm.components import components
 from lexiloom.llm.shingles import _C2, _PLACES, MinHasher, mix, shingle_sets
 
@@ -119,10 +119,10 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
             minima = band_hash(s).reshape(bands, rows).astype(np.uint64) * _PLACES[:rows]
             band_keys.append(mix(np.add.reduce(minima, axis=1) + np.arange(1, bands + 1, dtype=np.uint64) * _C2).view(np.int64))
             signs.append(signer(s).astype(np.uint8).tobytes())
-        return {"doc_id": cols["doc_id"], "key": keys, "n_shingles": list(map(len, sets)), "bands": band_keys, "signature": signs}
+        return {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "key": keys, "n_shingles": list(map(len, sets)), "bands": band_keys, "signature": signs}
 
-    rows_ = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
-    return map_batches(rows_, body, "doc_id long, key binary, n_shingles long, bands array<long>, signature binary")
+    rows_ = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "xxhash64(CAST(text AS STRING)) AS text_hash", "CAST(text AS STRING) AS text")
+    return map_batches(rows_, body, "doc_id long, text_hash long, key binary, n_shingles long, bands array<long>, signature binary")
 
 
 def by_group(batches, keys: int):
@@ -257,8 +257,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), body, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept."""
+def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Per row: doc_id, text_hash, n_shingles, component_id, and group (null for rows without words, which stand alone)."""
     rows = materialize(sketches(docs, k, percent), "sketches")
     nodes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written, so ids are fixed
@@ -282,11 +282,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     linked = nodes.join(roots, "node").select("key", "doc", "root")
     named = linked.groupBy("root").agg(F.min("doc").alias("least"))
-    named = linked.join(named, "root").select("key", F.col("least").alias("linked_id"))
-    per_key = nodes.select("key", "doc").join(named, "key", "left").select("key", F.coalesce("linked_id", "doc").alias("set_id"))
-    out = rows.select("doc_id", "key", "n_shingles").join(per_key, "key", "left")
+    named = linked.join(named, "root").select("key", F.col("least").alias("linked_id"), F.concat(F.lit("n"), F.col("root")).alias("linked"))
+    per_key = nodes.select("key", "doc").join(named, "key", "left")
+    per_key = per_key.select("key", F.coalesce("linked_id", "doc").alias("set_id"), F.coalesce("linked", F.concat(F.lit("k"), F.hex("key"))).alias("group"))
+    out = rows.select("doc_id", "text_hash", "key", "n_shingles").join(per_key, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("set_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.expr("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), "group")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept."""
+    return groups(docs, k, percent).select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (all columns) without near duplicates: of each group the smallest (doc_id, text hash) stays.
+
+    Null doc_ids come last; of rows that are equal in both one stays.
+    """
+    found = groups(docs, k, percent).select("group", row_id().alias("id"), F.col("doc_id"), "text_hash")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash", "id")
+    winners = found.where("group IS NOT NULL").groupBy("group").agg(F.min(order).alias("w")).select(F.col("w.id").alias("id"), F.col("w.text_hash").alias("text_hash"))
+    kept = winners.union(found.where("group IS NULL").select("id", "text_hash").distinct())
+    return keep_rows(docs, kept.select("id", F.col("text_hash").alias("mark")), F.xxhash64(F.col("text").cast("string")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
