@@ -1,7 +1,7 @@
 """Operator 8: SentencePiece BPE encoding with seeded merge-dropout, and decoding.
 
-Texts are cut into words (spaces stand before a word; no piece of a model that
-splits on white space goes on behind one), and each word is segmented by an
+Texts are cut into words where no piece of the model can cross (spaces stand before
+a word, and Latin letters end at other characters where the vocabulary says so), and each word is segmented by an
 agenda of candidate merges: the best-scored pair, the leftmost on ties, is taken
 out; a keyed hash of (seed, variant, word, place, merged piece) decides whether it
 is skipped for good or applied, which puts the new neighbours' pairs on the
@@ -41,6 +41,11 @@ VARIANTS = 4
 #: Words of more characters than this use the heap.
 LONG = 48
 WORDS = re.compile(" *[^ ]+| +")
+#: Finer words for models none of whose pieces joins a Latin letter to anything but
+#: letters and a space before them.
+_L = "A-Za-zÀ-ÖØ-öø-\u024f"
+FINE_WORDS = re.compile(f" *[{_L}]+| *[^ {_L}]+| +")
+MIXED = re.compile(f"[{_L}][^{_L}]|[^ {_L}][{_L}]")
 _M = 0xFFFFFFFFFFFFFFFF
 _C1, _C2, _C3 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15
 NEVER = np.int64(1 << 40)
@@ -70,6 +75,7 @@ class Pieces:
             if len(p) == 1:
                 self.char[ord(p)] = i
             pairs += [(ids[p[:k]] << 32 | ids[p[k:]], i, rank[i]) for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
+        self.words = WORDS if any(map(MIXED.search, ids)) else FINE_WORDS
         pairs.sort()
         self.keys, self.made, self.rank = (np.array(c, np.int64) for c in zip(*pairs))
         self.byte = np.zeros(256, np.int64)
@@ -187,16 +193,20 @@ class Segmenter:
 
     def _empty(self):
         self.words: list[str] = []
+        self.hashes = np.zeros(0, np.uint64)
         self.begin, self.size = np.full(0, -1, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int64)
 
-    def _key(self, word: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), (self.seed * 1_000_003 + variant) & _M)
+    def _hashes(self, words: list[str]) -> np.ndarray:
+        seed = self.seed & _M
+        return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words), np.uint64, len(words))
 
     def _work(self, combos: np.ndarray) -> None:
         """Segment (word number * variants + variant) values that are new."""
-        chosen = [self.words[c // self.variants] for c in combos.tolist()]
-        keys = np.array([self._key(w, c % self.variants) for w, c in zip(chosen, combos.tolist())], np.uint64)
+        number, variant = np.divmod(combos, self.variants)
+        chosen = list(map(self.words.__getitem__, number.tolist()))
+        with np.errstate(over="ignore"):
+            keys = _mix(self.hashes[number] + variant.astype(np.uint64) * np.uint64(_C3))
         lengths = np.fromiter(map(len, chosen), np.int64, len(chosen))
         points = np.frombuffer("".join(chosen).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sym = self.model.char[points]
@@ -236,10 +246,11 @@ class Segmenter:
 
     def __call__(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and each text's number of ids."""
-        flat, lengths, new, anew = self.table.number([WORDS.findall(" " + t) if t else [] for t in texts])
+        flat, lengths, new, anew = self.table.number([self.model.words.findall(" " + t) if t else [] for t in texts])
         if anew:
             self._empty()
         self.words += new
+        self.hashes = np.concatenate([self.hashes, self._hashes(new)])
         grown = np.full(len(new) * self.variants, -1, np.int64)
         self.begin, self.size = np.concatenate([self.begin, grown]), np.concatenate([self.size, np.zeros(len(grown), np.int64)])
         if self.variants > 1:
