@@ -15,8 +15,9 @@ blocks of ``BLOCK`` nodes (each with the bucket's first node), in which every no
 offers its best surviving partner; the best one over all bands is verified, and the
 links found give components. What is left are buckets that hold several
 components: there, nodes outside the bucket's largest component meet all its nodes,
-block by block, and only pairs across components survive to be verified. So no
-candidate is lost, and no pair within a component is looked at again.
+block by block, twice: first each offers its best partner in another component,
+then, with the components so far, all survivors across components are verified. So
+no candidate is lost, and no pair within a component is looked at again.
 
 The number of bands and rows follows from the threshold and ``MISS_BANDS``, the
 probability that a pair at the threshold shares no band.
@@ -196,9 +197,10 @@ def best_partners(members: DataFrame, percent: int) -> DataFrame:
     return best.select((-F.col("best.a")).alias("a"), "b")
 
 
-def across_components(members: DataFrame, percent: int) -> DataFrame:
+def across_components(members: DataFrame, percent: int, best: bool) -> DataFrame:
     """Surviving candidates (a < b) between different components of a bucket.
 
+    With ``best`` only the best one of each node outside its bucket's largest component.
     ``members``: (band, node, root, size, signature), only of buckets with several roots.
     """
     python_batches(members.sparkSession)
@@ -217,12 +219,17 @@ def across_components(members: DataFrame, percent: int) -> DataFrame:
             return node[:0], node[:0], node[:0]
         x = _signatures(sign)
         i, j, m = surviving(x[u], x[v], (size[u], size[v]), root[u][:, None] != root[v][None], percent)
-        a, b = node[u[i]], node[v[j]]
-        return np.minimum(a, b), np.maximum(a, b), m
+        if best and len(i):
+            order = np.lexsort((node[v[j]], -m, i))
+            first = order[np.concatenate([[True], i[order][1:] != i[order][:-1]])]
+            i, j, m = i[first], j[first], m[first]
+        return node[u[i]], node[v[j]], m
 
     dealt = mine.union(every).repartition(shuffle_width(members), "band", "x", "y").sortWithinPartitions("band", "x", "y", "minor", "node")
     found = dealt.mapInArrow(lambda it: _pairs_of(by_group(it, 3), work), "a long, b long, matches long")
-    return found.select("a", "b").distinct()
+    if best:
+        found = found.groupBy("a").agg(F.max(F.struct("matches", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -269,15 +276,16 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     signed = materialize(wanted.select("node", "key", "doc", "size", "signature"), "signed")
     sets = materialize(full_sets(docs, signed.select("node", "key", "doc"), k), "sets")
 
-    first = materialize(best_partners(members.join(signed.select("node", "size", "signature"), "node"), percent), "first")
-    links = materialize(verified(first, sets, percent), "verified")
-    roots = components(links)
-    rooted = members.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    several = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-    left = materialize(rooted.join(several, "band", "left_semi"), "left")
-    more = across_components(left.join(signed.select("node", "size", "signature"), "node"), percent)
-    more = materialize(more.join(first, ["a", "b"], "left_anti"), "second")
-    links = links.union(verified(more, sets, percent))
+    signs = signed.select("node", "size", "signature")
+    tested = materialize(best_partners(members.join(signs, "node"), percent), "tested")
+    links = materialize(verified(tested, sets, percent), "verified")
+    for best in (True, False):
+        rooted = members.select("band", "node").join(components(links), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        several = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
+        left = materialize(rooted.join(several, "band", "left_semi"), "left")
+        more = materialize(across_components(left.join(signs, "node"), percent, best).join(tested, ["a", "b"], "left_anti"), "tested")
+        tested = tested.union(more)
+        links = links.union(materialize(verified(more, sets, percent), "verified"))
     roots = components(links)
 
     linked = nodes.join(roots, "node").select("key", "doc", "root")
