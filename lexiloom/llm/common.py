@@ -71,6 +71,24 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one computation, deleted together once its result is written."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.top, self.n = spark, shared_dir(spark, what), 0
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.top}/{self.n:03d}-{what}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.top)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_width(df: DataFrame) -> int:
     """Tasks after a shuffle, as the session sets them."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import materialize
+from lexiloom.llm.common import Scratch
 
 
 def _large(links: DataFrame) -> DataFrame:
@@ -26,17 +26,17 @@ def _small(links: DataFrame) -> DataFrame:
     return near.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of every node that has a link; ``links`` has columns a and b (self-links are left out).
 
     The root is the smallest node of the component. An empty table gives no rows.
     """
     now = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, seen = materialize(now, "links"), None
+    now, seen = scratch.keep(now, "links"), None
     while True:
         n = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if n[0] == 0 or (n[0], n[1]) == seen:
             break
         seen = (n[0], n[1])
-        now = materialize(_small(_large(now)), "links")
+        now = scratch.keep(_small(_large(now)), "links")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

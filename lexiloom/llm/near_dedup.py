@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import keep_rows, map_batches, materialize, python_batches, row_id, shuffle_width, table
+from lexiloom.llm.common import Scratch, keep_rows, map_batches, materialize, python_batches, row_id, shuffle_width, table
 from lexiloom.llm.components import components
 from lexiloom.llm.shingles import _C2, _PLACES, MinHasher, mix, shingle_sets
 
@@ -266,27 +266,28 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, text_hash, n_shingles, component_id, and group (null for rows without words, which stand alone)."""
-    rows = materialize(sketches(docs, k, percent), "sketches")
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = scratch.keep(sketches(docs, k, percent), "sketches")
     nodes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written, so ids are fixed
+    nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written, so ids are fixed
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n_members")).where("n_members > 1")
-    members = materialize(banded.join(shared, "band").select("band", "node", "first", "n_members"), "members")
+    members = scratch.keep(banded.join(shared, "band").select("band", "node", "first", "n_members"), "members")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    signed = materialize(wanted.select("node", "key", "doc", "size", "signature"), "signed")
-    sets = materialize(full_sets(docs, signed.select("node", "key", "doc"), k), "sets")
+    signed = scratch.keep(wanted.select("node", "key", "doc", "size", "signature"), "signed")
+    sets = scratch.keep(full_sets(docs, signed.select("node", "key", "doc"), k), "sets")
 
     signs = signed.select("node", "size", "signature")
-    tested = materialize(best_partners(members.join(signs, "node"), percent), "tested")
-    links = materialize(verified(tested, sets, percent), "verified")
+    tested = scratch.keep(best_partners(members.join(signs, "node"), percent), "tested")
+    links = scratch.keep(verified(tested, sets, percent), "verified")
     for best in (True, False):
-        rooted = members.select("band", "node").join(components(links), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+        rooted = members.select("band", "node").join(components(links, scratch), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
         several = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-        left = materialize(rooted.join(several, "band", "left_semi"), "left")
-        more = materialize(across_components(left.join(signs, "node"), percent, best).join(tested, ["a", "b"], "left_anti"), "tested")
+        left = scratch.keep(rooted.join(several, "band", "left_semi"), "left")
+        more = scratch.keep(across_components(left.join(signs, "node"), percent, best).join(tested, ["a", "b"], "left_anti"), "tested")
         tested = tested.union(more)
-        links = links.union(materialize(verified(more, sets, percent), "verified"))
-    roots = components(links)
+        links = links.union(scratch.keep(verified(more, sets, percent), "verified"))
+    roots = components(links, scratch)
 
     linked = nodes.join(roots, "node").select("key", "doc", "root")
     named = linked.groupBy("root").agg(F.min("doc").alias("least"))
@@ -295,7 +296,9 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     per_key = per_key.select("key", F.coalesce("linked_id", "doc").alias("set_id"), F.coalesce("linked", F.concat(F.lit("k"), F.hex("key"))).alias("group"))
     out = rows.select("doc_id", "text_hash", "key", "n_shingles").join(per_key, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("set_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), "group")
+    result = materialize(out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), "group"), "groups")
+    scratch.clear()
+    return result
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
