@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -104,6 +106,13 @@ def tie_order(df: DataFrame, skip: tuple[str, ...] = ()) -> list[Column]:
     return [F.col(f"`{c}`") for c, kind in df.dtypes if c not in skip and kind in simple]
 
 
+def release() -> None:
+    """Give memory that a finished Python task no longer uses back to the system; idle workers stay alive."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(df: DataFrame, body, schema: str) -> DataFrame:
     """``mapInArrow`` of ``body(dict of Python lists) -> dict of lists/arrays`` per batch."""
     from pyspark.sql.types import StructType
@@ -120,6 +129,7 @@ def map_batches(df: DataFrame, body, schema: str) -> DataFrame:
                     [x if isinstance(x, pa.Array) and x.type == f.type else pa.array(x, f.type) for x, f in zip((out[n] for n in arrow.names), arrow)],
                     schema=arrow,
                 )
+        release()
 
     return df.mapInArrow(run, schema)
 

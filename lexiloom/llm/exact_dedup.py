@@ -20,7 +20,7 @@ besides doc_id and text are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +29,7 @@ from lexiloom.llm.perfect_hash import PerfectHash, matrix
 
 #: Distinct digests that one shard is meant to hold.
 DIGESTS_PER_SHARD = 20_000
+SLOTS = pa.schema([("shard", pa.int32()), ("mph", pa.binary()), ("digests", pa.binary()), ("winners", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
 
 
 def digest_of(column: str = "text"):
@@ -50,52 +51,46 @@ def build_history(groups: DataFrame, shards: int) -> DataFrame:
     ``groups`` has distinct (digest, winner, size); a null winner is kept as null.
     """
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        digests = matrix(pdf["digest"])
+    def build(t: pa.Table) -> pa.Table:
+        digests = matrix(t["digest"].to_pylist())
         mph = PerfectHash.build(digests)
         order = np.empty(len(digests), np.int64)
         order[mph.slots(digests)] = np.arange(len(digests))
-        winners = [x if isinstance(x, str) else None for x in pdf["winner"].iloc[order]]
-        return pd.DataFrame([{"shard": int(pdf["shard"].iloc[0]), "mph": mph.to_bytes(), "digests": digests[order].tobytes(), "winners": winners, "sizes": [int(x) for x in pdf["size"].iloc[order]]}])
+        row = {"shard": t["shard"][0].as_py(), "mph": mph.to_bytes(), "digests": digests[order].tobytes(), "winners": t["winner"].take(order).to_pylist(), "sizes": t["size"].take(order).to_pylist()}
+        return pa.Table.from_pylist([row], SLOTS)
 
-    rows = groups.withColumn("shard", _shard(shards)).withColumn("winner", F.col("winner").cast("string"))
-    built = rows.groupBy("shard").applyInPandas(build, "shard int, mph binary, digests binary, winners array<string>, sizes array<long>")
+    rows = groups.select(_shard(shards).alias("shard"), "digest", "winner", "size")
+    built = rows.groupBy("shard").applyInArrow(build, "shard int, mph binary, digests binary, winners array<long>, sizes array<long>")
     return materialize(built, "history")
 
 
 def probe(history: DataFrame, groups: DataFrame, shards: int) -> DataFrame:
     """Rows (digest, keep_id, group_size, member): history updated by ``groups``, and its nonmembers."""
-    schema = "digest binary, keep_id string, group_size long, member boolean"
-
-    def look(key, slots: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        if len(slots):
-            row = slots.iloc[0]
-            held = np.frombuffer(row["digests"], np.uint8).reshape(-1, 32)
-            sizes, winners = np.array(row["sizes"], np.int64), list(row["winners"])
-        else:
-            held, sizes, winners = np.zeros((0, 32), np.uint8), np.zeros(0, np.int64), []
-        fresh = np.ones(len(new), bool)
-        if len(new) and len(held):
-            asked = matrix(new["digest"])
-            slot = PerfectHash.from_bytes(row["mph"]).slots(asked)
+
+    def look(slots: pa.Table, new: pa.Table) -> pa.Table:
+        held, sizes, winners, mph = np.zeros((0, 32), np.uint8), np.zeros(0, np.int64), [], None
+        if slots.num_rows:
+            row = slots.to_pylist()[0]
+            held, mph = np.frombuffer(row["digests"], np.uint8).reshape(-1, 32), PerfectHash.from_bytes(row["mph"])
+            sizes, winners = np.array(row["sizes"], np.int64), row["winners"]
+        fresh = np.ones(new.num_rows, bool)
+        if new.num_rows and len(held):
+            asked, ids = matrix(new["digest"].to_pylist()), new["winner"]
+            slot = mph.slots(asked)
             hit = np.flatnonzero(slot >= 0)
             hit = hit[(held[slot[hit]] == asked[hit]).all(axis=1)]
             fresh[hit] = False
-            sizes[slot[hit]] += new["size"].to_numpy(np.int64)[hit]
-            for i in hit:  # a history group without any doc_id takes the first real one
+            sizes[slot[hit]] += new["size"].to_numpy()[hit]
+            for i in hit.tolist():  # a history group without any doc_id takes the first real one
                 if winners[slot[i]] is None:
-                    winners[slot[i]] = new["winner"].iloc[i]
-        alone = new[fresh]
-        return pd.DataFrame({
-            "digest": [x.tobytes() for x in held] + list(alone["digest"]),
-            "keep_id": winners + [x if isinstance(x, str) else None for x in alone["winner"]],
-            "group_size": [*sizes, *alone["size"]],
-            "member": [True] * len(held) + [False] * len(alone),
-        })
-
-    asked = groups.withColumn("shard", _shard(shards)).withColumn("winner", F.col("winner").cast("string"))
-    found = history.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(look, schema)
-    return found.withColumn("keep_id", F.col("keep_id").cast("long"))
+                    winners[slot[i]] = ids[i].as_py()
+        alone = new.filter(pa.array(fresh))
+        member = pa.array(np.arange(len(held) + alone.num_rows) < len(held))
+        columns = [[x.tobytes() for x in held] + alone["digest"].to_pylist(), winners + alone["winner"].to_pylist(), sizes.tolist() + alone["size"].to_pylist()]
+        return pa.Table.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), member], ["digest", "keep_id", "group_size", "member"])
+
+    asked = groups.select(_shard(shards).alias("shard"), "digest", "winner", "size")
+    return history.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(look, "digest binary, keep_id long, group_size long, member boolean")
 
 
 def digests(docs: DataFrame) -> DataFrame:

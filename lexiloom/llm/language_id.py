@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from lexiloom.llm.common import map_batches, python_batches, table
+from lexiloom.llm.common import map_batches, python_batches, release, table
 
 WINDOW = 256
 EMBED = 8
@@ -221,6 +221,7 @@ def known_language(docs: DataFrame, net: ByteNet | None = None, min_score: float
             langs, scores = classify(batch.column("__lx_text").to_pylist(), net)
             keep = pa.array([lang != UND and score >= min_score for lang, score in zip(langs, scores)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], keep], [*batch.schema.names[:-1], "__lx_keep"])
+        release()
 
     schema = StructType([*docs.schema.fields, StructField("__lx_keep", BooleanType())])
     found = docs.withColumn("__lx_text", F.col("text").cast("string")).mapInArrow(run, schema)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import Scratch, keep_rows, map_batches, materialize, python_batches, row_id, shuffle_width, table
+from lexiloom.llm.common import Scratch, keep_rows, map_batches, materialize, python_batches, release, row_id, shuffle_width, table
 from lexiloom.llm.components import components
 from lexiloom.llm.shingles import _C2, _PLACES, MinHasher, mix, shingle_sets
 
@@ -170,6 +170,7 @@ def _pairs_of(batches, work):
             got, size = [], 0
     if got:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got)], ["a", "b", "matches"])
+    release()
 
 
 def best_partners(members: DataFrame, percent: int) -> DataFrame:

@@ -188,14 +188,14 @@ class Segmenter:
             raise ValueError("dropout is in [0, 1), variants at least 1")
         self.model, self.seed = pieces(path), seed
         self.bound, self.variants = int(dropout * (1 << 53)), variants if dropout else 1
-        self.table = PretokenTable(400_000)
+        self.table = PretokenTable(250_000)
         self._empty()
 
     def _empty(self):
         self.words: list[str] = []
         self.hashes = np.zeros(0, np.uint64)
-        self.begin, self.size = np.full(0, -1, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int64)
+        self.begin, self.size = np.full(0, -1, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.int32)
 
     def _hashes(self, words: list[str]) -> np.ndarray:
         seed = self.seed & _M
@@ -228,7 +228,7 @@ class Segmenter:
         flat, all_sizes = self._bytes(flat, all_sizes)
         self.begin[combos] = len(self.ids) + np.cumsum(all_sizes) - all_sizes
         self.size[combos] = all_sizes
-        self.ids = np.concatenate([self.ids, flat])
+        self.ids = np.concatenate([self.ids, flat.astype(np.int32)])
 
     def _bytes(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Replace characters without a piece (negative symbols) by their byte pieces."""
@@ -252,7 +252,7 @@ class Segmenter:
         self.words += new
         self.hashes = np.concatenate([self.hashes, self._hashes(new)])
         grown = np.full(len(new) * self.variants, -1, np.int64)
-        self.begin, self.size = np.concatenate([self.begin, grown]), np.concatenate([self.size, np.zeros(len(grown), np.int64)])
+        self.begin, self.size = np.concatenate([self.begin, grown]), np.concatenate([self.size, np.zeros(len(grown), np.int32)])
         if self.variants > 1:
             nth = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             with np.errstate(over="ignore"):
@@ -261,7 +261,7 @@ class Segmenter:
         missing = np.unique(flat[self.begin[flat] < 0])
         if len(missing):
             self._work(missing)
-        size, begin = self.size[flat], self.begin[flat]
+        size, begin = self.size[flat].astype(np.int64), self.begin[flat]
         ends = np.cumsum(size)
         ids = self.ids[np.repeat(begin - (ends - size), size) + np.arange(int(size.sum()))]
         total = np.concatenate([[0], ends])
