@@ -75,9 +75,21 @@ def unfenced(text: Column) -> Column:
     return F.when(F.length(inner) > 0, inner).otherwise(text)
 
 
+def whole_json(text: Column) -> Column:
+    """VARIANT of a text that is one JSON value and nothing else.
+
+    The parser stops behind the first value; so the text is also parsed as the only
+    member of an object and of an array, between which no trailing text gets through.
+    """
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    one = member.isNotNull() & element.isNotNull() & F.try_variant_get(element, "$[1]", "variant").isNull()
+    return F.when(one, F.try_parse_json(text))
+
+
 def parsed_json(text: Column) -> Column:
     """VARIANT of a reply that is a JSON array or object, fenced or not; else null."""
-    value = F.coalesce(F.try_parse_json(text), F.try_parse_json(unfenced(text)))
+    value = F.coalesce(whole_json(text), whole_json(unfenced(text)))
     return F.when(F.schema_of_variant(value).rlike("^(ARRAY|OBJECT|STRUCT)"), value)
 
 
