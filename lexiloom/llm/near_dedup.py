@@ -130,8 +130,13 @@ def by_group(batches, keys: int):
     """Whole groups of a stream sorted by its first ``keys`` columns, as lists of numpy arrays and lists."""
     held: list[pa.Table] = []
 
+    def array(c: pa.ChunkedArray):
+        if pa.types.is_list(c.type):  # lists of one length
+            return np.concatenate([x.flatten().to_numpy() for x in c.chunks]).reshape(len(c), -1)
+        return c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy()
+
     def out(t: pa.Table):
-        return [c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy() for c in t.columns]
+        return [array(c) for c in t.columns]
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -202,25 +207,31 @@ def across_components(members: DataFrame, percent: int, best: bool) -> DataFrame
     """Surviving candidates (a < b) between different components of a bucket.
 
     With ``best`` only the best one of each node outside its bucket's largest component.
-    ``members``: (band, node, root, size, signature), only of buckets with several roots.
+    Without, a pair that shares several bands comes from the first of them only.
+    ``members``: (band, node, root, size, signature, bands), only of buckets with several roots.
     """
     python_batches(members.sparkSession)
     counts = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
     buckets = counts.groupBy("band").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("n"))
     buckets = buckets.where("top.c < n").select("band", F.col("top.root").alias("major"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("minors"), F.ceil(F.col("n") / ALL_BLOCK).cast("int").alias("alls"))
     rows = members.join(buckets, "band")
-    columns = ["band", "x", "y", "minor", "node", "root", "size", "signature"]
+    columns = ["band", "x", "y", "minor", "node", "root", "size", "signature", *([] if best else ["bands"])]
     mine = rows.where("root <> major").withColumn("minor", F.lit(1)).withColumn("x", F.pmod(F.xxhash64("node"), "minors").cast("int")).withColumn("y", F.explode(F.expr("sequence(0, alls - 1)"))).select(columns)
     every = rows.withColumn("minor", F.lit(0)).withColumn("y", F.pmod(F.xxhash64("node", F.lit(1)), "alls").cast("int")).withColumn("x", F.explode(F.expr("sequence(0, minors - 1)"))).select(columns)
 
     def work(group):
-        _, _, _, minor, node, root, size, sign = group
+        band, _, _, minor, node, root, size, sign = group[:8]
         u, v = np.flatnonzero(minor == 1), np.flatnonzero(minor == 0)
         if not len(u) or not len(v):
             return node[:0], node[:0], node[:0]
         x = _signatures(sign)
         i, j, m = surviving(x[u], x[v], (size[u], size[v]), root[u][:, None] != root[v][None], percent)
-        if best and len(i):
+        if not best and len(i):
+            bands = group[8]
+            shared = bands[u[i]] == bands[v[j]]
+            first = bands[u[i], shared.argmax(axis=1)] == band[0]
+            i, j, m = i[first], j[first], m[first]
+        elif len(i):
             order = np.lexsort((node[v[j]], -m, i))
             first = order[np.concatenate([[True], i[order][1:] != i[order][:-1]])]
             i, j, m = i[first], j[first], m[first]
@@ -275,7 +286,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     shared = banded.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n_members")).where("n_members > 1")
     members = scratch.keep(banded.join(shared, "band").select("band", "node", "first", "n_members"), "members")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    signed = scratch.keep(wanted.select("node", "key", "doc", "size", "signature"), "signed")
+    signed = scratch.keep(wanted.select("node", "key", "doc", "size", "signature", "bands"), "signed")
     sets = scratch.keep(full_sets(docs, signed.select("node", "key", "doc"), k), "sets")
 
     signs = signed.select("node", "size", "signature")
@@ -285,7 +296,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         rooted = members.select("band", "node").join(components(links, scratch), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
         several = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
         left = scratch.keep(rooted.join(several, "band", "left_semi"), "left")
-        more = scratch.keep(across_components(left.join(signs, "node"), percent, best).join(tested, ["a", "b"], "left_anti"), "tested")
+        more = scratch.keep(across_components(left.join(signed.select("node", "size", "signature", *([] if best else ["bands"])), "node"), percent, best).join(tested, ["a", "b"], "left_anti"), "tested")
         tested = tested.union(more)
         links = links.union(scratch.keep(verified(more, sets, percent), "verified"))
     roots = components(links, scratch)
