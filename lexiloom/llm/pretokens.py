@@ -92,3 +92,164 @@ class PretokenTable:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
         return flat, lengths, list(islice(self.index, before, None)), before == 0
+
+
+# ---- the same over whole batches, without a Python object for each pre-token
+
+_KINDS = np.zeros(0x250, np.uint8)  # of code points below U+0250: 0 other, 1 letter, 2 number, 3 space
+for _kind, _class in ((1, _L), (2, _N), (3, _S)):
+    for _c in range(0x250):
+        if re.match(f"[{_class}]", chr(_c)):
+            _KINDS[_c] = _kind
+_WIDE_AT_ALL = re.compile("[^\x00-\u024f]")
+_ENDS_1, _ENDS_2 = "stmd", ("re", "ve", "ll")
+
+
+def starts_of(codes: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+    """Where pre-tokens begin in texts of code points below U+0250, one after another.
+
+    A run of one kind (letters, numbers, other) is a pre-token, with one blank before
+    it if there is one; of a run of spaces before something else, the last one stands
+    apart; an apostrophe that begins a pre-token takes its contraction's letters.
+    """
+    n = len(codes)
+    kind = _KINDS[codes]
+    first = np.zeros(n + 1, bool)
+    first[text_starts] = True
+    first[n] = True
+    begins, last_in_text = first[:n], first[1:]
+    before = np.concatenate([[0], kind[:-1]])
+    start = begins | (kind != before)
+    space = kind == 3
+    follows = np.concatenate([kind[1:] != 3, [False]]) & ~last_in_text
+    start |= space & follows
+    blank = np.concatenate([[False], codes[:-1] == 32]) & ~begins
+    start &= ~(blank & ~space)
+    # contractions
+    at = np.flatnonzero((codes == 39) & start & ~last_in_text)
+    if len(at):
+        one = np.isin(codes[at + 1], [ord(c) for c in _ENDS_1])
+        size = one.astype(np.int64)
+        room = at[(~one) & (at + 2 < n)]
+        room = room[~first[room + 2]]
+        two = np.zeros(len(at), bool)
+        for pair in _ENDS_2:
+            two |= np.isin(at, room[(codes[room + 1] == ord(pair[0])) & (codes[room + 2] == ord(pair[1]))])
+        size[two] = 2
+        at, size = at[size > 0], size[size > 0]
+        start[at + 1] = False
+        behind = at + 1 + size
+        ok = (behind < n) & ~first[np.minimum(behind, n)]
+        start[behind[ok][kind[behind[ok]] == 1]] = True
+    return start
+
+
+class Slots:
+    """Open-addressing table of 64-bit keys with a 64-bit check each, in numpy; values are entry numbers."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.n = bits, 0
+        self.key, self.check, self.value = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Entry number of each key, -1 if it is new."""
+        mask = np.uint64((1 << self.bits) - 1)
+        out = np.full(len(key), -1, np.int64)
+        left, at = np.arange(len(key)), (key & mask).astype(np.int64)
+        while len(left):
+            k = self.key[at]
+            hit = (k == key[left]) & (self.check[at] == check[left])
+            out[left[hit]] = self.value[at[hit]]
+            on = ~hit & (k != 0)
+            left, at = left[on], (at[on] + 1) & int(mask)
+        return out
+
+    def add(self, key: np.ndarray, check: np.ndarray) -> None:
+        """Put in new, distinct keys; they get the next entry numbers in order."""
+        number = np.arange(self.n, self.n + len(key), dtype=np.int32)
+        if 2 * (self.n + len(key)) > 1 << self.bits:
+            held = np.flatnonzero(self.key)
+            key, check, number = (np.concatenate([a[held], b]) for a, b in ((self.key, key), (self.check, check), (self.value, number)))
+            while 2 * len(key) > 1 << self.bits:
+                self.bits += 1
+            self.key, self.check, self.value = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.n = int(number.max(initial=self.n - 1)) + 1
+        mask = (1 << self.bits) - 1
+        left, at = np.arange(len(key)), (key & np.uint64(mask)).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.key[at] == 0)
+            _, one = np.unique(at[free], return_index=True)
+            put = free[one]
+            self.key[at[put]], self.check[at[put]], self.value[at[put]] = key[left[put]], check[left[put]], number[left[put]]
+            on = np.ones(len(left), bool)
+            on[put] = False
+            left, at = left[on], (at[on] + 1) & mask
+
+
+_C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_powers = [np.cumprod(np.full(256, b)) for b in _BASES]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * _C1
+    x = (x ^ (x >> np.uint64(33))) * _C2
+    return x ^ (x >> np.uint64(33))
+
+
+#: Letters' values of the common code points.
+_VALUES = _mix((np.arange(0x250, dtype=np.uint64) + np.uint64(1)) * _C2)
+
+
+class BatchTable:
+    """Numbers the distinct pre-tokens of batches by a 128-bit hash; emptied once it holds ``most``."""
+
+    def __init__(self, path: str, most: int):
+        self.path, self.most, self.slots = path, most, Slots()
+
+    def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], bool]:
+        """As ``PretokenTable.number``, from the texts themselves."""
+        anew = self.slots.n == 0
+        if self.slots.n > self.most:
+            self.slots, anew = Slots(), True
+        whole = "".join(texts)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        if not len(whole):
+            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64), [], anew
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(sizes)
+        held = specials(self.path)
+        odd = [i for i, t in enumerate(texts) if t and (_WIDE_AT_ALL.search(t) or any(s in t for s in held))]
+        plain = codes if not odd else np.where(codes < 0x250, codes, 0)
+        start = starts_of(plain, (ends - sizes)[sizes > 0])
+        for i in odd:  # texts that need the library's own rules
+            a = ends[i] - sizes[i]
+            cuts = np.cumsum([0, *map(len, split(texts[i], self.path))][:-1])
+            start[a : ends[i]] = False
+            start[a + cuts] = True
+        at = np.flatnonzero(start)
+        length = np.diff(np.append(at, len(codes)))
+        place = np.arange(len(codes)) - np.repeat(at, length)
+        longest = int(length.max())
+        value = _VALUES[plain]
+        if odd:
+            wide = codes >= 0x250
+            value[wide] = _mix((codes[wide].astype(np.uint64) + np.uint64(1)) * _C2)
+        hashes = []
+        for k in range(2):
+            if longest > len(_powers[k]):
+                _powers[k] = np.cumprod(np.full(2 * longest, _BASES[k]))
+            hashes.append(_mix(np.add.reduceat(value * _powers[k][place], at) + length.astype(np.uint64) * _C1))
+        key, check = hashes[0] | np.uint64(1), hashes[1]
+        number = self.slots.find(key, check)
+        miss = np.flatnonzero(number < 0)
+        new: list[str] = []
+        if len(miss):
+            _, one, back = np.unique(key[miss], return_index=True, return_inverse=True)
+            one = miss[one]
+            begin = self.slots.n
+            self.slots.add(key[one], check[one])
+            number[miss] = begin + back
+            new = [whole[a : a + n] for a, n in zip(at[one].tolist(), length[one].tolist())]
+        upto = np.searchsorted(at, ends)
+        return number, np.diff(np.concatenate([[0], upto])), new, anew

@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import map_batches, materialize, python_batches, shared_dir, shuffle_width, table
-from lexiloom.llm.pretokens import PretokenTable, split, tokenizer
+from lexiloom.llm.pretokens import BatchTable, tokenizer
 from lexiloom.llm.token_count import default_path
 
 END_ID = 2
+#: Distinct pre-tokens whose ids are kept between batches.
+MOST_PRETOKENS = 1_500_000
 ROW_INDEX = 1000
 STRIPE_BYTES = 8 << 20
 #: A file holds no fewer documents than this; else there are as many files as shuffle partitions.
@@ -44,12 +46,12 @@ class Encoder:
     """Ids of texts; ids of distinct pre-tokens are kept between batches as one ragged array."""
 
     def __init__(self, path: str):
-        self.path, self.table = path, PretokenTable()
+        self.path, self.table = path, BatchTable(path, MOST_PRETOKENS)
         self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def __call__(self, texts: list[str], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and each text's number of ids."""
-        flat, lengths, new, anew = self.table.number([split(t, self.path) for t in texts])
+        flat, lengths, new, anew = self.table.number(texts)
         if anew:
             self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
         if new:
