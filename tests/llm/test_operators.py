@@ -1,0 +1,442 @@
+"""The corpus operators against brute force, the libraries, round trips and odd inputs."""
+
+import base64
+import collections
+import hashlib
+import json
+import random
+import re
+import struct
+import zlib
+
+import numpy as np
+import oracle
+import public_tokenizers
+import pytest
+from conftest import MEDIUM, SMALL
+from lexiloom.llm import ebml, exact_dedup, html_blocks, language_id, media, near_dedup, perfect_hash, piece_dropout, pretokens, registry, secret_scan, shingles, token_count, token_orc
+from lexiloom.llm.common import shared_dir
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, key string, size int"
+ODD = [
+    (None, None, None, None, None, None, None, None), (None, "null id", None, None, None, None, None, None),
+    (1, "", "en", "a", 0, True, "k", 1), (2, " \t\n", "en", "a", 3, None, None, None), (3, "123 !!", "en", None, 6, None, None, None),
+    (4, "the cat sat on the mat and slept", "en", "a", 1, None, None, None), (4, "the cat sat on the mat and slept", "en", "a", 1, None, None, None),
+    (5, "the  cat sat\non the mat and slept", "fr", "b", 1, None, None, None), (6, "żółć 日本 ﬁ <|endoftext|> ▁x", None, "b", 1, None, None, None),
+    (7, "word " * 40_000, "en", "b", 1, None, None, None), (8, "x" * 100_000, "en", "c", 1, None, None, None),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# ---- SQL
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_oracle(spark, name):
+    assert oracle.assert_same(registry.queries()[name](spark, MEDIUM), registry.oracle_sql()[name], MEDIUM) > 0
+
+
+# ---- 1
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    got = language_id.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r["held_out"]]
+    assert {r["doc_id"] for r in held} == {r["doc_id"] for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0}
+    assert sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_language_gradients():
+    rng = np.random.default_rng(0)
+    net = language_id.ByteNet(["a", "b"], 3)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, y = rng.integers(0, 256, (5, language_id.WINDOW)).astype(np.uint8), np.array([0, 1, 1, 0, 1])
+    _, g = net.gradients(x, y)
+    for name in ("out", "base", "conv", "bias", "embed"):
+        flat = net.p[name].reshape(-1)
+        for i in rng.choice(np.flatnonzero(g[name].reshape(-1)), 3):
+            old, e = flat[i], 1e-5
+            flat[i] = old + e
+            up = net.gradients(x, y)[0]
+            flat[i] = old - e
+            down = net.gradients(x, y)[0]
+            flat[i] = old
+            assert g[name].reshape(-1)[i] == pytest.approx((up - down) / (2 * e), rel=2e-2, abs=1e-6)
+
+
+def test_language_odd(spark, odd, empty):
+    got = language_id.language_id(odd).collect()
+    assert len(got) == len(ODD)
+    assert {r["lang_pred"] for r in got if r["doc_id"] in (1, 2, 3)} == {"und"}
+    assert language_id.language_id(empty).collect() == []
+    kept = language_id.known_language(odd)
+    assert kept.columns == odd.columns
+    assert all(r["text"] for r in kept.collect())
+
+
+# ---- 2
+
+
+def sets_of(rows, k):
+    out = []
+    for _, t in rows:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", low) if x]
+        out.append(frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset({tuple(w)} if w else ()))
+    return out
+
+
+def brute_components(rows, k, percent):
+    sets = sets_of(rows, k)
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    where, first = collections.defaultdict(list), {}
+    for i, s in enumerate(sets):
+        if s and s in first:
+            parent[find(i)] = find(first[s])
+        elif s:
+            first[s] = i
+    for s, i in first.items():
+        for x in s:
+            where[x].append(i)
+    for s, i in first.items():
+        for j, n in collections.Counter(j for x in s for j in where[x] if j < i).items():
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return sorted((d, len(sets[i]), least[find(i)], d == least[find(i)]) for i, (d, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates_brute_force(spark, k, percent):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    got = sorted(map(tuple, near_dedup.near_duplicates(docs, k, percent).collect()))
+    assert got == brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], k, percent)
+
+
+def test_near_duplicates_hot_group(spark):
+    """One large family of edited copies: several blocks, chains of links, members that link with nothing."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(120)]
+    rows = []
+    for i in range(700):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 8, 12, 20])):
+            words[rng.randrange(120)] = f"v{rng.randrange(50)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, near_dedup.near_duplicates(docs, 3, 85).collect()))
+    assert got == brute_components(rows, 3, 85)
+
+
+def test_near_odd(odd, empty):
+    got = near_dedup.near_duplicates(odd, 3, 85).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+    assert len(got) == len(ODD)
+    assert [r["component_id"] for r in by[4]] == [4, 4] and by[5][0]["component_id"] == 4
+    assert by[1][0]["kept"] and by[1][0]["n_shingles"] == 0
+    assert near_dedup.near_duplicates(empty).collect() == []
+    one = near_dedup.one_of_each(odd, 3, 85)
+    assert one.columns == odd.columns
+    assert sorted(r["doc_id"] or -1 for r in one.collect()) == sorted([-1, -1, 1, 2, 3, 4, 6, 7, 8])
+
+
+def test_banding_and_bounds():
+    for p in (80, 85):
+        bands, rows = near_dedup.banding(p)
+        assert (1 - (p / 100) ** rows) ** bands <= near_dedup.MISS_BANDS
+        need = near_dedup.fewest_matches(p)
+        assert list(need) == sorted(need) and need[-1] < near_dedup.SIGNATURE * p / 100
+    sets = shingles.shingle_sets([b"", b" \t", b"a", b"A b", b"a b", b"a b c", b"a b c a b c"], 3)
+    assert [len(s) for s in sets] == [0, 0, 1, 1, 1, 1, 3] and sets[3][0] == sets[4][0]
+
+
+# ---- 3
+
+
+@pytest.mark.parametrize("n", [64, 512, 4096, 4160, 131_072, 131_136, 300_032])
+def test_matroska_round_trip(n):
+    payload = random.Random(n).randbytes(n)
+    data = ebml.write(payload)
+    movie = ebml.parse(data)
+    assert ebml.samples(data, movie) == payload
+    assert [c for _, _, c in movie.cues] == movie.clusters and movie.doc_type == "matroska"
+    assert all(data[movie.segment + c :][:4] == b"\x1f\x43\xb6\x75" for c in movie.clusters)
+    assert [p.timestamp_ns for p in movie.packets] == [i * 64_000_000 for i in range(len(movie.packets))]
+    assert media.describe(data)[0] == payload
+
+
+@pytest.mark.parametrize("lacing", [0, 1, 2, 3])
+def test_lacings_groups_and_unknown_sizes(lacing):
+    frames = [bytes([i]) * n for i, n in enumerate([7] * 4 if lacing == 2 else [300, 5, 700, 255, 0, 66])][: 1 if not lacing else None]
+    block = ebml.block(1, 3, frames, lacing)
+    body = ebml.uint(ebml.TIMESTAMP, 10) + ebml.element(ebml.SIMPLE_BLOCK, block) + ebml.element(ebml.BLOCK_GROUP, ebml.element(ebml.BLOCK, block))
+    unknown = b"\x01" + b"\xff" * 7
+    data = b"\x18\x53\x80\x67" + unknown + b"\x1f\x43\xb6\x75" + unknown + body + b"\x1f\x43\xb6\x75" + unknown + body
+    movie = ebml.parse(data)
+    assert len(movie.clusters) == 2 and len(movie.packets) == 4 * len(frames)
+    assert ebml.samples(data, movie) == b"".join(frames) * 4
+    assert {p.timestamp_ns for p in movie.packets} == {13_000_000}
+
+
+def test_matroska_malformed_and_table(odd, empty):
+    data = ebml.write(b"x" * 640)
+    with pytest.raises(ebml.Malformed):
+        ebml.parse(data[:-3])
+    got = media.features(media.to_matroska(odd)).collect()
+    assert len(got) == len(ODD) and len({tuple(r) for r in got if r["doc_id"] == 4}) == 1
+    r = next(r for r in got if r["doc_id"] == 6)
+    payload, n = media.padded(next(o[1] for o in ODD if o[0] == 6))
+    assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    packets = media.packet_table(media.to_matroska(odd))
+    assert packets.groupBy("doc_id").sum("size").count() == 9
+    assert media.features(media.to_matroska(empty)).collect() == []
+
+
+# ---- 4 and 6
+
+
+def odd_texts(n: int = 3000, seed: int = 2):
+    rng = random.Random(seed)
+    letters = "ab'strevlmd<|endoftext|> \n\t'sé€😀҈႐0123aaaa   \x1c\x85\xa0'''日"
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(n)] + ["", "'street", "a" * 900, " " * 70 + "x", "<|endoftext|><|endoftext|>"]
+
+
+def test_tokens_equal_the_library():
+    texts = odd_texts()
+    want = [e.ids for e in pretokens.tokenizer(BPE).encode_batch(texts, add_special_tokens=False)]
+    assert token_count.Counter(BPE)(texts).tolist() == [len(w) for w in want]
+    encoder = token_orc.Encoder(BPE)
+    encoder.table.most = 500  # emptied again and again
+    got = []
+    for i in range(0, len(texts), 100):
+        ids, sizes = encoder(texts[i : i + 100])
+        ends = np.cumsum(sizes)
+        got += [ids[e - n : e].tolist() for e, n in zip(ends, sizes)]
+    assert got == [[*w, token_orc.END_ID] for w in want]
+
+
+def test_token_count_table(odd, empty):
+    got = token_count.token_counts(odd, BPE).collect()
+    assert len(got) == len(ODD)
+    assert {(r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got if r["doc_id"] == 1} == {(0, 0, False)}
+    assert all(r["over_limit"] for r in got if r["doc_id"] in (7, 8))
+    assert token_count.token_counts(empty, BPE).collect() == []
+
+
+def test_orc_files(spark, odd, empty):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    out = shared_dir(spark, "orc-test")
+    token_orc.token_files(docs, BPE, out)
+    rows = sorted(map(tuple, token_orc.read_index(spark, out).collect()))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    start = 0
+    for (doc, at, n, crc), e in zip(rows, pretokens.tokenizer(BPE).encode_batch([texts[d] for d in sorted(texts)], add_special_tokens=False)):
+        ids = [*e.ids, 2]
+        assert (at, n, crc) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))), doc
+        start += n
+    assert [r["doc_id"] for r in token_orc.lookup(spark, out, [17, 404]).orderBy("doc_id").collect()] == [17, 404]
+    plan = token_orc.lookup(spark, out, [17])._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "doc_id" in plan.split("PushedFilters")[1][:60]
+    for frame, n in ((odd, len(ODD)), (empty, 0)):
+        out = shared_dir(spark, "orc-odd")
+        token_orc.token_files(frame, BPE, out)
+        got = sorted(token_orc.read_index(spark, out).collect(), key=lambda r: r["start"])
+        assert len(got) == n
+        assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+
+
+# ---- 5
+
+
+def test_perfect_hash():
+    digests = perfect_hash.matrix([hashlib.sha256(str(i).encode()).digest() for i in range(5000)])
+    mph = perfect_hash.PerfectHash.from_bytes(perfect_hash.PerfectHash.build(digests).to_bytes())
+    assert sorted(mph.slots(digests).tolist()) == list(range(5000))
+    others = perfect_hash.matrix([hashlib.sha256(b"x%d" % i).digest() for i in range(5000)])
+    assert mph.slots(others).max() < 5000
+    assert perfect_hash.PerfectHash.build(digests[:0]).slots(digests[:3]).tolist() == [-1, -1, -1]
+
+
+def test_exact_groups_members_and_nonmembers(spark, odd, empty):
+    rows = [(i, f"t {i % 7}" if i < 50 else f"t  {i % 20}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = collections.defaultdict(list)
+    for d, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", t)].append(d)
+    want = {d: (min(g), len(g), d == min(g)) for g in groups.values() for d in g}
+    for cut in (None, -1, 49, 1000):
+        got = exact_dedup.exact_groups(docs, cut).collect()
+        assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in got} == want and len(got) == 100
+    assert {r["member"] for r in exact_dedup.exact_groups(docs, 49).collect()} == {True, False}
+    got = exact_dedup.exact_groups(odd).collect()
+    assert len(got) == len(ODD) and sum(r["kept"] for r in got) == len({r["digest"] for r in got if r["keep_id"] is not None}) + sum(1 for r in got if r["keep_id"] is None and r["kept"])
+    assert sorted(r["kept"] for r in got if r["doc_id"] == 4) == [False, True]
+    assert exact_dedup.exact_groups(empty).collect() == []
+    one = exact_dedup.one_of_each(odd)
+    assert one.columns == odd.columns and sorted(r["doc_id"] or -1 for r in one.collect()) == sorted([-1, 1, 2, 3, 4, 6, 7, 8])
+
+
+# ---- 7
+
+
+def der(tag: int, body: bytes) -> bytes:
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82, n >> 8, n & 255])) + body
+
+
+RSA = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([1 + i]) * 64) for i in range(8)))
+PKCS8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48")) + der(4, RSA))
+SSH = secret_scan.SSH_MAGIC + b"".join(struct.pack(">I", len(x)) + x for x in (b"none", b"none", b"")) + struct.pack(">I", 1) + b"".join(struct.pack(">I", len(x)) + x for x in (b"k" * 51, b"p" * 64))
+
+
+def b64url(x: bytes) -> str:
+    return base64.urlsafe_b64encode(x).decode().rstrip("=")
+
+
+JWT = f"{b64url(json.dumps({'alg': 'HS256'}).encode())}.{b64url(json.dumps({'sub': '1', 'name': 'x'}).encode())}.c2ln"
+
+
+def pem(name: str, body: bytes) -> str:
+    text = base64.b64encode(body).decode()
+    return f"-----BEGIN {name}-----\n" + "\n".join(text[i : i + 64] for i in range(0, len(text), 64)) + f"\n-----END {name}-----"
+
+
+@pytest.mark.parametrize(("kind", "text"), [("pem", pem("PRIVATE KEY", PKCS8)), ("pem", pem("RSA PRIVATE KEY", RSA)), ("pem", pem("OPENSSH PRIVATE KEY", SSH)), ("der", base64.b64encode(PKCS8).decode()), ("der", RSA.hex()), ("ssh", base64.b64encode(SSH).decode()), ("jwt", JWT)])
+def test_confirmed_secrets(kind, text):
+    whole = f"é {text} behind"
+    spans = [s for s in secret_scan.confirmed_spans(whole) if s[2] == kind]
+    assert spans == [(2, 2 + len(text), kind)]
+
+
+def test_unconfirmed_candidates():
+    for text in (pem("PRIVATE KEY", PKCS8[:-4]), base64.b64encode(PKCS8[:-1] + b"\0\0").decode(), "eyJhbGciOiJ4.eyJ9.x", "M" * 80, "30" * 60, "-----BEGIN PRIVATE KEY-----" * 50):
+        assert secret_scan.confirmed_spans(text) == []
+
+
+def test_base_spans_brute_force():
+    rng = random.Random(1)
+    parts = ["password", "PassWd", "api_key", "apikey", "token", "secret", "=", " : ", "'", '"', "abcdef", "AKIA", "ABCD1234EFGH5678", "0123456789abcdef", "beef", " ", "é", "ſecret", "K"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        want = []
+        for kind, pattern, ok in (
+            ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+            ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+            ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+        ):
+            want += [(m.start(), m.end(), kind) for m in re.finditer(pattern, text) if ok(m)]
+        assert sorted(secret_scan.base_spans(text)) == sorted(want)
+
+
+def test_secret_table(odd, empty):
+    got = secret_scan.scan(odd).collect()
+    assert len(got) == len(ODD) and {r["base_sha256"] for r in got if r["doc_id"] == 1} == {hashlib.sha256(b"").hexdigest()}
+    assert secret_scan.scan(empty).collect() == []
+
+
+# ---- 8
+
+
+def test_pieces_without_dropout_are_the_librarys():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = [t for t in odd_texts(500) if "▁" not in t]
+    ids, sizes = piece_dropout.Segmenter(PIECES, 0.0, 1, 4)(texts, np.arange(len(texts)))
+    ends = np.cumsum(sizes)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, sizes)] == sp.encode(texts)
+
+
+def test_dropout_is_lossless_seeded_and_varied():
+    texts = [*odd_texts(400), "a ▁ b▁▁c ", " ▁", "information and transformation " * 30]
+    keys = np.arange(len(texts))
+
+    def run(seed, dropout=0.3, batch=50):
+        s, out = piece_dropout.Segmenter(PIECES, dropout, seed, 4), []
+        for i in range(0, len(texts), batch):
+            ids, sizes = s(texts[i : i + batch], keys[i : i + batch])
+            ends = np.cumsum(sizes)
+            out += [ids[e - n : e].tolist() for e, n in zip(ends, sizes)]
+        return out
+
+    got = run(7)
+    assert [piece_dropout.decode_ids(x, PIECES) for x in got] == texts
+    assert run(7, batch=13) == got and run(8) != got
+    assert sum(map(len, got)) > sum(map(len, run(7, 0.0)))
+
+
+def test_heap_and_batch_agree():
+    model = piece_dropout.pieces(PIECES)
+    rng = random.Random(3)
+    for _ in range(150):
+        word = " " + "".join(rng.choice("abdehinorst") for _ in range(rng.randint(1, 20)))
+        symbols = [int(model.char[ord(c)]) for c in word]
+        key, bound = rng.getrandbits(64), int(0.25 * (1 << 53))
+        batch, _ = piece_dropout.segment_batch(np.array(symbols), np.array([len(symbols)]), np.array([key], np.uint64), bound, model)
+        assert piece_dropout.segment_heap(symbols, key, bound, model) == batch.tolist()
+
+
+def test_piece_table(odd, empty):
+    rows = piece_dropout.digests(piece_dropout.decode(piece_dropout.encode(odd, PIECES), PIECES)).collect()
+    want = collections.Counter((o[0], hashlib.sha256((o[1] or "").encode()).hexdigest()) for o in ODD)
+    assert collections.Counter((r["doc_id"], r["text_sha256"]) for r in rows) == want
+    assert piece_dropout.encode(empty, PIECES).collect() == []
+
+
+# ---- 10
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+<header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a><li><a href="/a">About us</a></ul></nav>
+<div class="cookie-notice">We use cookies to make this better for you and for everybody else.</div><!-- <p>no</p> -->
+<div class="ad">Buy now</div><article class="post"><h1>A &amp; B</h1><p>First <b>bold
+ text<br>goes on.<p>Short.</p><ul><li>one</li><li>two</li></ul><p>Last&nbsp;paragraph with <a href="/x">a link</a>.</p></article>
+<aside>Related things</aside><form><p>Subscribe <input name=q></p></form><section id="comments"><p>Nice article, I liked it a lot and will come again.</p></section><footer>&copy; me</footer>"""
+
+
+def test_main_text():
+    assert html_blocks.main_text(PAGE) == "A & B\n\nFirst bold text goes on.\n\nShort.\n\none\n\ntwo\n\nLast paragraph with a link."
+    for bad in ("", "<", "<p", "</div></p>", "<script>never closed", "<!-- never closed", "<div class='ad'>x"):
+        assert html_blocks.main_text(bad) in ("", "<")
+
+
+def test_pages_against_their_articles(spark):
+    import html
+
+    for r in html_blocks.extract(spark.read.parquet(f"{MEDIUM}/pages.parquet")).join(spark.read.parquet(f"{MEDIUM}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        inner = re.search(r"<article>(.*?)</article>", r["html"], re.DOTALL)[1]
+        parts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", p))).strip() for p in re.split(r"</?(?:h1|p)>", inner)]
+        assert r["text"] == "\n\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
+
+
+def test_page_table_odd(spark):
+    rows = spark.createDataFrame([(None, None, None, 1), (1, "u", "", 2), (1, "u", "<article><p>hello there</p></article>", 3)], "page_id long, url string, html string, text int")
+    assert sorted(r["text"] for r in html_blocks.extract(rows).collect()) == ["", "", "hello there"]
+
+
+def test_small_tables_run(spark):
+    for name in ("op1_language_id", "op3_matroska", "op7_secret_scan"):
+        assert registry.queries()[name](spark, SMALL).count() == 200
