@@ -130,7 +130,12 @@ class Run:
             prompt = self.render(kind, left, params, paras, sents, numbered, whole)
             reply = self._call(prompt, {"kind": kind, "specs": left, "paras": paras, "sents": sents, "params": params, "images": images, "text_chunk": number}, model, backend, attempt)
             read = envelope.aspect_items if kind == "aspect" else envelope.concept_items
-            for n, items in read(reply, left, paras, sents, params).items():
+            try:
+                got = read(reply, left, paras, sents, params)
+            except envelope.Invalid as e:
+                self.calls[-1]["error"] = str(e)
+                raise
+            for n, items in got.items():
                 f = found[left[n].name]
                 f.processed = True
                 for item in items:

@@ -39,7 +39,7 @@ def repeated_values(rows: DataFrame, key: str, by: list[str], fold_case: bool =
 def first_of_each(rows: DataFrame, key: str, by: list[str], order: str) -> DataFrame:
     """Rows without later repeats of ``key`` in a group: pre-aggregated, no window."""
     best = rows.groupBy(*by, key).agg(F.min(order).alias(order))
-    return rows.join(best, [*by, key, order], "left_semi")
+    return rows.join(best, [*by, key, order], "left_semi").select(rows.columns)
 
 
 def empty_documents(docs: DataFrame, columns: list[str]) -> DataFrame:

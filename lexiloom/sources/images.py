@@ -37,4 +37,4 @@ def encoded(files: DataFrame) -> DataFrame:
 def distinct_images(images: DataFrame) -> DataFrame:
     """Of a document's equal images the first stays."""
     first = images.groupBy("doc_id", "base64").agg(F.min("img_idx").alias("img_idx"))
-    return images.join(first, ["doc_id", "base64", "img_idx"], "left_semi")
+    return images.join(first, ["doc_id", "base64", "img_idx"], "left_semi").select(images.columns)

@@ -25,25 +25,30 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
     return query
 
 
+def timed(rows: DataFrame, ts: str, late: str) -> DataFrame:
+    """Rows with a watermark; times without a zone are taken in the session's."""
+    return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+
+
 def tumbling(calls: DataFrame, ts: str, key: str, value: str, width: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """Counts and sums per key and window; rows later than ``late`` behind the newest are dropped."""
     w = F.window(ts, width)
-    return calls.withWatermark(ts, late).groupBy(w, key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), key, "n", "total")
+    return timed(calls, ts, late).groupBy(w, key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), key, "n", "total")
 
 
 def sliding(calls: DataFrame, ts: str, key: str, width: str = "1 hour", step: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
     w = F.window(ts, width, step)
-    return calls.withWatermark(ts, late).groupBy(w, key).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), key, "n")
+    return timed(calls, ts, late).groupBy(w, key).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), key, "n")
 
 
 def sessions(calls: DataFrame, ts: str, key: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of a key: runs of rows less than ``gap`` apart."""
-    return calls.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("s"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("s.start").alias("start"), F.col("s.end").alias("end"), key, "n")
+    return timed(calls, ts, late).groupBy(F.session_window(ts, gap).alias("s"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("s.start").alias("start"), F.col("s.end").alias("end"), key, "n")
 
 
 def first_seen(rows: DataFrame, ts: str, keys: list[str], late: str = "1 hour") -> DataFrame:
     """Without repeats that come within the watermark: what has been processed is not processed again."""
-    return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+    return timed(rows, ts, late).dropDuplicatesWithinWatermark(keys)
 
 
 def chat_state(messages: DataFrame) -> DataFrame:
