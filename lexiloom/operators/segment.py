@@ -13,14 +13,21 @@ def with_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("paras", F.coalesce(T.paragraphs(F.col(text)), F.array().cast("array<string>")))
 
 
+def unrolled(frame: DataFrame, keep: list[str], values: Column, index: str, name: str) -> DataFrame:
+    """One row per element. The outer form, with its empty rows taken out again: the plain
+    one makes Catalyst add a filter that works out the whole array a second time."""
+    return frame.select(*keep, F.posexplode_outer(values).alias(index, name)).where(F.col(index).isNotNull())
+
+
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, para_idx, raw_text), indices from 0."""
-    return with_paragraphs(docs.select("doc_id", text), text).select("doc_id", F.posexplode("paras").alias("para_idx", "raw_text"))
+    return unrolled(docs, ["doc_id"], T.paragraphs(F.col(text)), "para_idx", "raw_text")
 
 
 def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, para_idx, sent_idx, raw_text)."""
-    return paragraphs(docs, text).select("doc_id", "para_idx", F.posexplode(T.sentences(F.col("raw_text"))).alias("sent_idx", "raw_text"))
+    paras = paragraphs(docs, text).withColumnRenamed("raw_text", "para")
+    return unrolled(paras, ["doc_id", "para_idx"], T.sentences(F.col("para")), "sent_idx", "raw_text")
 
 
 def rebuilt(paras: DataFrame) -> DataFrame:
@@ -29,8 +36,8 @@ def rebuilt(paras: DataFrame) -> DataFrame:
     return paras.groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda x: x["raw_text"]), "\n\n").alias("raw_text"))
 
 
-def from_paragraphs(docs: DataFrame, paras: str) -> DataFrame:
-    """A document given as an array of paragraphs: raw_text is their join."""
+def from_paragraphs(docs: DataFrame, paras: str = "paras") -> DataFrame:
+    """A document given as an array of paragraphs: raw_text is their join. Narrow, unlike ``rebuilt``."""
     return docs.withColumn("raw_text", F.array_join(paras, "\n\n"))
 
 
@@ -53,6 +60,13 @@ def sliced(values: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(values, i * size + 1, F.lit(size)))
 
 
+def chunk_sizes(docs: DataFrame, size: int, text: str = "text") -> DataFrame:
+    """(doc_id, text_chunk, n, last_pos, n_chars) of each document's chunks, within the document's row."""
+    cut = unrolled(with_paragraphs(docs.select("doc_id", text), text), ["doc_id"], sliced(F.col("paras"), size), "text_chunk", "chunk").where("size(chunk) > 0")
+    chars = F.aggregate("chunk", F.lit(0).cast("long"), lambda n, p: n + F.length(p))
+    return cut.select("doc_id", "text_chunk", F.size("chunk").cast("long").alias("n"), (F.size("chunk") - 1).cast("long").alias("last_pos"), chars.alias("n_chars"))
+
+
 def position_of_paragraph(paras: DataFrame, wanted: DataFrame) -> DataFrame:
     """Positions of (doc_id, raw_text) pairs: every index at which the text stands."""
     return wanted.join(paras, ["doc_id", "raw_text"]).select("doc_id", "raw_text", "para_idx")
@@ -69,6 +83,12 @@ def order_check(docs: DataFrame, paras: str = "paras", text: str = "text") -> Da
     return docs.withColumn("in_order", F.aggregate(F.col(paras), start, step, lambda s: s["ok"]))
 
 
+def with_repeats(paras: DataFrame) -> DataFrame:
+    """Paragraphs and times, how often their text stands in their document; one shuffle."""
+    same = Window.partitionBy("doc_id", "raw_text")
+    return paras.withColumn("times", F.count(F.lit(1)).over(same))
+
+
 def repeated(paras: DataFrame) -> DataFrame:
     """(doc_id, raw_text, n, first_idx, last_idx) of paragraph texts that stand more than once in a document."""
     found = paras.groupBy("doc_id", "raw_text").agg(F.count(F.lit(1)).alias("n"), F.min("para_idx").alias("first_idx"), F.max("para_idx").alias("last_idx"))

@@ -201,8 +201,8 @@ def image_dedup(spark, sf_dir) -> DataFrame:
 
 
 def json_roundtrip(spark, sf_dir) -> DataFrame:
-    paras = segment.paragraphs(docs(spark, sf_dir))
-    return serde.documents_from_json(serde.documents_json(paras)).select("doc_id", F.col("para_idx").cast("long").alias("para_idx"), "raw_text")
+    frame = segment.with_paragraphs(docs(spark, sf_dir))
+    return serde.documents_from_json(serde.documents_json(frame)).select("doc_id", F.col("para_idx").cast("long").alias("para_idx"), "raw_text")
 
 
 def stream_paragraphs(spark, sf_dir) -> DataFrame:
@@ -228,6 +228,13 @@ def _typed(items: DataFrame, value) -> DataFrame:
     return items.select("doc_id", F.col("item_idx").cast("long").alias("item_idx"), value.alias("value"))
 
 
+def first_positions(sents: DataFrame) -> DataFrame:
+    """Sentences that stand more than once in a document, with the first place (one number, so that hashing aggregates)."""
+    place = F.col("para_idx").cast("long") * (1 << 31) + F.col("sent_idx")
+    found = sents.groupBy("doc_id", "raw_text").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return found.select("doc_id", "raw_text", F.expr("at DIV 2147483648").alias("para_idx"), (F.col("at") % (1 << 31)).alias("sent_idx"), "n")
+
+
 def long(c: str):
     return F.col(c).cast("long").alias(c)
 
@@ -237,11 +244,11 @@ QUERIES = {
     "paragraphs_clean_collapse": lambda s, d: segment.paragraphs(docs(s, d)).select("doc_id", long("para_idx"), T.clean_for_prompt(F.col("raw_text"), False).alias("cleaned")),
     "documents_clean_preserve": lambda s, d: docs(s, d).select("doc_id", T.clean_for_prompt(F.col("text")).alias("cleaned")),
     "sentences_split": lambda s, d: segment.sentences(docs(s, d)).select("doc_id", long("para_idx"), long("sent_idx"), "raw_text"),
-    "documents_rebuilt": lambda s, d: segment.rebuilt(segment.paragraphs(docs(s, d))),
-    "paragraph_position_lookup": lambda s, d: segment.position_of_paragraph(segment.paragraphs(docs(s, d)), segment.repeated(segment.paragraphs(docs(s, d))).select("doc_id", "raw_text")).select("doc_id", "raw_text", long("para_idx")),
-    "sentence_position_lookup": lambda s, d: segment.sentences(docs(s, d)).groupBy("doc_id", "raw_text").agg(F.min(F.struct("para_idx", "sent_idx")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "raw_text", F.col("at.para_idx").cast("long").alias("para_idx"), F.col("at.sent_idx").cast("long").alias("sent_idx"), "n"),
+    "documents_rebuilt": lambda s, d: segment.from_paragraphs(segment.with_paragraphs(docs(s, d).select("doc_id", "text"))).where("length(raw_text) > 0").select("doc_id", "raw_text"),
+    "paragraph_position_lookup": lambda s, d: segment.with_repeats(segment.paragraphs(docs(s, d))).where("times > 1").select("doc_id", "raw_text", long("para_idx")),
+    "sentence_position_lookup": lambda s, d: first_positions(segment.sentences(docs(s, d))),
     "duplicate_paragraph_positions": lambda s, d: segment.repeated(segment.paragraphs(docs(s, d))).select("doc_id", "raw_text", "n", long("first_idx"), long("last_idx")),
-    "paragraph_chunks": lambda s, d: segment.chunks(segment.paragraphs(docs(s, d)), CHUNK).groupBy("doc_id", "text_chunk").agg(F.count(F.lit(1)).alias("n"), F.max("pos").cast("long").alias("last_pos"), F.sum(F.length("raw_text")).alias("n_chars")).withColumn("text_chunk", F.col("text_chunk").cast("long")),
+    "paragraph_chunks": lambda s, d: segment.chunk_sizes(docs(s, d), CHUNK).withColumn("text_chunk", F.col("text_chunk").cast("long")),
     "paragraph_order_check": lambda s, d: segment.order_check(segment.with_paragraphs(docs(s, d))).select("doc_id", "in_order", F.size("paras").cast("long").alias("n_paras")),
     "spec_groups": spec_groups,
     "call_plan_counts": call_plan_counts,

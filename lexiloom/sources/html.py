@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.operators.segment import unrolled
+
 HIDDEN = r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<!--.*?-->"
 BREAKS = r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|aside|blockquote|pre|br|hr|title|head|body|html)\b[^>]*>"
 #: Named references that are decoded, the ampersand last so that nothing is decoded twice.
@@ -26,14 +28,14 @@ def visible(html: Column) -> Column:
 def links(pages: DataFrame) -> DataFrame:
     """(page_id, link_idx, href): distinct targets of a page in order of first appearance."""
     hrefs = F.array_distinct(F.regexp_extract_all("html", F.lit(r'<a\b[^>]*\bhref="([^"]*)"'), 1))
-    return pages.select("page_id", F.posexplode(hrefs).alias("link_idx", "href"))
+    return unrolled(pages, ["page_id"], hrefs, "link_idx", "href")
 
 
 def headings(pages: DataFrame) -> DataFrame:
     """(page_id, heading_idx, md): headings as Markdown."""
     found = F.regexp_extract_all("html", F.lit(r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]>"), 0)
     level = lambda h: F.regexp_extract(h, r"(?i)^<h([1-6])", 1).cast("int")
-    return pages.select("page_id", F.posexplode(found).alias("heading_idx", "h")).select("page_id", "heading_idx", F.concat(F.repeat(F.lit("#"), level(F.col("h"))), F.lit(" "), F.trim(decoded(F.regexp_replace("h", r"<[^>]*>", "")))).alias("md"))
+    return unrolled(pages, ["page_id"], found, "heading_idx", "h").select("page_id", "heading_idx", F.concat(F.repeat(F.lit("#"), level(F.col("h"))), F.lit(" "), F.trim(decoded(F.regexp_replace("h", r"<[^>]*>", "")))).alias("md"))
 
 
 def documents(pages: DataFrame) -> DataFrame:

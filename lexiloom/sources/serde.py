@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.structure import to_dict, type_of, type_text
+from lexiloom.operators.segment import unrolled
 from lexiloom.plans.specs import Aspect, Concept, Group, Model, Pipeline, Pricing, SpecError
 
 CLASSES = {c.__name__: c for c in (Aspect, Concept, Pipeline, Model, Group, Pricing)}
@@ -17,18 +18,18 @@ CLASSES = {c.__name__: c for c in (Aspect, Concept, Pipeline, Model, Group, Pric
 SECRET = ("api_key", "api_base")
 
 
-def documents_json(paras: DataFrame) -> DataFrame:
-    """(doc_id, json): a document with its paragraphs in order, non-ASCII kept."""
-    listed = F.array_sort(F.collect_list(F.struct("para_idx", "raw_text"))).alias("listed")
-    held = F.transform("listed", lambda p: F.struct(p["raw_text"].alias("raw_text"))).alias("paragraphs")
-    return paras.groupBy("doc_id").agg(listed).select("doc_id", F.to_json(F.struct(F.lit("Document").alias("class"), "doc_id", held)).alias("json"))
+def documents_json(docs: DataFrame, paras: str = "paras") -> DataFrame:
+    """(doc_id, json) of documents with an array of paragraphs, non-ASCII kept. Narrow."""
+    held = F.transform(paras, lambda p: F.struct(p.alias("raw_text"))).alias("paragraphs")
+    return docs.select("doc_id", F.to_json(F.struct(F.lit("Document").alias("class"), "doc_id", held)).alias("json"))
 
 
 def documents_from_json(rows: DataFrame) -> DataFrame:
     """(doc_id, para_idx, raw_text) of such JSON; rows of another class are an error."""
     parsed = F.from_json("json", "class string, doc_id long, paragraphs array<struct<raw_text:string>>")
     checked = F.when(parsed["class"] == "Document", parsed).otherwise(F.raise_error(F.lit("not a document")).cast(rows.select(parsed.alias("x")).schema["x"].dataType))
-    return rows.select(checked.alias("d")).select("d.doc_id", F.posexplode("d.paragraphs").alias("para_idx", "p")).select("doc_id", "para_idx", "p.raw_text")
+    found = rows.select(checked.alias("d")).select("d.doc_id", "d.paragraphs")
+    return unrolled(found, ["doc_id"], F.col("paragraphs"), "para_idx", "p").select("doc_id", "para_idx", "p.raw_text")
 
 
 def to_plain(x):
