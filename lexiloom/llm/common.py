@@ -2,75 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import shutil
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiloom.operators.runtime import prepare as python_batches
+from lexiloom.operators.runtime import shared_dir, table, written
+
+__all__ = ["python_batches", "shared_dir", "table"]
+
 #: The white space of the contracts: ``[\x20\x09-\x0D]``.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows handed to Python at once. Texts can be long, so batches are kept short.
-ROWS_PER_BATCH = 1000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` below ``sf_dir``, read by Spark (any store)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each application."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        _shipped.add(app)
-        package = Path(__file__).resolve().parents[1]
-        at = tempfile.mkdtemp(prefix="lexiloom-")  # the driver serves it to executors while it runs
-        atexit.register(shutil.rmtree, at, True)
-        with zipfile.ZipFile(f"{at}/lexiloom-package.zip", "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        spark.sparkContext.addPyFile(f"{at}/lexiloom-package.zip")
-
-
-def python_batches(spark: SparkSession) -> None:
-    """Before Python runs on executors: ship the package, and bound what one Arrow batch can hold unless the session did."""
-    ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) in (0, -1, 10000):
-        spark.conf.set(key, str(ROWS_PER_BATCH))
-
-
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below ``spark.checkpoint.dir`` (a temporary one only where that is unset)."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            top = found.get()
-        else:
-            top = tempfile.mkdtemp(prefix="lexiloom-")
-            spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/lexiloom/{what}-{uuid.uuid4().hex}"
-
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there."""
-    path = shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, shared_dir(df.sparkSession, what))
 
 
 class Scratch:
@@ -81,9 +32,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, what: str) -> DataFrame:
         self.n += 1
-        path = f"{self.top}/{self.n:03d}-{what}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return written(df, f"{self.top}/{self.n:03d}-{what}")
 
     def clear(self) -> None:
         jvm = self.spark._jvm

@@ -33,19 +33,41 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from lexiloom.llm.common import map_batches, table
-from lexiloom.llm.pretokens import PretokenTable
+from lexiloom.llm.pretokens import BatchTable
 
 DROPOUT = 0.1
 SEED = 20_240_601
 VARIANTS = 4
+#: Distinct words whose segmentations are kept between batches.
+MOST_WORDS = 600000
 #: Words of more characters than this use the heap.
 LONG = 48
-WORDS = re.compile(" *[^ ]+| +")
-#: Finer words for models none of whose pieces joins a Latin letter to anything but
-#: letters and a space before them.
+#: Kinds of code points below U+0250: 0 other, 1 Latin letter, 2 space.
 _L = "A-Za-zÀ-ÖØ-öø-\u024f"
-FINE_WORDS = re.compile(f" *[{_L}]+| *[^ {_L}]+| +")
+_KIND = np.array([2 if c == 32 else 1 if re.match(f"[{_L}]", chr(c)) else 0 for c in range(0x250)], np.uint8)
 MIXED = re.compile(f"[{_L}][^{_L}]|[^ {_L}][{_L}]")
+
+
+def word_cut(fine: bool):
+    """Words: a run of anything but spaces with the spaces before it, or spaces at a text's end.
+
+    ``fine``: Latin letters and other characters are words of their own, for models
+    none of whose pieces joins a letter to anything but letters and spaces before them.
+    """
+
+    def cut(texts: list[str], codes: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        kind = _KIND[np.minimum(codes, 0x24F)]
+        kind[codes >= 0x250] = 0
+        if not fine:
+            kind[kind == 1] = 0
+        start = np.ones(len(codes), bool)
+        start[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != 2)
+        start[(ends - sizes)[sizes > 0]] = True
+        return start
+
+    return cut
+
+
 _M = 0xFFFFFFFFFFFFFFFF
 _C1, _C2, _C3 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15
 NEVER = np.int64(1 << 40)
@@ -75,7 +97,7 @@ class Pieces:
             if len(p) == 1:
                 self.char[ord(p)] = i
             pairs += [(ids[p[:k]] << 32 | ids[p[k:]], i, rank[i]) for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
-        self.words = WORDS if any(map(MIXED.search, ids)) else FINE_WORDS
+        self.fine = not any(map(MIXED.search, ids))
         pairs.sort()
         self.keys, self.made, self.rank = (np.array(c, np.int64) for c in zip(*pairs))
         self.byte = np.zeros(256, np.int64)
@@ -188,7 +210,7 @@ class Segmenter:
             raise ValueError("dropout is in [0, 1), variants at least 1")
         self.model, self.seed = pieces(path), seed
         self.bound, self.variants = int(dropout * (1 << 53)), variants if dropout else 1
-        self.table = PretokenTable(250_000)
+        self.table = BatchTable(word_cut(self.model.fine), MOST_WORDS)
         self._empty()
 
     def _empty(self):
@@ -246,7 +268,7 @@ class Segmenter:
 
     def __call__(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and each text's number of ids."""
-        flat, lengths, new, anew = self.table.number([self.model.words.findall(" " + t) if t else [] for t in texts])
+        flat, lengths, new, anew = self.table.number([" " + t if t else "" for t in texts])
         if anew:
             self._empty()
         self.words += new

@@ -202,10 +202,13 @@ _VALUES = _mix((np.arange(0x250, dtype=np.uint64) + np.uint64(1)) * _C2)
 
 
 class BatchTable:
-    """Numbers the distinct pre-tokens of batches by a 128-bit hash; emptied once it holds ``most``."""
+    """Numbers the distinct pieces that texts are cut into, by a 128-bit hash; emptied once it holds ``most``.
 
-    def __init__(self, path: str, most: int):
-        self.path, self.most, self.slots = path, most, Slots()
+    ``cut`` says where pieces begin: (texts, code points, text sizes, text ends) -> booleans.
+    """
+
+    def __init__(self, cut, most: int):
+        self.cut, self.most, self.slots = cut, most, Slots()
 
     def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], bool]:
         """As ``PretokenTable.number``, from the texts themselves."""
@@ -218,29 +221,9 @@ class BatchTable:
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64), [], anew
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum(sizes)
-        held = specials(self.path)
-        odd = [i for i, t in enumerate(texts) if t and (_WIDE_AT_ALL.search(t) or any(s in t for s in held))]
-        plain = codes if not odd else np.where(codes < 0x250, codes, 0)
-        start = starts_of(plain, (ends - sizes)[sizes > 0])
-        for i in odd:  # texts that need the library's own rules
-            a = ends[i] - sizes[i]
-            cuts = np.cumsum([0, *map(len, split(texts[i], self.path))][:-1])
-            start[a : ends[i]] = False
-            start[a + cuts] = True
-        at = np.flatnonzero(start)
+        at = np.flatnonzero(self.cut(texts, codes, sizes, ends))
         length = np.diff(np.append(at, len(codes)))
-        place = np.arange(len(codes)) - np.repeat(at, length)
-        longest = int(length.max())
-        value = _VALUES[plain]
-        if odd:
-            wide = codes >= 0x250
-            value[wide] = _mix((codes[wide].astype(np.uint64) + np.uint64(1)) * _C2)
-        hashes = []
-        for k in range(2):
-            if longest > len(_powers[k]):
-                _powers[k] = np.cumprod(np.full(2 * longest, _BASES[k]))
-            hashes.append(_mix(np.add.reduceat(value * _powers[k][place], at) + length.astype(np.uint64) * _C1))
-        key, check = hashes[0] | np.uint64(1), hashes[1]
+        key, check = self._hashes(codes, at, length)
         number = self.slots.find(key, check)
         miss = np.flatnonzero(number < 0)
         new: list[str] = []
@@ -251,5 +234,34 @@ class BatchTable:
             self.slots.add(key[one], check[one])
             number[miss] = begin + back
             new = [whole[a : a + n] for a, n in zip(at[one].tolist(), length[one].tolist())]
-        upto = np.searchsorted(at, ends)
-        return number, np.diff(np.concatenate([[0], upto])), new, anew
+        return number, np.diff(np.concatenate([[0], np.searchsorted(at, ends)])), new, anew
+
+    @staticmethod
+    def _hashes(codes: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.arange(len(codes), dtype=np.int32) - np.repeat(at.astype(np.int32), length)
+        wide = np.flatnonzero(codes >= 0x250)
+        value = _VALUES[codes if not len(wide) else np.minimum(codes, 0x24F)]
+        if len(wide):
+            value[wide] = _mix((codes[wide].astype(np.uint64) + np.uint64(1)) * _C2)
+        size, out, longest = length.astype(np.uint64) * _C1, [], int(length.max())
+        for k in range(2):
+            if longest > len(_powers[k]):
+                _powers[k] = np.cumprod(np.full(2 * longest, _BASES[k]))
+            out.append(_mix(np.add.reduceat(value * _powers[k][place], at) + size))
+        return out[0] | np.uint64(1), out[1]
+
+
+def pretoken_cut(path: str):
+    """The cut of a tokenizer file's pre-tokens."""
+
+    def cut(texts: list[str], codes: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        held = specials(path)
+        odd = [i for i, t in enumerate(texts) if t and (_WIDE_AT_ALL.search(t) or any(s in t for s in held))]
+        start = starts_of(codes if not odd else np.where(codes < 0x250, codes, 0), (ends - sizes)[sizes > 0])
+        for i in odd:  # texts that need the library's own rules
+            a = ends[i] - sizes[i]
+            start[a : ends[i]] = False
+            start[a + np.cumsum([0, *map(len, split(texts[i], path))][:-1])] = True
+        return start
+
+    return cut

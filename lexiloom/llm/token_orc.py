@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import map_batches, materialize, python_batches, shared_dir, shuffle_width, table
-from lexiloom.llm.pretokens import BatchTable, tokenizer
+from lexiloom.llm.common import map_batches, materialize, python_batches, release, shared_dir, shuffle_width, table
+from lexiloom.llm.pretokens import BatchTable, pretoken_cut, tokenizer
 from lexiloom.llm.token_count import default_path
 
 END_ID = 2
 #: Distinct pre-tokens whose ids are kept between batches.
-MOST_PRETOKENS = 1_500_000
+MOST_PRETOKENS = 1_000_000
 ROW_INDEX = 1000
 STRIPE_BYTES = 8 << 20
 #: A file holds no fewer documents than this; else there are as many files as shuffle partitions.
@@ -46,7 +46,7 @@ class Encoder:
     """Ids of texts; ids of distinct pre-tokens are kept between batches as one ragged array."""
 
     def __init__(self, path: str):
-        self.path, self.table = path, BatchTable(path, MOST_PRETOKENS)
+        self.path, self.table = path, BatchTable(pretoken_cut(path), MOST_PRETOKENS)
         self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def __call__(self, texts: list[str], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +108,7 @@ def encode(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame
             rows = pa.array(np.arange(row, row + batch.num_rows))
             row += batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(types[0]), rows, lists], ["doc_id", "row", "ids"])
+        release()
 
     return docs.mapInArrow(run, "doc_id long, row long, ids array<int>")
 
