@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of few partitions dealt out over the cores, for costly row-wise work; others as they are.
+
+    Small files have one row group, which one task would read and work on alone. Only for
+    plans without a shuffle: asking for their partitions runs nothing.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if 2 * scan.rdd.getNumPartitions() <= cores else scan
+
+
 def prepare(spark: SparkSession) -> None:
     """Ship this package to Python workers once, and bound the rows of an Arrow batch unless the session did."""
     app = spark.sparkContext.applicationId

@@ -39,7 +39,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run(frame: DataFrame, aspects=(), concepts=(), what="all", **settings) -> extract.Extraction:
-    return extract.extract(frame, S.Pipeline(aspects, concepts), MODELS, BACKENDS, engine.Settings(**settings), what, keep_prompts=False)
+    return extract.extract(runtime.spread(frame), S.Pipeline(aspects, concepts), MODELS, BACKENDS, engine.Settings(**settings), what, keep_prompts=False)
 
 
 def _items(frame: DataFrame, aspects=(), concepts=(), **settings) -> DataFrame:
