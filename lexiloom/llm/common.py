@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators.runtime import prepare as python_batches
-from lexiloom.operators.runtime import shared_dir, table, written
+from lexiloom.operators.runtime import shared_dir, spread, table, written
 
-__all__ = ["python_batches", "shared_dir", "table"]
+__all__ = ["python_batches", "shared_dir", "spread", "table"]
 
 #: The white space of the contracts: ``[\x20\x09-\x0D]``.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -21,7 +21,7 @@ from html import unescape
 import numpy as np
 from pyspark.sql import DataFrame
 
-from lexiloom.llm.common import map_batches, table
+from lexiloom.llm.common import map_batches, spread, table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(script|style|template|noscript|svg|math|iframe|object|textarea|select)\b[^>]*>.*?(?:</\1\s*>|$)"
@@ -228,4 +228,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages"))
+    return extract(spread(table(spark, sf_dir, "pages")))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from lexiloom.llm.common import map_batches, python_batches, release, table
+from lexiloom.llm.common import map_batches, python_batches, release, spread, table
 
 WINDOW = 256
 EMBED = 8
@@ -229,4 +229,4 @@ def known_language(docs: DataFrame, net: ByteNet | None = None, min_score: float
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return language_id(table(spark, sf_dir, "documents"))
+    return language_id(spread(table(spark, sf_dir, "documents")))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from lexiloom.llm import ebml
-from lexiloom.llm.common import map_batches, table
+from lexiloom.llm.common import map_batches, spread, table
 
 UNIT = 64
 
@@ -93,4 +93,4 @@ def features(media: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return features(to_matroska(table(spark, sf_dir, "documents")))
+    return features(to_matroska(spread(table(spark, sf_dir, "documents"))))

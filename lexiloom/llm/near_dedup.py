@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import Scratch, keep_rows, map_batches, materialize, python_batches, release, row_id, shuffle_width, table
+from lexiloom.llm.common import Scratch, keep_rows, map_batches, materialize, python_batches, release, row_id, shuffle_width, spread, table
 from lexiloom.llm.components import components
 from lexiloom.llm.shingles import _C2, _PLACES, MinHasher, mix, shingle_sets
 
@@ -331,4 +331,4 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return near_duplicates(spread(table(spark, sf_dir, "documents")), k=3, percent=85)

@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from lexiloom.llm.common import map_batches, table
+from lexiloom.llm.common import map_batches, spread, table
 from lexiloom.llm.pretokens import BatchTable
 
 DROPOUT = 0.1
@@ -345,4 +345,4 @@ def default_path() -> str:
 
 def query(spark, sf_dir: str) -> DataFrame:
     path = default_path()
-    return digests(decode(encode(table(spark, sf_dir, "documents"), path), path))
+    return digests(decode(encode(spread(table(spark, sf_dir, "documents")), path), path))

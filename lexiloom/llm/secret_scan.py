@@ -27,7 +27,7 @@ import struct
 
 from pyspark.sql import DataFrame
 
-from lexiloom.llm.common import map_batches, table
+from lexiloom.llm.common import map_batches, spread, table
 
 #: Kinds in the order of their spans where these start together (fixed values).
 KINDS = ("assign", "access", "hex", "pem", "der", "ssh", "jwt")
@@ -214,4 +214,4 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(spread(table(spark, sf_dir, "documents")))

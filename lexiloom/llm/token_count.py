@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexiloom.llm.common import map_batches, table
+from lexiloom.llm.common import map_batches, spread, table
 from lexiloom.llm.pretokens import PretokenTable, specials, split
 
 LIMIT = 512
@@ -166,4 +166,4 @@ def default_path() -> str:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), default_path())
+    return token_counts(spread(table(spark, sf_dir, "documents")), default_path())
