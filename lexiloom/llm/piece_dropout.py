@@ -39,7 +39,7 @@ DROPOUT = 0.1
 SEED = 20_240_601
 VARIANTS = 4
 #: Distinct words whose segmentations are kept between batches.
-MOST_WORDS = 600000
+MOST_WORDS = 300_000
 #: Words of more characters than this use the heap.
 LONG = 48
 #: Kinds of code points below U+0250: 0 other, 1 Latin letter, 2 space.
