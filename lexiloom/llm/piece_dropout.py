@@ -40,6 +40,8 @@ SEED = 20_240_601
 VARIANTS = 4
 #: Distinct words whose segmentations are kept between batches.
 MOST_WORDS = 300_000
+#: Texts segmented at once; their arrays are what a worker's memory goes to.
+AT_ONCE = 200
 #: Words of more characters than this use the heap.
 LONG = 48
 #: Kinds of code points below U+0250: 0 other, 1 Latin letter, 2 space.
@@ -307,7 +309,9 @@ def encode(docs: DataFrame, path: str, *, dropout: float = DROPOUT, seed: int =
 
     def body(cols):
         keys = np.array([(d or 0) & _M for d in cols["doc_id"].to_pylist()], np.uint64)
-        ids, sizes = segmenter(path, dropout, seed, variants)([t or "" for t in cols["text"].to_pylist()], keys)
+        texts, work = [t or "" for t in cols["text"].to_pylist()], segmenter(path, dropout, seed, variants)
+        parts = [work(texts[i : i + AT_ONCE], keys[i : i + AT_ONCE]) for i in range(0, len(texts), AT_ONCE)]
+        ids, sizes = (np.concatenate(x) for x in zip(*parts))
         ids = ids.astype("<i4")
         ends = np.cumsum(sizes)
         offsets = np.concatenate([[0], ends]).astype(np.int32)
