@@ -35,11 +35,11 @@ PRICE = S.NumericalConcept("Price", "Total price", numeric_type="float", rule={"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runtime.table(spark, sf_dir, "documents")
+    return runtime.spread(runtime.table(spark, sf_dir, "documents"))
 
 
 def _run(frame: DataFrame, aspects=(), concepts=(), what="all", **settings) -> extract.Extraction:
-    return extract.extract(runtime.spread(frame), S.Pipeline(aspects, concepts), MODELS, BACKENDS, engine.Settings(**settings), what, keep_prompts=False)
+    return extract.extract(frame, S.Pipeline(aspects, concepts), MODELS, BACKENDS, engine.Settings(**settings), what, keep_prompts=False)
 
 
 def _items(frame: DataFrame, aspects=(), concepts=(), **settings) -> DataFrame:
@@ -47,7 +47,7 @@ def _items(frame: DataFrame, aspects=(), concepts=(), **settings) -> DataFrame:
 
 
 def _order_docs(spark, sf_dir) -> DataFrame:
-    o = runtime.table(spark, sf_dir, "orders")
+    o = runtime.spread(runtime.table(spark, sf_dir, "orders"))
     line = F.format_string("Order number %d with status %s came on %s, total %s.", "o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "d-M-yyyy"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
     return o.select(F.col("o_orderkey").alias("doc_id"), line.alias("text"))
 
