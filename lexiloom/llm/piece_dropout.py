@@ -3,12 +3,12 @@
 Texts are cut into words where no piece of the model can cross (spaces stand before
 a word, and Latin letters end at other characters where the vocabulary says so), and each word is segmented by an
 agenda of candidate merges: the best-scored pair, the leftmost on ties, is taken
-out; a keyed hash of (seed, variant, word, place, merged piece) decides whether it
-is skipped for good or applied, which puts the new neighbours' pairs on the
-agenda. Which of ``variants`` segmentations an occurrence gets is a keyed hash of
-the document and the word's place in it, so words vary within a text, reruns
-agree, and each (word, variant) is worked out once per task. Short words run
-through the agenda together in numpy, long ones on a heap.
+out; a keyed hash of (seed, document, word's place in it, word, place, merged piece)
+decides whether it is skipped for good or applied, which puts the new neighbours'
+pairs on the agenda. So each occurrence of a word is drawn on its own, and reruns
+agree. What is kept of a word is its run without dropout: the pieces and the merges
+made. An occurrence none of whose merges is skipped gets these pieces, the others
+run through the agenda anew: short words together in numpy, long ones on a heap.
 
 Characters without a piece become byte pieces, and so does a literal U+2581
 (which the library would turn into a space); so decoding gives back every text
@@ -37,7 +37,6 @@ from lexiloom.llm.pretokens import BatchTable
 
 DROPOUT = 0.1
 SEED = 20_240_601
-VARIANTS = 4
 #: Distinct words whose segmentations are kept between batches.
 MOST_WORDS = 300_000
 #: Texts segmented at once; their arrays are what a worker's memory goes to.
@@ -124,15 +123,35 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def _salt(place: np.ndarray, made: np.ndarray) -> np.ndarray:
+    """What of a candidate merge goes into its hash."""
+    with np.errstate(over="ignore"):
+        return place.astype(np.uint64) * np.uint64(_C3) + made.astype(np.uint64) * np.uint64(_C2)
+
+
+def _below(key: np.ndarray, salt: np.ndarray, bound: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (_mix(key ^ salt) >> np.uint64(11)) < np.uint64(bound)
+
+
 def _skipped(key, place, made, bound) -> np.ndarray:
     """The keyed hash of a candidate merge, against the dropout probability."""
-    with np.errstate(over="ignore"):
-        h = _mix(key ^ (place.astype(np.uint64) * np.uint64(_C3) + made.astype(np.uint64) * np.uint64(_C2)))
-    return (h >> np.uint64(11)) < np.uint64(bound)
+    return _below(key, _salt(place, made), bound)
+
+
+def _skips(key: int, place: int, made: int, bound: int) -> bool:
+    """``_skipped`` of one candidate."""
+    x = key ^ (place * _C3 + made * _C2 & _M)
+    x = (x ^ x >> 33) * _C1 & _M
+    x = (x ^ x >> 33) * _C2 & _M
+    return (x ^ x >> 33) >> 11 < bound
 
 
-def segment_heap(symbols: list[int], key: int, bound: int, model: Pieces) -> list[int]:
-    """One word, on a heap of (rank, place); ``symbols`` are its characters' piece ids."""
+def segment_heap(symbols: list[int], key: int, bound: int, model: Pieces, merges: list | None = None) -> list[int]:
+    """One word, on a heap of (rank, place); ``symbols`` are its characters' piece ids.
+
+    ``merges`` takes the (place, piece) of each merge that is made.
+    """
     n = len(symbols)
     sym, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
     agenda: list[tuple[int, int, int, int, int]] = []
@@ -148,8 +167,10 @@ def segment_heap(symbols: list[int], key: int, bound: int, model: Pieces) -> lis
         _, a, b, made, was = heapq.heappop(agenda)
         if dead[a] or dead[b] or after[a] != b or sym[a] << 32 | sym[b] != was:
             continue
-        if bound and bool(_skipped(np.array([key], np.uint64), np.array([a]), np.array([made]), bound)[0]):
+        if bound and _skips(key, a, made, bound):
             continue
+        if merges is not None:
+            merges.append((a, made))
         sym[a], dead[b], after[a] = made, True, after[b]
         if after[a] < n:
             before[after[a]] = a
@@ -158,10 +179,11 @@ def segment_heap(symbols: list[int], key: int, bound: int, model: Pieces) -> lis
     return [s for s, d in zip(sym, dead) if not d]
 
 
-def segment_batch(sym: np.ndarray, length: np.ndarray, key: np.ndarray, bound: int, model: Pieces) -> tuple[np.ndarray, np.ndarray]:
+def segment_batch(sym: np.ndarray, length: np.ndarray, key: np.ndarray, bound: int, model: Pieces, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Many short words at once: each round takes one candidate off every word's agenda.
 
     Returns the surviving symbols, word after word, and how many each word has.
+    ``merges`` takes arrays of the (word, place, piece) of the merges made, one a round.
     """
     owner = np.repeat(np.arange(len(length)), length)
     place = np.arange(len(sym)) - np.repeat(np.cumsum(length) - length, length)
@@ -183,6 +205,8 @@ def segment_batch(sym: np.ndarray, length: np.ndarray, key: np.ndarray, bound: i
         out = _skipped(key[owner[hit]], place[hit], made[hit], bound) if bound else np.zeros(len(hit), bool)
         rank[hit[out]] = NEVER
         hit = hit[~out]
+        if merges is not None:
+            merges.append((owner[hit], place[hit], made[hit]))
         sym[hit] = made[hit]
         keep = np.ones(len(sym), bool)
         keep[hit + 1] = False
@@ -204,55 +228,88 @@ def segment_batch(sym: np.ndarray, length: np.ndarray, key: np.ndarray, bound: i
     return sym[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(length))
 
 
+class Rows:
+    """Rows of numbers one after another in an array that doubles as it fills."""
+
+    def __init__(self, kind):
+        self.flat, self.begin, self.size, self.n = np.zeros(1024, kind), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        if self.n + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.n], np.zeros(max(self.n, len(flat)) + len(flat), self.flat.dtype)])
+        self.flat[self.n : self.n + len(flat)] = flat
+        self.begin = np.concatenate([self.begin, self.n + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.n += len(flat)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows' numbers one after another, and each row's size."""
+        size = self.size[rows]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.begin[rows] - (ends - size), size) + np.arange(int(size.sum()))], size
+
+
 class Segmenter:
-    """Ids of texts; each (word, variant) met so far is kept as a slice of one array."""
+    """Ids of texts; of each word met so far its symbols, its pieces without dropout and their merges are kept.
+
+    ``variants`` holds the segmentations of a word to so many; without it each occurrence is drawn on its own.
+    """
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int):
-        if not 0 <= dropout < 1 or variants < 1:
+    def __init__(self, path: str, dropout: float, seed: int, variants: int | None = None):
+        if not 0 <= dropout < 1 or variants is not None and variants < 1:
             raise ValueError("dropout is in [0, 1), variants at least 1")
         self.model, self.seed = pieces(path), seed
-        self.bound, self.variants = int(dropout * (1 << 53)), variants if dropout else 1
+        self.bound, self.variants = int(dropout * (1 << 53)), variants
         self.table = BatchTable(word_cut(self.model.fine), MOST_WORDS)
         self._empty()
 
     def _empty(self):
-        self.words: list[str] = []
         self.hashes = np.zeros(0, np.uint64)
-        self.begin, self.size = np.full(0, -1, np.int64), np.zeros(0, np.int32)
-        self.ids = np.zeros(0, np.int32)
+        self.symbols, self.plain, self.salts = Rows(np.int32), Rows(np.int32), Rows(np.uint64)
 
     def _hashes(self, words: list[str]) -> np.ndarray:
         seed = self.seed & _M
         return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in words), np.uint64, len(words))
 
-    def _work(self, combos: np.ndarray) -> None:
-        """Segment (word number * variants + variant) values that are new."""
-        number, variant = np.divmod(combos, self.variants)
-        chosen = list(map(self.words.__getitem__, number.tolist()))
-        with np.errstate(over="ignore"):
-            keys = _mix(self.hashes[number] + variant.astype(np.uint64) * np.uint64(_C3))
-        lengths = np.fromiter(map(len, chosen), np.int64, len(chosen))
-        points = np.frombuffer("".join(chosen).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    def _learn(self, words: list[str]) -> None:
+        """Keep new words and their runs without dropout."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sym = self.model.char[points]
         sym = np.where(sym < 0, -1 - points, sym)
+        merges: list[tuple] = []
+        self.plain.add(*self._segment(sym, lengths, np.zeros(len(words), np.uint64), 0, merges))
+        self.hashes = np.concatenate([self.hashes, self._hashes(words)])
+        self.symbols.add(sym, lengths)
+        owner, place, made = (np.concatenate(x) for x in zip(*merges)) if merges else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(owner, kind="stable")
+        self.salts.add(_salt(place, made)[order], np.bincount(owner, minlength=len(words)))
+
+    def _segment(self, sym: np.ndarray, lengths: np.ndarray, keys: np.ndarray, bound: int, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of ``lengths`` symbols, one after another, and each word's number of ids."""
         starts = np.cumsum(lengths) - lengths
         long = lengths > LONG
-        short = np.repeat(~long, lengths)
-        got, sizes = segment_batch(sym[short], lengths[~long], keys[~long], self.bound, self.model)
-        all_sizes = np.zeros(len(chosen), np.int64)
+        number = np.flatnonzero(~long)
+        got, sizes = segment_batch(sym[np.repeat(~long, lengths)], lengths[~long], keys[~long], bound, self.model, merges)
+        if merges:
+            merges[:] = [(number[owner], place, made) for owner, place, made in merges]
+        if not long.any():
+            return self._bytes(got, sizes)
+        all_sizes = np.zeros(len(lengths), np.int64)
         all_sizes[~long] = sizes
-        heaps = {int(i): segment_heap(sym[starts[i] : starts[i] + lengths[i]].tolist(), int(keys[i]), self.bound, self.model) for i in np.flatnonzero(long)}
-        for i, s in heaps.items():
-            all_sizes[i] = len(s)
+        heaps = {}
+        for i in np.flatnonzero(long).tolist():
+            made: list | None = None if merges is None else []
+            heaps[i] = segment_heap(sym[starts[i] : starts[i] + lengths[i]].tolist(), int(keys[i]), bound, self.model, made)
+            all_sizes[i] = len(heaps[i])
+            if made:
+                merges.append((np.full(len(made), i), *np.array(made, np.int64).T))
         flat = np.empty(int(all_sizes.sum()), np.int64)
         flat[np.repeat(~long, all_sizes)] = got
         ends = np.cumsum(all_sizes)
         for i, s in heaps.items():
             flat[ends[i] - len(s) : ends[i]] = s
-        flat, all_sizes = self._bytes(flat, all_sizes)
-        self.begin[combos] = len(self.ids) + np.cumsum(all_sizes) - all_sizes
-        self.size[combos] = all_sizes
-        self.ids = np.concatenate([self.ids, flat.astype(np.int32)])
+        return self._bytes(flat, all_sizes)
 
     def _bytes(self, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Replace characters without a piece (negative symbols) by their byte pieces."""
@@ -268,33 +325,47 @@ class Segmenter:
         ends = np.cumsum(sizes)
         return out, total[ends] - total[ends - sizes]
 
+    def _keys(self, flat: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """A key of each occurrence: of its document, its place there and its word."""
+        nth = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        with np.errstate(over="ignore"):
+            turn = _mix(np.repeat(_mix(keys.astype(np.uint64) + np.uint64(self.seed & _M)), lengths) + nth.astype(np.uint64) * np.uint64(_C3))
+            if self.variants:
+                turn %= np.uint64(self.variants)
+            return _mix(self.hashes[flat] + turn * np.uint64(_C3))
+
     def __call__(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and each text's number of ids."""
         flat, lengths, new, anew = self.table.number([" " + t if t else "" for t in texts])
         if anew:
             self._empty()
-        self.words += new
-        self.hashes = np.concatenate([self.hashes, self._hashes(new)])
-        grown = np.full(len(new) * self.variants, -1, np.int64)
-        self.begin, self.size = np.concatenate([self.begin, grown]), np.concatenate([self.size, np.zeros(len(grown), np.int32)])
-        if self.variants > 1:
-            nth = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            with np.errstate(over="ignore"):
-                turn = _mix(np.repeat(keys.astype(np.uint64) + np.uint64(self.seed), lengths) * np.uint64(_C3) + nth.astype(np.uint64))
-            flat = flat * self.variants + (turn % np.uint64(self.variants)).astype(np.int64)
-        missing = np.unique(flat[self.begin[flat] < 0])
-        if len(missing):
-            self._work(missing)
-        size, begin = self.size[flat].astype(np.int64), self.begin[flat]
-        ends = np.cumsum(size)
-        ids = self.ids[np.repeat(begin - (ends - size), size) + np.arange(int(size.sum()))]
-        total = np.concatenate([[0], ends])
+        if new:
+            self._learn(new)
+        if self.bound:
+            key = self._keys(flat, lengths, keys)
+            salts, merges = self.salts.take(flat)
+            skipped = np.concatenate([[0], np.cumsum(_below(np.repeat(key, merges), salts, self.bound))])
+            last = np.cumsum(merges)
+            varied = skipped[last] > skipped[last - merges]
+        else:
+            varied = np.zeros(len(flat), bool)
+        size = self.plain.size[flat]
+        if varied.any():
+            sym, lens = self.symbols.take(flat[varied])
+            drawn, size[varied] = self._segment(sym.astype(np.int64), lens, key[varied], self.bound)
+            ids = np.empty(int(size.sum()), np.int32)
+            where = np.repeat(varied, size)
+            ids[where] = drawn
+            ids[~where] = self.plain.take(flat[~varied])[0]
+        else:
+            ids = self.plain.take(flat)[0]
+        total = np.concatenate([[0], np.cumsum(size)])
         last = np.cumsum(lengths)
         return ids, total[last] - total[last - lengths]
 
 
 @lru_cache(maxsize=2)
-def segmenter(path: str, dropout: float, seed: int, variants: int) -> Segmenter:
+def segmenter(path: str, dropout: float, seed: int, variants: int | None) -> Segmenter:
     return Segmenter(path, dropout, seed, variants)
 
 
@@ -304,7 +375,7 @@ def decode_ids(ids: list[int], path: str) -> str:
     return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "surrogatepass")
 
 
-def encode(docs: DataFrame, path: str, *, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, path: str, *, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = None) -> DataFrame:
     """Per row: doc_id, n_pieces, ids_crc32 (of little-endian 32-bit ids), ids."""
 
     def body(cols):

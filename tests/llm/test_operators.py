@@ -400,6 +400,31 @@ def test_heap_and_batch_agree():
         assert piece_dropout.segment_heap(symbols, key, bound, model) == batch.tolist()
 
 
+def test_each_occurrence_is_drawn_on_its_own(spark):
+    """A word keeps its plain pieces as often as under random keys, over documents and within one; its forms are not capped."""
+    n, rng, bound = 3000, random.Random(1), int(0.1 * (1 << 53))
+    for word in ("in", "information"):
+        rows = spark.createDataFrame([(i, word) for i in range(n)] + [(n, " ".join([word] * n))], "doc_id long, text string")
+        got = {r["doc_id"]: r["ids"] for r in piece_dropout.encode(rows, PIECES).collect()}
+        model = piece_dropout.pieces(PIECES)
+        symbols = [int(model.char[ord(c)]) for c in " " + word]
+        (plain,) = piece_dropout.segment_heap(symbols, 0, 0, model)
+        share = sum(piece_dropout.segment_heap(symbols, rng.getrandbits(64), bound, model) == [plain] for _ in range(n)) / n
+        alone, within = sum(got[i] == [plain] for i in range(n)) / n, got[n].count(plain) / n
+        assert abs(alone - share) < 0.03 and abs(within - share) < 0.03, (word, share, alone, within)
+    assert len({tuple(got[i]) for i in range(n)}) > 20
+
+
+def test_kept_words_equal_the_heap():
+    s, bound = piece_dropout.Segmenter(PIECES, 0.25, 5), int(0.25 * (1 << 53))
+    texts = [" ".join("".join(random.Random(i).choices("aeinorst", k=k)) for k in (1, 3, 8, 8, 70, 40)) for i in range(60)] * 2
+    ids, sizes = s(texts, np.arange(len(texts)))
+    flat, lengths, _, _ = s.table.number([" " + t for t in texts])
+    keys = s._keys(flat, lengths, np.arange(len(texts)))
+    want = [i for f, k in zip(flat, keys) for i in piece_dropout.segment_heap(s.symbols.take(np.array([f]))[0].tolist(), int(k), bound, s.model)]
+    assert ids.tolist() == want and sizes.sum() == len(want)
+
+
 def test_piece_table(odd, empty):
     rows = piece_dropout.digests(piece_dropout.decode(piece_dropout.encode(odd, PIECES), PIECES)).collect()
     want = collections.Counter((o[0], hashlib.sha256((o[1] or "").encode()).hexdigest()) for o in ODD)
