@@ -39,10 +39,17 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 SHORTEST_VALUE = 6
 
 PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
-DER_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-P][A-Za-z0-9+/_-]{30,}={0,2}")
+#: Where a run of base64 may begin: also after an escaped line end, and how its lines are joined.
+_FREE = r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n)|(?<=\\r))"
+RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+ESCAPED_END = re.compile(r"\\+[rn]")
+PADDING = re.compile("={0,2}")
+WRAP = re.compile(r"[ \t]*(?:\r?\n|\r|(?:\\+r)?\\+n)[ \t]*")
+DER_BASE64 = re.compile(_FREE + r"M[A-P][A-Za-z0-9+/_-]{30,}={0,2}")
 DER_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}")
-SSH_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]+={0,2}")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+SSH_BASE64 = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\n)|(?<=\\r))b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]+={0,2}")
+#: A header is a JSON object, white space before it or not: its first byte says the first letter.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([eICD][A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*))")
 SSH_MAGIC = b"openssh-key-v1\0"
 
 
@@ -127,7 +134,63 @@ def is_ssh_container(data: bytes) -> bool:
     return bool(private) and len(private) % 8 == 0 and at == len(data)
 
 
+def der_length(data: bytes) -> int:
+    """Bytes of the first value with its head, 0 if the head is broken."""
+    if len(data) < 2:
+        return 0
+    width = data[1] & 127 if data[1] >= 128 else 0
+    if width > 4 or data[1] == 128 or len(data) < 2 + width:
+        return 0
+    return 2 + width + (int.from_bytes(data[2 : 2 + width], "big") if width else data[1])
+
+
+def ssh_length(data: bytes) -> int:
+    """Bytes of an openssh-key-v1 container, 0 if its lengths run over the data."""
+    at = len(SSH_MAGIC)
+    for _ in range(3):  # cipher, KDF, options
+        if at + 4 > len(data):
+            return 0
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    keys = int.from_bytes(data[at : at + 4], "big")
+    at += 4
+    for _ in range(min(keys, 64) + 1):  # public parts and the private one
+        if at + 4 > len(data):
+            return 0
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at
+
+
+def wrapped(text: str, start: int, length_of, is_key) -> int:
+    """End of a key in base64 that begins at ``start`` and goes on over line ends; -1 if there is none."""
+    runs, at, size, need, tried = [], start, 0, 0, 0
+    while m := RUN.match(text, at):
+        runs.append((m.start(), m[0]))
+        size += len(m[0])
+        gap = WRAP.match(text, m.end())
+        if not need and (size >= 2 * tried or not gap):  # its lengths may stand in lines to come
+            head = unbase64("".join(r for _, r in runs)[: size // 4 * 4])
+            need, tried = ((length_of(head) * 8 + 5) // 6 if head is not None else 0), size
+        if not gap or 0 < need <= size or need > len(text) - start:
+            break
+        at = gap.end()
+    whole = "".join(r for _, r in runs)
+    if not 0 < need <= size:
+        return -1
+    data = unbase64(whole[:need])
+    if data is None or not is_key(data):
+        return -1
+    for begin, run in runs:
+        if need <= len(run):
+            break
+        need -= len(run)
+    if need < len(run):  # the run goes on behind the key
+        return -1
+    end = begin + need
+    return end + len(PADDING.match(text, end)[0])
+
+
 def is_pem_body(body: str) -> bool:
+    body = ESCAPED_END.sub("\n", body)
     lines = [x.strip() for x in body.splitlines() if x.strip()]
     headers = [x for x in lines if ":" in x]
     data = unbase64("".join(x for x in lines if ":" not in x).replace(" ", ""))
@@ -174,10 +237,17 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
         if is_pem_body(text[m.end() : stop]):
             spans.append((m.start(), stop + len(end), "pem"))
         at = stop + len(end)
+    pems = list(spans)
+
+    def held(at: int) -> bool:
+        return any(a <= at < b for a, b, _ in pems)
+
     for m in DER_BASE64.finditer(text):
         data = unbase64(m[0])
         if data is not None and is_private_der(data):
             spans.append((m.start(), m.end(), "der"))
+        elif not held(m.start()) and (stop := wrapped(text, m.start(), der_length, is_private_der)) >= 0:
+            spans.append((m.start(), stop, "der"))
     for m in DER_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_private_der(bytes.fromhex(m[0])):
             spans.append((m.start(), m.end(), "der"))
@@ -186,8 +256,13 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             data = unbase64(m[0])
             if data is not None and is_ssh_container(data):
                 spans.append((m.start(), m.end(), "ssh"))
-    if "eyJ" in text:
-        spans += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_signed_token(m[0])]
+            elif not held(m.start()) and (stop := wrapped(text, m.start(), ssh_length, is_ssh_container)) >= 0:
+                spans.append((m.start(), stop, "ssh"))
+    at = 0
+    for m in JWT.finditer(text):
+        if m.start() >= at and is_signed_token(m[1]):
+            at = m.end(1)
+            spans.append((m.start(), at, "jwt"))
     return spans
 
 

@@ -332,6 +332,28 @@ def test_confirmed_secrets(kind, text):
     assert spans == [(2, 2 + len(text), kind)]
 
 
+def lines(text: str, end: str, n: int = 64) -> str:
+    return end.join(text[i : i + n] for i in range(0, len(text), n))
+
+
+@pytest.mark.parametrize("end", ["\\n", "\\r\\n", "\n", "\r\n", "\n    "])
+def test_secrets_over_line_ends(end):
+    """Keys in source code and JSON, and wrapped keys without PEM lines; text of the next line is not taken in."""
+    for name, body in (("PRIVATE KEY", PKCS8), ("OPENSSH PRIVATE KEY", SSH)):
+        text = pem(name, body).replace("\n", end)
+        assert secret_scan.confirmed_spans(f'k = "{text}"') == [(5, 5 + len(text), "pem")]
+    for kind, body in (("der", PKCS8), ("der", RSA), ("ssh", SSH)):
+        text = lines(base64.b64encode(body).decode(), end)
+        assert secret_scan.confirmed_spans(f"key:{end}{text}{end}behind") == [(4 + len(end), 4 + len(end) + len(text), kind)]
+        assert secret_scan.confirmed_spans(f"key:{end}{text[:-9]}{end}") == []
+
+
+@pytest.mark.parametrize("header", ['{ "alg": "HS256"}', '{\n "alg": "RS256"}', '{\r\n"alg":"none"}', ' {"alg": "HS256"}'])
+def test_tokens_with_space_in_the_header(header):
+    token = f"{b64url(header.encode())}.{JWT.split('.', 1)[1]}"
+    assert secret_scan.confirmed_spans(f"at example.{token} end") == [(11, 11 + len(token), "jwt")]
+
+
 def test_unconfirmed_candidates():
     for text in (pem("PRIVATE KEY", PKCS8[:-4]), base64.b64encode(PKCS8[:-1] + b"\0\0").decode(), "eyJhbGciOiJ4.eyJ9.x", "M" * 80, "30" * 60, "-----BEGIN PRIVATE KEY-----" * 50):
         assert secret_scan.confirmed_spans(text) == []
