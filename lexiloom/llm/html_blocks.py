@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from lexiloom.llm.common import map_batches, spread, table
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(script|style|template|noscript|svg|math|iframe|object|textarea|select)\b[^>]*>.*?(?:</\1\s*>|$)"
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(script|style|template|noscript|annotation(?:-xml)?|iframe|object|textarea|select|svg(?!(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>))\b[^>]*>.*?(?:</\1\s*>|$)"
     r"|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.DOTALL | re.IGNORECASE,
 )
 NAMED = re.compile(r"""\b(class|id|role|itemprop|aria-label|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
+#: Of a style only this says that an element is not shown.
+UNSEEN = re.compile(r"visibility\s*:\s*hidden", re.IGNORECASE)
 SPACES = re.compile(r"\s+")
 
 # Elements that begin a block, those that are never content, and
@@ -37,6 +39,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHROME = frozenset("nav header footer aside form menu button dialog head title fieldset".split())
 MAIN = frozenset("article main".split())
+#: Elements around the whole page, whose class says nothing of its parts.
+WHOLE = frozenset("html body".split())
 CHROME_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|sidebar|side|widget|related|recommend\w*|share|social|breadcrumbs?|menu|nav\w*|navigation|footer|header|masthead|toolbar|pagination|pager|comments?|respond|replies|disqus|login|signup|search|form|copyright|contentinfo|complementary|hidden)(?:$|[\s_-])",
     re.IGNORECASE,
@@ -63,7 +67,7 @@ class Block:
 def blocks_of(html: str) -> list[Block]:
     """Text blocks in page order; one ends wherever a block element begins or ends."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, chrome, main, link
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, chrome, main, link
     chrome = main = link = 0
     parts: list[tuple[str, bool]] = []
     tag_of_block = "body"
@@ -109,10 +113,12 @@ def blocks_of(html: str) -> list[Block]:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCKS), None)
                 if depth is not None and stack[depth][0] in group:
                     pop_to(depth)
-            said = " ".join((v or k).strip("\"'") for k, v in NAMED.findall(m[4])) if m[4] else ""
+            said = " ".join((v or k).strip("\"'") if k.lower() != "style" else "hidden" if UNSEEN.search(v) else "" for k, v in NAMED.findall(m[4])) if m[4] else ""
             held = tag in MAIN or bool(said and tag in BLOCKS and MAIN_WORDS.search(said))
-            junk = tag in CHROME or bool(said and (tag in BLOCKS or tag == "span") and CHROME_WORDS.search(said))
-            push(tag, junk, held and not junk, tag == "a")
+            junk = tag in CHROME or bool(said and (tag in BLOCKS or tag == "span") and tag not in WHOLE and CHROME_WORDS.search(said))
+            # an article's wrappers do not say what it is itself; one inside another is its comment or the like
+            freed = sum(c for t, c, *_ in stack if t not in CHROME) if tag in MAIN and not any(t in MAIN for t, *_ in stack) else 0
+            push(tag, junk - freed, held and not junk, tag == "a")
         if tag in BLOCKS:
             tag_of_block = next((t for t, *_ in reversed(stack) if t in BLOCKS), "body")
     if at < len(html):

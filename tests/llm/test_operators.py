@@ -470,6 +470,25 @@ def test_main_text():
         assert html_blocks.main_text(bad) in ("", "<")
 
 
+ARTICLE = "<article><h1>A heading</h1><p>The first paragraph of the article says a lot about its subject.</p><p>The second one goes on about it.</p></article>"
+INSIDE = "A heading\n\nThe first paragraph of the article says a lot about its subject.\n\nThe second one goes on about it."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [f'<html class="no-sidebar has-sidebar"><body class="comments-open has-sidebar">{ARTICLE}</body></html>', f'<body><div class="content-sidebar-wrap"><div class="side">{ARTICLE}</div></div></body>', f'<body><div style="overflow: hidden">{ARTICLE}</div></body>', f'<body>{ARTICLE.replace("<article>", "<article style=\'overflow: hidden\'>")}</body>', f'<body><svg class="a>b" width="1"/><math/>{ARTICLE}</body>', f'<body>{ARTICLE.replace("<h1>", "<svg><text>no</text></svg><h1>")}<div class="sidebar">Related things to read after this</div></body>'],
+)
+def test_articles_in_marked_wrappers(page):
+    assert html_blocks.main_text(page) == INSIDE
+
+
+def test_formulas_are_text_and_comments_are_not():
+    page = ARTICLE.replace("its subject", "<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='application/x-tex'>x=2</annotation></math>")
+    assert html_blocks.main_text(page) == INSIDE.replace("its subject", "x=2")
+    nested = ARTICLE.replace("</article>", '<section id="comments"><article><p>Nice article, I liked it a lot and will come again.</p></article></section></article>')
+    assert html_blocks.main_text(nested) == INSIDE
+
+
 def test_pages_against_their_articles(spark):
     import html
 
