@@ -1,22 +1,27 @@
-"""Web pages as documents, with built-in functions only: paragraphs, headings, links."""
+"""Web pages as documents: paragraphs, headings, links. Character references are decoded in Python, the rest are built-in functions."""
 
 from __future__ import annotations
 
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.operators.runtime import prepare
 from lexiloom.operators.segment import unrolled
 
 HIDDEN = r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<!--.*?-->"
 BREAKS = r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|aside|blockquote|pre|br|hr|title|head|body|html)\b[^>]*>"
-#: Named references that are decoded, the ampersand last so that nothing is decoded twice.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t if t is None or "&" not in t else unescape(t.replace("&nbsp;", " ")))
 
 
 def decoded(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """All named and numeric character references; a no-break space by name is a space."""
+    return F.pandas_udf(_unescaped, "string")(text)
 
 
 def visible(html: Column) -> Column:
@@ -33,6 +38,7 @@ def links(pages: DataFrame) -> DataFrame:
 
 def headings(pages: DataFrame) -> DataFrame:
     """(page_id, heading_idx, md): headings as Markdown."""
+    prepare(pages.sparkSession)
     found = F.regexp_extract_all("html", F.lit(r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]>"), 0)
     level = lambda h: F.regexp_extract(h, r"(?i)^<h([1-6])", 1).cast("int")
     return unrolled(pages, ["page_id"], found, "heading_idx", "h").select("page_id", "heading_idx", F.concat(F.repeat(F.lit("#"), level(F.col("h"))), F.lit(" "), F.trim(decoded(F.regexp_replace("h", r"<[^>]*>", "")))).alias("md"))
@@ -40,4 +46,5 @@ def headings(pages: DataFrame) -> DataFrame:
 
 def documents(pages: DataFrame) -> DataFrame:
     """(doc_id, text) of pages, ready for segmentation."""
+    prepare(pages.sparkSession)
     return pages.select(F.col("page_id").alias("doc_id"), visible(F.col("html")).alias("text"))

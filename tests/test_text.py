@@ -58,3 +58,15 @@ def test_spaces_are_pythons(spark):
     df = spark.createDataFrame([(c,) for c in chars], "c string")
     got = {r["c"] for r in df.where(F.length(T.strip(F.col("c"))) == 0).collect()}
     assert got == {c for c in chars if c.isspace()}
+
+
+def test_all_character_references_are_decoded(spark):
+    import html as library
+
+    from lexiloom.sources import html
+
+    said = "caf&eacute; &mdash; &#233;&#x2019;s &amp;lt; &copy; &hellip; &notanything; a & b"
+    pages = spark.createDataFrame([(1, f"<body><h2>{said}</h2><p>{said}&nbsp;x</p></body>"), (2, None)], "page_id long, html string")
+    text = {r["doc_id"]: r["text"] for r in html.documents(pages).collect()}
+    assert text[2] is None and [t for t in text[1].split("\n") if t] == [library.unescape(said), library.unescape(said) + " x"]
+    assert [r["md"] for r in html.headings(pages).collect()] == ["## " + library.unescape(said)]
