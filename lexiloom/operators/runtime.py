@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -46,19 +48,37 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A new folder below ``spark.checkpoint.dir``; without that, a temporary one for a local master only."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             top = found.get()
-        else:
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             top = tempfile.mkdtemp(prefix="lexiloom-")
             spark.sparkContext.setCheckpointDir(top)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{top.rstrip('/')}/lexiloom/{what}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def brief_shuffles(spark: SparkSession):
+    """Shuffle files of what is written meanwhile go as soon as it is written, not when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """``df`` written as Parquet and read again: calls behind it are made once."""
-    df.write.parquet(path)
+    with brief_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
