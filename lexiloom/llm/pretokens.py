@@ -17,6 +17,8 @@ from itertools import chain, islice
 import numpy as np
 import regex
 
+from lexiloom.llm.hashing import padded, span_hashes
+
 #: Code points of scripts to which Unicode still adds letters; texts with one
 #: of them are split by the tokenizer itself.
 UNSURE = re.compile("[՘-῿⁰-₟꟎-꯿\U00010000-\U0001efff\U00020000-\U0010ffff]")
@@ -186,19 +188,8 @@ class Slots:
             left, at = left[on], (at[on] + 1) & mask
 
 
-_C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-_powers = [np.cumprod(np.full(256, b)) for b in _BASES]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * _C1
-    x = (x ^ (x >> np.uint64(33))) * _C2
-    return x ^ (x >> np.uint64(33))
-
-
-#: Letters' values of the common code points.
-_VALUES = _mix((np.arange(0x250, dtype=np.uint64) + np.uint64(1)) * _C2)
+#: Seeds of a piece's key and of its check.
+_SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
 class BatchTable:
@@ -223,7 +214,7 @@ class BatchTable:
         ends = np.cumsum(sizes)
         at = np.flatnonzero(self.cut(texts, codes, sizes, ends))
         length = np.diff(np.append(at, len(codes)))
-        key, check = self._hashes(codes, at, length)
+        key, check = self._hashes(whole, codes, at, length)
         number = self.slots.find(key, check)
         miss = np.flatnonzero(number < 0)
         new: list[str] = []
@@ -237,18 +228,14 @@ class BatchTable:
         return number, np.diff(np.concatenate([[0], np.searchsorted(at, ends)])), new, anew
 
     @staticmethod
-    def _hashes(codes: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = np.arange(len(codes), dtype=np.int32) - np.repeat(at.astype(np.int32), length)
-        wide = np.flatnonzero(codes >= 0x250)
-        value = _VALUES[codes if not len(wide) else np.minimum(codes, 0x24F)]
-        if len(wide):
-            value[wide] = _mix((codes[wide].astype(np.uint64) + np.uint64(1)) * _C2)
-        size, out, longest = length.astype(np.uint64) * _C1, [], int(length.max())
-        for k in range(2):
-            if longest > len(_powers[k]):
-                _powers[k] = np.cumprod(np.full(2 * longest, _BASES[k]))
-            out.append(_mix(np.add.reduceat(value * _powers[k][place], at) + size))
-        return out[0] | np.uint64(1), out[1]
+    def _hashes(whole: str, codes: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = whole.encode("utf-8", "surrogatepass")
+        if len(raw) > len(codes):  # from code points to bytes
+            ends = np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))
+            first = np.concatenate([[0], ends])[at]
+            length, at = ends[at + length - 1] - first, first
+        data = padded(raw)
+        return span_hashes(data, at, length, _SEEDS[0]) | np.uint64(1), span_hashes(data, at, length, _SEEDS[1])
 
 
 def pretoken_cut(path: str):

@@ -1,59 +1,38 @@
 """Word shingles as 64-bit hashes, and MinHash signatures of them (numpy).
 
 Words are maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``, A-Z lower-cased. A
-word's hash is a polynomial over random 64-bit letters, mixed; a shingle's hash
-mixes its words' hashes with their places. A text with fewer than k words is one
-shingle of all its words, which equals no shingle of another length.
+shingle's hash mixes its words' hashes with their places. A text with fewer than k
+words is one shingle of all its words, which equals no shingle of another length.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+from lexiloom.llm.hashing import mix, padded, span_hashes
+
 _rng = np.random.Generator(np.random.PCG64(20_111_213))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-#: Letters' values with lower-casing done; spaces add nothing.
-_LETTER = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LETTER = np.where(_SPACE, np.uint64(0), _LETTER[_LOWER])
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Translation that lower-cases A-Z.
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_SEED = 0x9E3779B97F4A7C15
 _PLACES = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Multiples of a constant, one for each number of words in a shingle.
-_TIMES = np.arange(65, dtype=np.uint64) * _C1
-_powers = np.cumprod(np.full(64, _BASE))
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * _C1
-    x = (x ^ (x >> np.uint64(33))) * _C2
-    return x ^ (x >> np.uint64(33))
-
-
-def _power(n: int) -> np.ndarray:
-    global _powers
-    if n > len(_powers):
-        _powers = np.cumprod(np.full(2 * n, _BASE))
-    return _powers
+_TIMES = np.arange(65, dtype=np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
 
 
 def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, text after text, and how many words each text has."""
-    data = np.frombuffer(b" ".join([b"", *raws, b""]), np.uint8)
-    space = _SPACE[data]
+    data = padded(b" ".join([b"", *raws, b""]).translate(_LOWER))
+    space = _SPACE[data[:-8]]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(raws), np.int64)
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    first, last = int(starts[0]), int(ends[-1])
-    place = np.arange(first, last) - np.repeat(starts, np.diff(np.append(starts, last)))
-    values = _LETTER[data[first:last]] * _power(int(place.max()) + 1)[place]
-    hashes = mix(np.add.reduceat(values, starts - first) + (ends - starts).astype(np.uint64) * _C2)
     text_ends = np.cumsum(np.fromiter((len(r) + 1 for r in raws), np.int64, len(raws))) + 1
     upto = np.searchsorted(starts, text_ends, "left")
-    return hashes, np.diff(np.concatenate([[0], upto]))
+    return span_hashes(data, starts, ends - starts, _SEED), np.diff(np.concatenate([[0], upto]))
 
 
 def shingle_sets(raws: list[bytes], k: int) -> list[np.ndarray]:
