@@ -25,21 +25,53 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
 
 
 class Scratch:
-    """Written tables of one computation, deleted together once its result is written."""
+    """Written tables of one computation; each goes when it has had its use, the rest together at the end."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.top, self.n = spark, shared_dir(spark, what), 0
+        self.held: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame, what: str) -> DataFrame:
         self.n += 1
-        return written(df, f"{self.top}/{self.n:03d}-{what}")
+        path = f"{self.top}/{self.n:03d}-{what}"
+        out = written(df, path)
+        self.held.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that ``keep`` gave and nothing reads any more."""
+        for t in tables:
+            self._delete(next(path for held, path in self.held if held is t))
 
     def clear(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.top)
+        self._delete(self.top)
+
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of one key that a task of ``spread_join`` takes at least.
+ROWS_PER_KEY = 1000
+
+
+def spread_join(rows: DataFrame, one: DataFrame, key: str, total: int, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``one`` (one row a key at most) on ``key``; a hot key's rows go to several tasks.
+
+    Keys with more than ``total`` / 1000 rows, ``total`` being the rows' number, are dealt over as many copies of their
+    row in ``one`` as they need. There are fewer than 1000 such keys, so the list of them is broadcast. ``counts``: (key, n)
+    of ``rows`` where that is known.
+    """
+    most = max(ROWS_PER_KEY, total // 1000)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    hot = F.broadcast(counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("__salts")))
+    others = [F.col(f"`{c}`") for c in rows.columns if c != key] or [F.lit(0)]
+    salts = F.coalesce("__salts", F.when(F.col(key).isNull(), F.lit(ROWS_PER_KEY)).otherwise(F.lit(1)))  # null keys meet nothing: anywhere
+    left = rows.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*others), salts).cast("int")).drop("__salts")
+    right = one.join(hot, key, "left").withColumn("__salt", F.explode(F.expr("sequence(0, coalesce(__salts, 1) - 1)"))).drop("__salts")
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
 def shuffle_width(df: DataFrame) -> int:
     """Tasks after a shuffle, as the session sets them."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star.
 
-Every step is a pre-aggregated ``min`` and an equi-join; the link table of each
-round is written to the shared folder, so lineage stays short. Nothing but a
-row count and a checksum reaches the driver.
+Every step is a pre-aggregated ``min`` and an equi-join, in which a star's hot centre is
+dealt over several tasks; the link table of each round is written to the shared folder, so
+lineage stays short. Nothing but a row count and a checksum reaches the driver.
 """
 
 from __future__ import annotations
@@ -10,19 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import Scratch
+from lexiloom.llm.common import Scratch, spread_join
 
 
-def _large(links: DataFrame) -> DataFrame:
+def _large(links: DataFrame, total: int) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    met = spread_join(both.where("b > a"), least.select("a", F.least("a", "m").alias("m")), "a", 2 * total, counts=least.select("a", "n"))
+    return met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small(links: DataFrame) -> DataFrame:
+def _small(links: DataFrame, total: int) -> DataFrame:
     """Links have a > b here."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    near = links.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    met = spread_join(links, least.select("a", "m"), "a", total, counts=least.select("a", "n"))
+    near = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return near.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -38,5 +40,6 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         if n[0] == 0 or (n[0], n[1]) == seen:
             break
         seen = (n[0], n[1])
-        now = scratch.keep(_small(_large(now)), "links")
+        before, now = now, scratch.keep(_small(_large(now, n[0]), n[0]), "links")
+        scratch.drop(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

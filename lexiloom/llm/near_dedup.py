@@ -7,7 +7,8 @@
 2. Nodes that share a band key are candidates. Signatures are compared in batches
    of ``STEP``; with a uniform prior the matches give a Beta posterior of the
    similarity, and a pair is dropped as soon as the probability that it reaches the
-   threshold is under ``miss``.
+   threshold is under ``miss``. Buckets see the first ``HEAD`` minima only; the
+   others, and the full sets, are fetched for what survives them.
 3. Survivors are verified on their full sets.
 
 Buckets are never expanded into all pairs of rows. First, a bucket is dealt into
@@ -15,12 +16,15 @@ blocks of ``BLOCK`` nodes (each with the bucket's first node), in which every no
 offers its best surviving partner; the best one over all bands is verified, and the
 links found give components. What is left are buckets that hold several
 components: there, nodes outside the bucket's largest component meet all its nodes,
-block by block, twice: first each offers its best partner in another component,
-then, with the components so far, all survivors across components are verified. So
-no candidate is lost, and no pair within a component is looked at again.
+block by block. A block says which of its nodes have survivors in other components;
+these get their signatures and sets once for the block, in which all surviving pairs
+across components are verified and only links between components come out. So no
+candidate is lost, no pair within a component is looked at again, and no pair that
+does not link becomes a row. A hot band's nodes are dealt over several tasks.
 
 The number of bands and rows follows from the threshold and ``MISS_BANDS``, the
-probability that a pair at the threshold shares no band.
+probability that a pair at the threshold shares no band. Sets hold 64-bit hashes of
+shingles, equal for different ones with a probability of 2**-64.
 
 Defined results: null text counts as empty; texts without words have an empty set,
 link with nothing and are kept; a component's id is its smallest non-null doc_id
@@ -36,20 +40,30 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import Scratch, keep_rows, map_batches, materialize, python_batches, release, row_id, shuffle_width, spread, table
+from lexiloom.llm.common import Scratch, keep_rows, map_batches, materialize, python_batches, release, row_id, shuffle_width, spread, spread_join, table
 from lexiloom.llm.components import components
-from lexiloom.llm.shingles import _C2, _PLACES, MinHasher, mix, shingle_sets
+from lexiloom.llm.hashing import mix
+from lexiloom.llm.shingles import MinHasher, shingle_sets
 
 MISS_BANDS = 1e-6
 MISS = 1e-5
 SIGNATURE = 512
 STEP = 64
+#: Minima that travel to a node's buckets.
+HEAD = 128
 BANDED = 128
 BLOCK = 256
 ALL_BLOCK = 1024
+#: Shingles of the surviving pairs that one block verifies at once, about.
+SHINGLES_AT_ONCE = 4_000_000
+#: Surviving pairs verified before the links found are heeded.
+PAIRS_AT_ONCE = 4096
+#: Odd multipliers of a band's minima and of its number.
+_ROWS = np.random.Generator(np.random.PCG64(31)).integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = np.uint64(0xC4CEB9FE1A85EC53)
 
 
 def banding(percent: int, most: int = BANDED, miss: float = MISS_BANDS) -> tuple[int, int]:
@@ -88,13 +102,13 @@ def fewest_matches(percent: int, miss: float = MISS) -> tuple[int, ...]:
 def surviving(left: np.ndarray, right: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], allowed: np.ndarray, percent: int):
     """(i, j, matches) of allowed pairs whose posterior never fell under the bound.
 
-    ``left`` and ``right`` are signatures (n, SIGNATURE); sizes bound the similarity
+    ``left`` and ``right`` are signatures or their first batches; sizes bound the similarity
     by smaller / larger set before any signature is looked at.
     """
     a, b = sizes[0][:, None], sizes[1][None]
     i, j = np.nonzero(allowed & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)))
     matches = np.zeros(len(i), np.int64)
-    for step, need in enumerate(fewest_matches(percent)):
+    for step, need in enumerate(fewest_matches(percent)[: left.shape[1] // STEP]):
         at = slice(step * STEP, (step + 1) * STEP)
         for k in range(0, len(i), 65536):
             part = slice(k, k + 65536)
@@ -117,8 +131,8 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 keys.append(None), band_keys.append(None), signs.append(None)
                 continue
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            minima = band_hash(s).reshape(bands, rows).astype(np.uint64) * _PLACES[:rows]
-            band_keys.append(mix(np.add.reduce(minima, axis=1) + np.arange(1, bands + 1, dtype=np.uint64) * _C2).view(np.int64))
+            minima = band_hash(s).reshape(bands, rows).astype(np.uint64) * _ROWS[:rows]
+            band_keys.append(mix(np.add.reduce(minima, axis=1) + np.arange(1, bands + 1, dtype=np.uint64) * _BAND).view(np.int64))
             signs.append(signer(s).astype(np.uint8).tobytes())
         return {"doc_id": cols["doc_id"], "text_hash": cols["text_hash"], "key": keys, "n_shingles": list(map(len, sets)), "bands": band_keys, "signature": signs}
 
@@ -158,157 +172,243 @@ def by_group(batches, keys: int):
         yield out(pa.concat_tables(held))
 
 
-def _signatures(values: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(values), np.uint8).reshape(-1, SIGNATURE)
+def _bytes(values: list[bytes]) -> np.ndarray:
+    """Values of one size as rows of bytes."""
+    return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
 
 
-def _pairs_of(batches, work):
-    """Collect (a, b, matches) rows of many groups into batches."""
+def _emitted(groups, work, names: list[str]):
+    """Collect the rows that ``work`` makes of many groups into batches."""
     got: list = []
     size = 0
-    for a, b, m in map(work, batches):
-        if len(a):
-            got.append((a, b, m))
-            size += len(a)
+    for columns in map(work, groups):
+        if len(columns[0]):
+            got.append(columns)
+            size += len(columns[0])
         if size > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got)], ["a", "b", "matches"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got)], names)
             got, size = [], 0
     if got:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got)], ["a", "b", "matches"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got)], names)
     release()
 
 
+def _first_of_each(order: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The first entry of ``order`` for each value of ``key`` (equal ones stand together in ``order``)."""
+    if not len(order):
+        return order
+    k = key[order]
+    return order[np.concatenate([[True], k[1:] != k[:-1]])]
+
+
 def best_partners(members: DataFrame, percent: int) -> DataFrame:
-    """One candidate (a < b) per node b: its best surviving earlier partner over all bands.
+    """One candidate (a < b) per node b: its best earlier partner, by first minima, over all bands.
 
-    ``members``: (band, node, first, n_members, size, signature).
+    ``members``: (band, node, first, n_members, size, head).
     """
     python_batches(members.sparkSession)
 
     def work(group):
-        _, _, node, size, sign = group
+        _, _, node, size, head = group
         if len(node) < 2:
             return node[:0], node[:0], node[:0]
-        x = _signatures(sign)
+        x = _bytes(head)
         i, j, m = surviving(x, x, (size, size), node[:, None] < node[None], percent)
-        order = np.lexsort((node[i], -m, j))  # of each j the most matches, then the smallest node
-        first = order[np.concatenate([[True], j[order][1:] != j[order][:-1]])] if len(order) else order
+        first = _first_of_each(np.lexsort((node[i], -m, j)), j)  # of each j the most matches, then the smallest node
         return node[i[first]], node[j[first]], m[first]
 
     blocks = F.ceil(F.col("n_members") / BLOCK).cast("int")
     dealt = members.withColumn("block", F.explode(F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int")))))
-    dealt = dealt.select("band", "block", "node", "size", "signature").repartition(shuffle_width(members), "band", "block").sortWithinPartitions("band", "block", "node")
-    found = dealt.mapInArrow(lambda it: _pairs_of(by_group(it, 2), work), "a long, b long, matches long")
+    dealt = dealt.select("band", "block", "node", "size", "head").repartition(shuffle_width(members), "band", "block").sortWithinPartitions("band", "block", "node")
+    found = dealt.mapInArrow(lambda it: _emitted(by_group(it, 2), work, ["a", "b", "matches"]), "a long, b long, matches long")
     best = found.groupBy("b").agg(F.max(F.struct("matches", (-F.col("a")).alias("a"))).alias("best"))
     return best.select((-F.col("best.a")).alias("a"), "b")
 
 
-def across_components(members: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Surviving candidates (a < b) between different components of a bucket.
+def verified(pairs: DataFrame, held: DataFrame, percent: int, total: int) -> DataFrame:
+    """The pairs that survive the later batches too and whose full sets reach the threshold: 100 * common >= percent * union."""
+
+    def body(cols):
+        left, right = _bytes(cols["left"].to_pylist()), _bytes(cols["right"].to_pylist())
+        matches = np.cumsum((left == right).reshape(len(left), -1, STEP).sum(axis=2), axis=1)
+        alive = (matches >= np.array(fewest_matches(percent))).all(axis=1)
+        keep = []
+        for ok, x, y in zip(alive.tolist(), cols["x"], cols["y"]):
+            if ok:
+                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                ok = 100 * common >= percent * (len(p) + len(q) - common)
+            keep.append(ok)
+        mask = pa.array(keep)
+        return {"a": cols["a"].filter(mask), "b": cols["b"].filter(mask)}
 
-    With ``best`` only the best one of each node outside its bucket's largest component.
-    Without, a pair that shares several bands comes from the first of them only.
-    ``members``: (band, node, root, size, signature, bands), only of buckets with several roots.
+    right = held.select(F.col("node").alias("b"), F.col("signature").alias("right"), F.col("shingles").alias("y"))
+    left = held.select(F.col("node").alias("a"), F.col("signature").alias("left"), F.col("shingles").alias("x"))
+    # b first: it stands in one pair only; a hot a comes once for each task of its pairs
+    met = spread_join(pairs, left, "a", total).join(right, "b")
+    return map_batches(met.select("a", "b", "left", "right", "x", "y"), body, "a long, b long")
+
+
+class Sets:
+    """Shingle sets of one block, as numbers of the block's distinct shingles."""
+
+    def __init__(self, sets: list[bytes]):
+        flat = np.frombuffer(b"".join(sets), np.uint64)
+        self.size = np.fromiter((len(s) // 8 for s in sets), np.int64, len(sets))
+        self.ends = np.cumsum(self.size)
+        distinct, self.flat = np.unique(flat, return_inverse=True)
+        self.mark = np.zeros(len(distinct), bool)
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Shingles in common of each pair; ``i`` is sorted."""
+        out = np.empty(len(i), np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1], [True]]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            mine = self.flat[self.ends[i[a]] - self.size[i[a]] : self.ends[i[a]]]
+            self.mark[mine] = True
+            size = self.size[j[a:b]]
+            upto = np.cumsum(size)
+            at = np.repeat(self.ends[j[a:b]] - upto, size) + np.arange(int(upto[-1]))
+            out[a:b] = np.add.reduceat(self.mark[self.flat[at]].astype(np.int64), upto - size)
+            self.mark[mine] = False
+        return out
+
+
+def linked_roots(i: np.ndarray, j: np.ndarray, matches: np.ndarray, root: np.ndarray, sets: Sets, percent: int) -> list[tuple[int, int]]:
+    """Links between components that the pairs' full sets give; pairs within what is linked already are left out.
+
+    The best pair of every two components is looked at first.
     """
-    python_batches(members.sparkSession)
-    counts = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
+    parent = {int(r): int(r) for r in np.unique(root)}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+    order = np.lexsort((-matches, high, low))
+    best = np.zeros(len(i), bool)
+    best[order[np.concatenate([[True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])])] if len(order) else order] = True
+    queue = np.concatenate([np.flatnonzero(best), np.flatnonzero(~best)[np.argsort(-matches[~best], kind="stable")]])
+    links = []
+    while len(queue):
+        top = {r: find(r) for r in parent}
+        queue = queue[np.fromiter((top[a] != top[b] for a, b in zip(low[queue].tolist(), high[queue].tolist())), bool, len(queue))]
+        take, queue = queue[:PAIRS_AT_ONCE], queue[PAIRS_AT_ONCE:]
+        take = take[np.argsort(i[take], kind="stable")]
+        if not len(take):
+            break
+        common = sets.common(i[take], j[take])
+        for a, b in zip(*(x[take[100 * common >= percent * (sets.size[i[take]] + sets.size[j[take]] - common)]].tolist() for x in (low, high))):
+            if find(a) != find(b):
+                parent[find(b)] = find(a)
+                links.append((a, b))
+    return links
+
+
+def across_components(rooted: DataFrame, shared: DataFrame, held: DataFrame, percent: int, total: int) -> DataFrame:
+    """Links (a, b) between components, from all candidates across them in every bucket that holds several.
+
+    ``rooted``: (band, node, root); ``shared``: (band, n); ``held``: (node, size, signature, bands, shingles).
+    A pair that shares several bands is looked at in the first of them only.
+    """
+    python_batches(rooted.sparkSession)
+    counts = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
     buckets = counts.groupBy("band").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("n"))
     buckets = buckets.where("top.c < n").select("band", F.col("top.root").alias("major"), F.ceil((F.col("n") - F.col("top.c")) / BLOCK).cast("int").alias("minors"), F.ceil(F.col("n") / ALL_BLOCK).cast("int").alias("alls"))
-    rows = members.join(buckets, "band")
-    columns = ["band", "x", "y", "minor", "node", "root", "size", "signature", *([] if best else ["bands"])]
+    rows = spread_join(rooted, buckets, "band", total, counts=shared).join(held.select("node", "size", "bands", F.substring("signature", 1, HEAD).alias("head")), "node")
+    columns = ["band", "x", "y", "minor", "node", "root", "size", "head", "bands"]
     mine = rows.where("root <> major").withColumn("minor", F.lit(1)).withColumn("x", F.pmod(F.xxhash64("node"), "minors").cast("int")).withColumn("y", F.explode(F.expr("sequence(0, alls - 1)"))).select(columns)
     every = rows.withColumn("minor", F.lit(0)).withColumn("y", F.pmod(F.xxhash64("node", F.lit(1)), "alls").cast("int")).withColumn("x", F.explode(F.expr("sequence(0, minors - 1)"))).select(columns)
 
-    def work(group):
-        band, _, _, minor, node, root, size, sign = group[:8]
+    def candidates(band, minor, root, size, sign, bands):
+        """(i, j, matches) over the block's rows: survivors across components whose first shared band this is."""
         u, v = np.flatnonzero(minor == 1), np.flatnonzero(minor == 0)
         if not len(u) or not len(v):
-            return node[:0], node[:0], node[:0]
-        x = _signatures(sign)
-        i, j, m = surviving(x[u], x[v], (size[u], size[v]), root[u][:, None] != root[v][None], percent)
-        if not best and len(i):
-            bands = group[8]
-            shared = bands[u[i]] == bands[v[j]]
-            first = bands[u[i], shared.argmax(axis=1)] == band[0]
-            i, j, m = i[first], j[first], m[first]
-        elif len(i):
-            order = np.lexsort((node[v[j]], -m, i))
-            first = order[np.concatenate([[True], i[order][1:] != i[order][:-1]])]
-            i, j, m = i[first], j[first], m[first]
-        return node[u[i]], node[v[j]], m
-
-    dealt = mine.union(every).repartition(shuffle_width(members), "band", "x", "y").sortWithinPartitions("band", "x", "y", "minor", "node")
-    found = dealt.mapInArrow(lambda it: _pairs_of(by_group(it, 3), work), "a long, b long, matches long")
-    if best:
-        found = found.groupBy("a").agg(F.max(F.struct("matches", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) of the wanted nodes (node, key, doc), worked out again from their texts."""
-
-    def body(cols):
-        sets = shingle_sets([(t or "").encode("utf-8") for t in cols["text"].to_pylist()], k)
-        held = [s.tobytes() for s in sets]
-        same = [hashlib.blake2b(h, digest_size=16).digest() == key for h, key in zip(held, cols["key"].to_pylist())]
-        return {"node": cols["node"], "shingles": [h if ok else None for h, ok in zip(held, same)]}
-
-    texts = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text").alias("d")
-    rows = texts.join(wanted.alias("w"), F.expr("d.doc_id <=> w.doc")).select("w.node", "w.key", "d.text")
-    sets = map_batches(rows, body, "node long, shingles binary").where("shingles IS NOT NULL")
-    return sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold, in whole numbers: 100 * common >= percent * union."""
+            return u[:0], u[:0], u[:0]
+        i, j, m = surviving(sign[u], sign[v], (size[u], size[v]), root[u][:, None] != root[v][None], percent)
+        i, j = u[i], v[j]
+        first = np.ones(len(i), bool)
+        for k in range(0, len(i), 65536):
+            part = slice(k, k + 65536)
+            shared_ = bands[i[part]] == bands[j[part]]
+            first[part] = bands[i[part], shared_.argmax(axis=1)] == band[0]
+        return i[first], j[first], m[first]
+
+    def concerned(group):
+        """The nodes with survivors, in parts whose sets fit into memory."""
+        band, x, y, minor, node, root, size, head, bands = group
+        i, j, _ = candidates(band, minor, root, size, _bytes(head), bands)
+        part = np.cumsum(size[j]) // SHINGLES_AT_ONCE  # pairs come by i
+        row, at = np.divmod(np.unique(np.concatenate([part * len(node) + i, part * len(node) + j])), max(1, len(node)))
+        return band[at], x[at], y[at], row.astype(np.int32), minor[at], node[at], root[at]
+
+    def confirmed(group):
+        band, _, _, _, minor, _, root, size, sign, bands, shingles = group
+        i, j, m = candidates(band, minor, root, size, _bytes(sign), bands)
+        links = np.array(linked_roots(i, j, m, root, Sets(shingles), percent) if len(i) else [], np.int64).reshape(-1, 2)
+        return links[:, 0], links[:, 1]
+
+    width = shuffle_width(rooted)
+    dealt = mine.union(every).repartition(width, "band", "x", "y").sortWithinPartitions("band", "x", "y", "minor", "node")
+    names = ["band", "x", "y", "part", "minor", "node", "root"]
+    asked = dealt.mapInArrow(lambda it: _emitted(by_group(it, 3), concerned, names), "band long, x int, y int, part int, minor int, node long, root long")
+    met = asked.join(held.select("node", "size", "signature", "bands", "shingles"), "node").select(*names, "size", "signature", "bands", "shingles")
+    met = met.repartition(width, "band", "x", "y", "part").sortWithinPartitions("band", "x", "y", "part", "minor", "node")
+    return met.mapInArrow(lambda it: _emitted(by_group(it, 4), confirmed, ["a", "b"]), "a long, b long").distinct()
+
+
+def held_nodes(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """The wanted nodes (node, key, id, text_hash, size, signature, bands) with their shingles, worked out again from their texts."""
 
     def body(cols):
-        keep = []
-        for x, y in zip(cols["x"].to_pylist(), cols["y"].to_pylist()):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(100 * common >= percent * (len(p) + len(q) - common))
-        mask = pa.array(keep)
-        return {"a": cols["a"].filter(mask), "b": cols["b"].filter(mask)}
+        sets = [s.tobytes() for s in shingle_sets([(t or "").encode("utf-8") for t in cols["text"].to_pylist()], k)]
+        same = pa.array([hashlib.blake2b(s, digest_size=16).digest() == key for s, key in zip(sets, cols["key"].to_pylist())], pa.bool_())
+        return {n: cols[n].filter(same) for n in ("node", "size", "signature", "bands")} | {"shingles": pa.array(sets, pa.binary()).filter(same)}
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return map_batches(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y"), body, "a long, b long")
+    texts = docs.select(row_id().alias("id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    same = Window.partitionBy("id", "text_hash", "node", F.crc32(F.col("text").cast("binary"))).orderBy(F.lit(0))  # repeated rows
+    rows = texts.join(wanted, ["id", "text_hash"]).withColumn("nth", F.row_number().over(same)).where("nth = 1")
+    return map_batches(rows.select("node", "key", "size", "signature", "bands", "text"), body, "node long, size long, signature binary, bands array<long>, shingles binary")
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, text_hash, n_shingles, component_id, and group (null for rows without words, which stand alone)."""
     scratch = Scratch(docs.sparkSession, "near")
     rows = scratch.keep(sketches(docs, k, percent), "sketches")
-    nodes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
-    nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written, so ids are fixed
+    handle = F.min(F.struct(row_id().alias("id"), "text_hash")).alias("handle")
+    nodes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc"), handle, F.count(F.lit(1)).alias("n_rows"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    nodes = scratch.keep(nodes.select("key", "doc", "handle.*", "n_rows", "size", "bands", "signature").withColumn("node", F.monotonically_increasing_id()), "nodes")  # written, so ids are fixed
+    n_nodes, n_banded = nodes.count(), nodes.count() * banding(percent)[0]
+
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n_members")).where("n_members > 1")
-    members = scratch.keep(banded.join(shared, "band").select("band", "node", "first", "n_members"), "members")
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    signed = scratch.keep(wanted.select("node", "key", "doc", "size", "signature", "bands"), "signed")
-    sets = scratch.keep(full_sets(docs, signed.select("node", "key", "doc"), k), "sets")
-
-    signs = signed.select("node", "size", "signature")
-    tested = scratch.keep(best_partners(members.join(signs, "node"), percent), "tested")
-    links = scratch.keep(verified(tested, sets, percent), "verified")
-    for best in (True, False):
-        rooted = members.select("band", "node").join(components(links, scratch), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        several = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-        left = scratch.keep(rooted.join(several, "band", "left_semi"), "left")
-        more = scratch.keep(across_components(left.join(signed.select("node", "size", "signature", *([] if best else ["bands"])), "node"), percent, best).join(tested, ["a", "b"], "left_anti"), "tested")
-        tested = tested.union(more)
-        links = links.union(scratch.keep(verified(more, sets, percent), "verified"))
-    roots = components(links, scratch)
-
-    linked = nodes.join(roots, "node").select("key", "doc", "root")
-    named = linked.groupBy("root").agg(F.min("doc").alias("least"))
-    named = linked.join(named, "root").select("key", F.col("least").alias("linked_id"), F.concat(F.lit("n"), F.col("root")).alias("linked"))
-    per_key = nodes.select("key", "doc").join(named, "key", "left")
-    per_key = per_key.select("key", F.coalesce("linked_id", "doc").alias("set_id"), F.coalesce("linked", F.concat(F.lit("k"), F.hex("key"))).alias("group"))
-    out = rows.select("doc_id", "text_hash", "key", "n_shingles").join(per_key, "key", "left")
+    shared = scratch.keep(banded.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    bands = shared.select("band", "n")
+    members = scratch.keep(spread_join(banded, shared.select("band", "first", F.col("n").alias("n_members")), "band", n_banded, counts=bands).select("band", "node", "first", "n_members"), "members")
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "key", "id", "text_hash", "size", "signature", "bands")
+    held = scratch.keep(held_nodes(docs, wanted, k), "held")
+
+    heads = held.select("node", "size", F.substring("signature", 1, HEAD).alias("head"))
+    tested = scratch.keep(best_partners(members.join(heads, "node"), percent), "tested")
+    links = scratch.keep(verified(tested, held, percent, n_nodes), "verified")
+    scratch.drop(tested)
+    roots = scratch.keep(components(links, scratch), "roots")
+    rooted = members.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    rooted = scratch.keep(rooted, "rooted")
+    scratch.drop(links, members)
+    more = scratch.keep(across_components(rooted, bands, held, percent, n_banded), "across")
+    scratch.drop(rooted, held)
+    tops = components(more, scratch).select(F.col("node").alias("root"), F.col("root").alias("top"))
+
+    named = nodes.select("node", "key", "doc", "n_rows").join(roots, "node", "left").select("key", "doc", "n_rows", F.coalesce("root", "node").alias("root"))
+    named = scratch.keep(spread_join(named, tops, "root", n_nodes, "left").select("key", "doc", "n_rows", F.coalesce("top", "root").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("doc").alias("set_id"), F.count(F.lit(1)).alias("n"))
+    per_key = spread_join(named, least.select("root", "set_id"), "root", n_nodes, counts=least.select("root", "n"))
+    out = spread_join(rows.select("doc_id", "text_hash", "key", "n_shingles"), per_key.select("key", "set_id", "root"), "key", rows.count(), "left", counts=named.select("key", F.col("n_rows").alias("n")))
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("set_id"))
-    result = materialize(out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), "group"), "groups")
+    result = materialize(out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("root").alias("group")), "groups")
     scratch.clear()
     return result
 
