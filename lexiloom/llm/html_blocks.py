@@ -1,20 +1,30 @@
 """Operator 10: main text of web pages from flat blocks and a decision tree.
 
 A page becomes a flat list of text blocks in page order. Each block has the word
-count and link density of itself and of its neighbours, and what its markup
-says (kind of element, containers around it). A small decision tree (Gini splits,
-grown in numpy from the labelled table below) tells content from the rest.
+count and link density of itself and of its neighbours, its share of the page's
+words, and what its markup says (kind of element, containers around it). A small
+decision tree (Gini splits, grown in numpy) tells content from the rest. Its
+labelled table is made of the blocks of the hand-labelled pages in ``html_samples``.
+
+What containers say, as features: whether the block is in an ``article`` or ``main``
+element, or in one whose class or id names content; how many marked containers
+(navigation, asides, footers, headers that are not an article's own, and class names
+all of whose words speak of such things) are around it, not counting those that
+wrap the page's article; and how much of the page's unlinked words stand outside its
+form, as a form may wrap a whole page.
 
 Defined results: null html counts as empty; a page without content blocks gives
 an empty string; unclosed and stray tags are borne; scripts, styles, templates
-and comments never are text; repeated rows give repeated results; an empty table
-gives no rows; columns besides page_id, url and html are ignored.
+and comments never are text; a tag that is never closed by ``>`` is text; repeated
+rows give repeated results; an empty table gives no rows; columns besides page_id,
+url and html are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
 
@@ -22,150 +32,231 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from lexiloom.llm.common import map_batches, spread, table
+from lexiloom.llm.html_samples import SAMPLES
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(script|style|template|noscript|annotation(?:-xml)?|iframe|object|textarea|select|svg(?!(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>))\b[^>]*>.*?(?:</\1\s*>|$)"
-    r"|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.DOTALL | re.IGNORECASE,
-)
-NAMED = re.compile(r"""\b(class|id|role|itemprop|aria-label|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
-#: Of a style only this says that an element is not shown.
+OPEN = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)|!--|!\[CDATA\[|[!?])")
+#: What stands between a tag's name and its end; quotes count after an equals sign only.
+TAIL = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?|["'])*+>""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 UNSEEN = re.compile(r"visibility\s*:\s*hidden", re.IGNORECASE)
 SPACES = re.compile(r"\s+")
+#: A tag that closes itself; a slash at the end of an unquoted value is part of that.
+SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
+WORDS = re.compile(r"[a-z]+")
 
-# Elements that begin a block, those that are never content, and
-# words in class, id or role that say what a container holds.
+# Elements that begin a block, elements without an end, elements whose
+# inside is no text, elements that hold no main text, and words of class names.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CHROME = frozenset("nav header footer aside form menu button dialog head title fieldset".split())
+SILENT = frozenset("script style template noscript iframe textarea select annotation annotation-xml title desc metadata defs".split())
+MARKED = frozenset("nav header footer aside menu button dialog head".split())
 MAIN = frozenset("article main".split())
-#: Elements around the whole page, whose class says nothing of its parts.
-WHOLE = frozenset("html body".split())
-CHROME_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|sidebar|side|widget|related|recommend\w*|share|social|breadcrumbs?|menu|nav\w*|navigation|footer|header|masthead|toolbar|pagination|pager|comments?|respond|replies|disqus|login|signup|search|form|copyright|contentinfo|complementary|hidden)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
-MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article\w*|main|content|post|entry|story|body)(?:$|[\s_-])", re.IGNORECASE)
+CHROME_WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe sidebar side widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs menu topmenu nav navbar navigation footer header masthead toolbar pagination pager comment comments respond reply replies disqus login signup signin search copyright contentinfo complementary hidden skip".split())
+#: Words that may stand beside one of those without changing what it says.
+PLAIN_WORDS = frozenset("a and area bar block body bottom box bottoms button buttons center col column container content entry entries form global group holder icons inner item items left link links list lists main middle mobile module outer page panel post posts primary right row section secondary site slot small strip text thread title top unit user users wide wrap wrapper x article articles story stories media message messages".split())
+MAIN_WORDS = frozenset("article content main post entry story".split())
 #: Elements whose open tag closes an open element of the same group.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "option": {"option"}}
 
 
+@dataclass
+class Box:
+    """An element that says something of the blocks in it; the last four are sums over it and what is around it."""
+
+    within: Box | None = field(repr=False)
+    marked: bool = False
+    main: bool = False
+    named: bool = False
+    form: bool = False
+    free: bool = False
+    words: int = 0
+    marks: int = 0
+    in_main: bool = False
+    in_named: bool = False
+    in_form: int = 0
+
+
 @dataclass
 class Block:
     text: str
     tag: str
     words: int
     linked: int
-    chrome: bool
-    main: bool
+    box: Box = field(repr=False)
 
     @property
     def density(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
 
+def tokens(html: str):
+    """(text, None, "", "") and ("", closing?, tag, attributes) in order; what is never text is left out.
+
+    Linear: a search for an end that failed is not made again.
+    """
+    at, upto, none, strict = 0, 0, set(), True
+
+    def find(end: str, start: int) -> int:
+        if end in none:
+            return -1
+        found = re.compile(re.escape(end), re.IGNORECASE).search(html, start)
+        if not found:
+            none.add(end)
+        return found.start() if found else -1
+
+    while m := OPEN.search(html, at):
+        if m[2] is None:
+            end = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0], ">")
+            stop = find(end, m.end())
+            if upto < m.start():
+                yield html[upto : m.start()], None, "", ""
+            at = upto = len(html) if stop < 0 else stop + len(end)
+            continue
+        tail = TAIL.match(html, m.end()) if strict else None
+        strict = bool(tail)
+        stop = tail.end() if tail else find(">", m.end()) + 1
+        if not stop:  # no tag ends any more
+            break
+        if upto < m.start():
+            yield html[upto : m.start()], None, "", ""
+        tag, attributes = m[2].lower(), html[m.end() : stop - 1]
+        at = upto = stop
+        if tag in SILENT and not m[1] and not SELF_CLOSED.search(attributes):
+            end = find(f"</{tag}", stop)
+            if end >= 0:
+                at = upto = find(">", end) + 1 or len(html)
+            elif tag in ("script", "style"):
+                at = upto = len(html)
+            continue
+        yield "", bool(m[1]), tag, attributes
+    if upto < len(html):
+        yield html[upto:], None, "", ""
+
+
+def says(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether class, id, role or state mark an element as no main text, and whether they name it as such."""
+    marked = named = False
+    for name, value in ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name == "hidden" or name == "style" and UNSEEN.search(value):
+            marked = True
+        elif name in ("class", "id", "role", "itemprop", "aria-label"):
+            for one in value.strip("\"'").lower().split():
+                words = WORDS.findall(one)
+                if tag not in ("html", "body") and any(w in CHROME_WORDS for w in words) and all(w in CHROME_WORDS or w in PLAIN_WORDS for w in words):
+                    marked = True
+                named |= any(w in MAIN_WORDS for w in words)
+    return marked, named and not marked
+
+
 def blocks_of(html: str) -> list[Block]:
     """Text blocks in page order; one ends wherever a block element begins or ends."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = []  # tag, chrome, main, link
-    chrome = main = link = 0
+    stack: list[tuple[str, Box | None]] = []
+    block_at: list[int] = []  # where in the stack block elements are
+    open_tags: Counter = Counter()
+    boxes: list[Box] = []
+    top = box = Box(None)
     parts: list[tuple[str, bool]] = []
     tag_of_block = "body"
 
-    def push(tag, c, m, a):
-        nonlocal chrome, main, link
-        stack.append((tag, c, m, a))
-        chrome, main, link = chrome + c, main + m, link + a
-
     def pop_to(depth):
-        nonlocal chrome, main, link
+        nonlocal box
         while len(stack) > depth:
-            _, c, m, a = stack.pop()
-            chrome, main, link = chrome - c, main - m, link - a
+            tag, held = stack.pop()
+            open_tags[tag] -= 1
+            if held:
+                box = held.within
+        while block_at and block_at[-1] >= depth:
+            block_at.pop()
 
     def flush():
         text = SPACES.sub(" ", unescape("".join(t for t, _ in parts))).strip()
         if text:
             linked = sum(len(unescape(t).split()) for t, a in parts if a)
-            out.append(Block(text, tag_of_block, len(text.split()), linked, chrome > 0, main > 0))
+            out.append(Block(text, tag_of_block, len(text.split()), linked, box))
+            box.words += max(0, out[-1].words - linked)
         parts.clear()
 
-    at = 0
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            parts.append((html[at : m.start()], link > 0))
-        at = m.end()
-        if m[3] is None:
+    for text, closing, tag, attributes in tokens(html):
+        if closing is None:
+            parts.append((text, open_tags["a"] > 0))
             continue
-        tag = m[3].lower()
         if tag == "br":
             parts.append((" ", False))
-        if tag in BLOCKS or tag in CHROME:
+        if tag in BLOCKS or tag in MARKED:
             flush()
-        if m[2]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                pop_to(depth)
-        elif tag not in VOID and not m[4].endswith("/"):
-            if tag in CLOSES and stack:
-                group = CLOSES[tag]
-                # inline elements (b, i, a ...) left open inside go with the element that is closed
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCKS), None)
-                if depth is not None and stack[depth][0] in group:
-                    pop_to(depth)
-            said = " ".join((v or k).strip("\"'") if k.lower() != "style" else "hidden" if UNSEEN.search(v) else "" for k, v in NAMED.findall(m[4])) if m[4] else ""
-            held = tag in MAIN or bool(said and tag in BLOCKS and MAIN_WORDS.search(said))
-            junk = tag in CHROME or bool(said and (tag in BLOCKS or tag == "span") and tag not in WHOLE and CHROME_WORDS.search(said))
-            # an article's wrappers do not say what it is itself; one inside another is its comment or the like
-            freed = sum(c for t, c, *_ in stack if t not in CHROME) if tag in MAIN and not any(t in MAIN for t, *_ in stack) else 0
-            push(tag, junk - freed, held and not junk, tag == "a")
+        if closing:
+            if open_tags[tag]:
+                pop_to(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+        elif tag not in VOID and not SELF_CLOSED.search(attributes):
+            # inline elements (b, i, a ...) left open inside go with the element that is closed
+            if tag in CLOSES and block_at and stack[block_at[-1]][0] in CLOSES[tag]:
+                pop_to(block_at[-1])
+            marked, named = says(tag, attributes) if attributes and (tag in BLOCKS or tag in MARKED or tag == "span") else (False, False)
+            marked |= tag in MARKED and not (tag == "header" and any(open_tags[t] for t in MAIN))
+            held = None
+            if marked or named or tag in MAIN or tag == "form":
+                held = box = Box(box, marked, tag in MAIN, named, tag == "form")
+                boxes.append(box)
+            open_tags[tag] += 1
+            if tag in BLOCKS:
+                block_at.append(len(stack))
+            stack.append((tag, held))
         if tag in BLOCKS:
-            tag_of_block = next((t for t, *_ in reversed(stack) if t in BLOCKS), "body")
-    if at < len(html):
-        parts.append((html[at:], link > 0))
+            tag_of_block = stack[block_at[-1]][0] if block_at else "body"
     flush()
+    _weigh(top, boxes)
     return out
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "chrome", "main", "heading", "item")
+def _weigh(top: Box, boxes: list[Box]) -> None:
+    """Sums over elements and what is around them; ``boxes`` has outer ones before inner ones.
+
+    What wraps the article, the main element with the fewest marks around it, does not say what the article is.
+    """
+    for b in reversed(boxes):
+        b.within.words += b.words
+    around = {id(top): 0}
+    for b in boxes:
+        around[id(b)] = around[id(b.within)] + b.marked
+    mains = [b for b in boxes if b.main and b.words]
+    least = min((around[id(b)] for b in mains), default=0)
+    for b in mains:
+        while around[id(b)] <= least and not b.free and b is not top:
+            b.free, b = True, b.within
+    for b in boxes:
+        w = b.within
+        b.marks, b.in_main, b.in_named = w.marks + (b.marked and not b.free), w.in_main or b.main, w.in_named or b.named
+        b.in_form = max(w.in_form, b.words if b.form and not b.free else 0)
+
+
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "marks", "outside_form", "main", "named", "heading", "item")
 
 
 def features_of(blocks: list[Block]) -> np.ndarray:
     """Rows of FEATURES; a missing neighbour has no words and no links."""
     x = np.zeros((len(blocks), len(FEATURES)))
+    words, density = np.array([b.words for b in blocks], float), np.array([b.density for b in blocks])
+    plain = sum(max(0, b.words - b.linked) for b in blocks)
+    x[:, 0], x[:, 1] = words, density
+    x[1:, 2], x[1:, 3], x[:-1, 4], x[:-1, 5] = words[:-1], density[:-1], words[1:], density[1:]
     for i, b in enumerate(blocks):
-        before, after = blocks[i - 1] if i else None, blocks[i + 1] if i + 1 < len(blocks) else None
-        x[i] = (
-            b.words, b.density,
-            before.words if before else 0, before.density if before else 0.0,
-            after.words if after else 0, after.density if after else 0.0,
-            b.chrome, b.main, b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), b.tag in ("li", "td", "th", "dt", "dd"),
-        )
+        outside = 1 - b.box.in_form / plain if b.box.in_form and plain else 0.0
+        x[i, 6:] = (b.box.marks, outside, b.box.in_main, b.box.in_named, b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), b.tag in ("li", "td", "th", "dt", "dd"))
     return x
 
 
-#: The labelled table: FEATURES, then 1 for content. Written by hand after the
-#: kinds of blocks that pages have.
-LABELLED = (
-    # menus, footers, adverts, notices and comments: inside such containers
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 1, 0), (2, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 1, 0), (1, 1.0, 1, 1.0, 12, 0.0, 1, 0, 0, 1, 0),
-    (12, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0, 0), (4, 0.0, 2, 1.0, 9, 0.0, 1, 0, 0, 0, 0), (40, 0.0, 1, 1.0, 9, 0.0, 1, 0, 0, 0, 0),
-    (25, 0.1, 60, 0.0, 0, 0.0, 1, 0, 0, 0, 0), (60, 0.0, 30, 0.0, 45, 0.0, 1, 0, 0, 0, 0), (8, 0.0, 50, 0.0, 30, 0.0, 1, 1, 0, 0, 0),
-    (30, 0.0, 45, 0.0, 20, 0.0, 1, 1, 0, 0, 0), (3, 0.3, 45, 0.0, 3, 0.9, 1, 1, 0, 1, 0), (5, 0.0, 0, 0.0, 20, 0.0, 1, 0, 1, 0, 0),
-    (90, 0.0, 80, 0.0, 70, 0.0, 1, 0, 0, 0, 0), (6, 0.9, 80, 0.0, 5, 1.0, 1, 1, 0, 0, 0), (2, 0.0, 3, 0.0, 40, 0.0, 1, 1, 0, 0, 0),
-    # text of articles, headings and short paragraphs too
-    (9, 0.0, 12, 0.0, 60, 0.0, 0, 1, 1, 0, 1), (60, 0.0, 9, 0.0, 80, 0.0, 0, 1, 0, 0, 1), (80, 0.05, 60, 0.0, 2, 0.0, 0, 1, 0, 0, 1),
-    (1, 0.0, 80, 0.0, 1, 0.0, 0, 1, 0, 0, 1), (1, 0.0, 1, 0.0, 25, 0.0, 0, 1, 0, 0, 1), (25, 0.2, 4, 0.0, 12, 0.0, 0, 1, 0, 0, 1),
-    (4, 0.0, 25, 0.0, 4, 0.0, 0, 1, 0, 1, 1), (6, 1.0, 70, 0.0, 40, 0.0, 0, 1, 0, 0, 1), (3, 0.0, 50, 0.0, 50, 0.0, 0, 1, 1, 0, 1),
-    (12, 1.0, 9, 0.0, 30, 0.0, 0, 1, 0, 1, 1), (200, 0.0, 3, 0.0, 10, 0.0, 0, 1, 0, 0, 1), (2, 0.0, 9, 0.0, 12, 0.0, 0, 1, 0, 0, 1),
-    # pages without such containers: long and little linked is content, so is what stands between such
-    (50, 0.0, 8, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (35, 0.1, 60, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (20, 0.0, 2, 1.0, 30, 0.0, 0, 0, 0, 0, 1),
-    (90, 0.2, 5, 0.0, 2, 1.0, 0, 0, 0, 0, 1), (18, 0.05, 40, 0.0, 3, 1.0, 0, 0, 0, 0, 1), (7, 0.0, 45, 0.0, 50, 0.0, 0, 0, 1, 0, 1),
-    (6, 0.0, 30, 0.0, 40, 0.0, 0, 0, 0, 0, 1), (12, 0.0, 35, 0.1, 28, 0.0, 0, 0, 0, 1, 1), (8, 0.0, 3, 1.0, 45, 0.0, 0, 0, 1, 0, 1),
-    (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 1, 0), (3, 1.0, 2, 1.0, 8, 0.0, 0, 0, 0, 0, 0), (5, 0.8, 60, 0.0, 4, 1.0, 0, 0, 0, 0, 0),
-    (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (9, 0.7, 4, 1.0, 5, 0.9, 0, 0, 0, 1, 0), (6, 0.0, 40, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
-    (3, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (25, 0.9, 3, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (40, 0.8, 50, 0.0, 4, 1.0, 0, 0, 0, 1, 0),
-)
+def labelled(pages=SAMPLES) -> tuple[np.ndarray, np.ndarray]:
+    """The table of labelled blocks: FEATURES, and 1 for main text (marked by ``+`` in the pages)."""
+    xs, ys = [], []
+    for page in pages:
+        found = blocks_of(page)
+        for b in found:
+            ys.append(float(b.text.startswith("+")))
+            b.words -= int(ys[-1])  # the mark is no word
+        xs.append(features_of(found))
+    return np.concatenate(xs), np.array(ys)
 
 
 @dataclass
@@ -210,8 +301,7 @@ def predict(node: Node, x: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def tree() -> Node:
-    data = np.array(LABELLED, float)
-    return grow(data[:, :-1], data[:, -1], depth=6)
+    return grow(*labelled(), depth=8, least=2)
 
 
 def main_text(html: str | None) -> str:
