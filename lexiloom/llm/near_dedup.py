@@ -56,7 +56,7 @@ STEP = 64
 HEAD = 128
 BANDED = 128
 BLOCK = 256
-ALL_BLOCK = 1024
+ALL_BLOCK = 512
 #: Shingles of the surviving pairs that one block verifies at once, about.
 SHINGLES_AT_ONCE = 4_000_000
 #: Surviving pairs verified before the links found are heeded.
