@@ -154,10 +154,14 @@ def children(data: bytes, at: int, end: int):
 
 
 def number(data: bytes, a: int, b: int) -> int:
+    if b - a > 8:
+        raise Malformed(f"integer of {b - a} bytes at {a}")
     return int.from_bytes(data[a:b], "big")
 
 
 def real(data: bytes, a: int, b: int) -> float:
+    if b - a not in (0, 4, 8):
+        raise Malformed(f"number of {b - a} bytes at {a}")
     return struct.unpack(">f" if b - a == 4 else ">d", data[a:b])[0] if b > a else 0.0
 
 
@@ -165,6 +169,8 @@ def lace_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int],
     """Sizes of a block's frames and where the first begins."""
     if not lacing:
         return [end - at], at
+    if at >= end:
+        raise Malformed("no lace sizes")
     n, at = data[at] + 1, at + 1
     if lacing == 2:
         if (end - at) % n:
@@ -174,8 +180,10 @@ def lace_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int],
     if lacing == 1:
         for _ in range(n - 1):
             size = 0
-            while data[at] == 255:
+            while at < end and data[at] == 255:
                 size, at = size + 255, at + 1
+            if at >= end:
+                raise Malformed("lace sizes")
             sizes.append(size + data[at])
             at += 1
     else:
@@ -191,15 +199,19 @@ def lace_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int],
 
 def _block(movie: Movie, data: bytes, a: int, b: int, base: int, cluster: int, simple: bool) -> None:
     track, width = _vint(data, a, False)
+    if a + width + 3 > b:
+        raise Malformed(f"block at {a} is cut off")
     relative, flags = struct.unpack_from(">hB", data, a + width)
     lacing = flags >> 1 & 3
     sizes, at = lace_sizes(data, a + width + 3, b, lacing)
     time = (base + relative) * movie.scale
+    if not -(1 << 62) < time < 1 << 62:
+        raise Malformed(f"timestamp of the block at {a}")
     entry = movie.tracks.get(track, {})
     per_byte = entry.get("ns_per_byte", 0)
     done = 0
     for i, size in enumerate(sizes):
-        ahead = done * per_byte if per_byte else i * entry.get("default_ns", 0)
+        ahead = min(done * per_byte if per_byte else i * entry.get("default_ns", 0), 1 << 61)
         movie.packets.append(Packet(track, time + int(ahead), at + done, size, cluster, bool(flags & 0x80) if simple else True, lacing))
         done += size
 
@@ -221,8 +233,9 @@ def _track(data: bytes, a: int, b: int) -> tuple[int, dict]:
                     entry["rate"] = real(data, x, y)
                 elif k in (CHANNELS, BITS):
                     entry["channels" if k == CHANNELS else "bits"] = number(data, x, y)
-    if entry["codec"].startswith("A_PCM") and entry.get("rate"):
-        entry["ns_per_byte"] = 8e9 / (entry["rate"] * entry.get("channels", 1) * entry.get("bits", 8))
+    bits = entry.get("rate", 0) * entry.get("channels", 1) * entry.get("bits", 8)
+    if entry["codec"].startswith("A_PCM") and 0 < bits < float("inf"):
+        entry["ns_per_byte"] = 8e9 / bits
     return n, entry
 
 

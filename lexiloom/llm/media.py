@@ -7,7 +7,8 @@ packets' byte ranges and describes it.
 
 Defined results: null text is an empty payload (64 zero bytes); equal texts give
 equal bytes; a null media value has no packets and null features; malformed
-bytes raise; an empty table gives no rows; other columns are ignored.
+bytes give one row with null results and the reason in ``error`` (null elsewhere);
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,18 +43,23 @@ def to_matroska(docs: DataFrame) -> DataFrame:
 
 
 def packet_table(media: DataFrame) -> DataFrame:
-    """One row per packet of each media value."""
+    """One row per packet of each media value; one row without a packet, but with its ``error``, for malformed bytes."""
     names = ["packet", "track", "timestamp_ns", "offset", "size", "cluster", "keyframe", "lacing"]
 
     def body(cols):
-        out = {n: [] for n in ["doc_id", *names]}
+        out = {n: [] for n in ["doc_id", *names, "error"]}
         for doc, data in zip(cols["doc_id"].to_pylist(), cols["media"].to_pylist()):
-            for i, p in enumerate(ebml.parse(data).packets if data is not None else ()):
-                for n, v in zip(out, (doc, i, p.track, p.timestamp_ns, p.offset, p.size, p.cluster, p.keyframe, p.lacing)):
+            try:
+                packets, error = ebml.parse(data).packets if data is not None else [], None
+            except ebml.Malformed as e:
+                packets, error = [], str(e)
+            rows = [(doc, i, p.track, p.timestamp_ns, p.offset, p.size, p.cluster, p.keyframe, p.lacing, None) for i, p in enumerate(packets)]
+            for row in rows if error is None else [(doc, *[None] * len(names), error)]:
+                for n, v in zip(out, row):
                     out[n].append(v)
         return out
 
-    return map_batches(media.select("doc_id", "media"), body, "doc_id long, packet int, track int, timestamp_ns long, offset long, size long, cluster long, keyframe boolean, lacing int")
+    return map_batches(media.select("doc_id", "media"), body, "doc_id long, packet int, track long, timestamp_ns long, offset long, size long, cluster long, keyframe boolean, lacing int, error string")
 
 
 def describe(data: bytes) -> tuple[bytes, str]:
@@ -75,21 +81,25 @@ def describe(data: bytes) -> tuple[bytes, str]:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Per media value: digests of stored form and payload, and the feature string."""
+    """Per media value: digests of stored form and payload, the feature string, and the error of malformed bytes."""
 
     def body(cols):
-        out = {n: [] for n in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+        out = {n: [] for n in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")}
         for data in cols["media"].to_pylist():
             if data is None:
-                row = [None] * 6
+                row = [None] * 7
             else:
-                payload, feature = describe(data)
-                row = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature]
+                stored = [len(data), hashlib.sha256(data).hexdigest()]
+                try:
+                    payload, feature = describe(data)
+                    row = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), *stored, feature, None]
+                except ebml.Malformed as e:
+                    row = [None, None, None, *stored, None, str(e)]
             for n, v in zip(out, row):
                 out[n].append(v)
         return {"doc_id": cols["doc_id"], "n_bytes": cols["n_bytes"]} | out
 
-    return map_batches(media, body, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_batches(media, body, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
