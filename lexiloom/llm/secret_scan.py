@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -38,7 +39,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 SHORTEST_VALUE = 6
 
-PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+#: Where an armoured block begins or ends, and the label if it is a private key's.
+PEM_MARK = re.compile(r"-----(BEGIN|END) (?:([A-Z0-9 ]*PRIVATE KEY)-----)?")
 #: Where a run of base64 may begin: also after an escaped line end, and how its lines are joined.
 _FREE = r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n)|(?<=\\r))"
 RUN = re.compile(r"[A-Za-z0-9+/_-]+")
@@ -160,8 +162,11 @@ def ssh_length(data: bytes) -> int:
     return at
 
 
-def wrapped(text: str, start: int, length_of, is_key) -> int:
-    """End of a key in base64 that begins at ``start`` and goes on over line ends; -1 if there is none."""
+def wrapped(text: str, start: int, length_of, is_key, least: int) -> int:
+    """End of a key in base64 that begins at ``start`` and goes on over line ends; -1 if there is none.
+
+    After ``least`` characters its length must be known.
+    """
     runs, at, size, need, tried = [], start, 0, 0, 0
     while m := RUN.match(text, at):
         runs.append((m.start(), m[0]))
@@ -170,7 +175,7 @@ def wrapped(text: str, start: int, length_of, is_key) -> int:
         if not need and (size >= 2 * tried or not gap):  # its lengths may stand in lines to come
             head = unbase64("".join(r for _, r in runs)[: size // 4 * 4])
             need, tried = ((length_of(head) * 8 + 5) // 6 if head is not None else 0), size
-        if not gap or 0 < need <= size or need > len(text) - start:
+        if not gap or 0 < need <= size or need > len(text) - start or (not need and size >= least):
             break
         at = gap.end()
     whole = "".join(r for _, r in runs)
@@ -224,29 +229,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
-    spans, at = [], 0
-    while (m := PEM_BEGIN.search(text, at)) if "PRIVATE KEY-----" in text else None:
-        end = f"-----END {m[1]}-----"
-        stop = text.find(end, m.end())
-        begin_again = text.find("-----BEGIN ", m.end())
-        at = m.end()
-        if stop < 0 or 0 <= begin_again < stop:
-            if begin_again < 0:
-                break
-            continue
-        if is_pem_body(text[m.end() : stop]):
-            spans.append((m.start(), stop + len(end), "pem"))
-        at = stop + len(end)
-    pems = list(spans)
+    spans = []
+    begun = None  # the last mark that began a private key, with no other beginning behind it
+    for m in PEM_MARK.finditer(text) if "PRIVATE KEY-----" in text else ():
+        if m[1] == "BEGIN":
+            begun = m if m[2] is not None else None
+        elif begun and m[2] == begun[2]:
+            if is_pem_body(text[begun.end() : m.start()]):
+                spans.append((begun.start(), m.end(), "pem"))
+            begun = None
+    starts, ends = [a for a, _, _ in spans], [b for _, b, _ in spans]
 
     def held(at: int) -> bool:
-        return any(a <= at < b for a, b, _ in pems)
+        i = bisect.bisect_right(starts, at)
+        return i > 0 and at < ends[i - 1]
 
     for m in DER_BASE64.finditer(text):
         data = unbase64(m[0])
         if data is not None and is_private_der(data):
             spans.append((m.start(), m.end(), "der"))
-        elif not held(m.start()) and (stop := wrapped(text, m.start(), der_length, is_private_der)) >= 0:
+        elif not held(m.start()) and (stop := wrapped(text, m.start(), der_length, is_private_der, 8)) >= 0:
             spans.append((m.start(), stop, "der"))
     for m in DER_HEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_private_der(bytes.fromhex(m[0])):
@@ -256,7 +258,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             data = unbase64(m[0])
             if data is not None and is_ssh_container(data):
                 spans.append((m.start(), m.end(), "ssh"))
-            elif not held(m.start()) and (stop := wrapped(text, m.start(), ssh_length, is_ssh_container)) >= 0:
+            elif not held(m.start()) and (stop := wrapped(text, m.start(), ssh_length, is_ssh_container, 1 << 20)) >= 0:
                 spans.append((m.start(), stop, "ssh"))
     at = 0
     for m in JWT.finditer(text):
