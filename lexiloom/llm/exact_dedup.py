@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import SPACE, keep_rows, materialize, python_batches, row_id, table, text_or_empty
+from lexiloom.llm.common import SPACE, keep_rows, materialize, python_batches, row_id, spread_join, table, text_or_empty
 from lexiloom.llm.perfect_hash import PerfectHash, matrix
 
 #: Distinct digests that one shard is meant to hold.
 DIGESTS_PER_SHARD = 20_000
+#: Copies of one row that are put out from one array.
+RUN = 100_000
 SLOTS = pa.schema([("shard", pa.int32()), ("mph", pa.binary()), ("digests", pa.binary()), ("winners", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
 
 
@@ -111,12 +113,17 @@ def exact_groups(docs: DataFrame, cut: int | None = None) -> DataFrame:
     old = F.coalesce(F.col("doc_id") <= F.lit(cut), F.lit(False))
     past = _groups(rows.where(old))
     python_batches(docs.sparkSession)
-    shards = max(1, -(-rows.count() // DIGESTS_PER_SHARD))
+    n_rows = rows.count()
+    shards = max(1, -(-n_rows // DIGESTS_PER_SHARD))
     slots = build_history(past, shards)
     groups = probe(slots, _groups(rows.where(~old)), shards)
+    # a row repeated very often comes back in runs, so that no array holds all its copies
+    runs = F.expr(f"sequence(0L, (copies - 1) DIV {RUN})")
+    copies = F.expr(f"sequence(__run * {RUN} + 1, least(copies, (__run + 1) * {RUN}))")
     return (
-        rows.join(groups, "digest")
-        .withColumn("__copy", F.explode(F.expr("sequence(1L, copies)")))
+        spread_join(rows, groups, "digest", n_rows)
+        .withColumn("__run", F.explode(runs))
+        .withColumn("__copy", F.explode(copies))
         .select("doc_id", "keep_id", "group_size", (F.expr("doc_id <=> keep_id") & (F.col("__copy") == 1)).alias("kept"), "digest", "member")
     )
 
