@@ -6,8 +6,8 @@ windows cover it whole; their probabilities, weighted by the bytes they hold, ar
 averaged, and the best language is the prediction.
 
 Training takes a bounded sample of labelled rows (``docs_per_language`` documents a
-language by hash of their id, ``windows_per_doc`` windows spread over each text), so
-what reaches the driver does not grow with the corpus. Rows whose
+language by hash of id and text, repeated ones once, ``windows_per_doc`` windows spread over
+each text), so what reaches the driver does not grow with the corpus. Rows whose
 ``crc32(doc_id as text) mod 5`` is 0 are held out. Only bytes are inputs.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0, and so
@@ -156,7 +156,8 @@ def training_windows(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE
     if not classes:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
     share = F.create_map(*[v for c in classes for v in (F.lit(c), F.lit(min(1.0, docs_per_language / sizes[c])))])
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(1_000_000) * F.element_at(share, F.col("lang")))
+    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.col("text").cast("string")), F.lit(1_000_000)) < F.lit(1_000_000) * F.element_at(share, F.col("lang")))
+    chosen = chosen.select("lang", "text").distinct()  # rows repeated without end are one
 
     def body(cols):
         langs, windows = [], []
