@@ -4,7 +4,7 @@ from dataclasses import replace
 from typing import Literal, Optional, TypedDict, Union
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from lexiloom.functions import structure as Y
 from lexiloom.operators import engine
@@ -62,8 +62,12 @@ TYPES = st.recursive(
 )
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(TYPES)
+@example(list[Literal["e", "c\\d", True]])
+@example(Optional[Literal["c\\d", "e", True]])  # noqa: UP045
+@example(Optional[Literal["e", "c\\d", True]])  # noqa: UP045
+@example(dict[str, Literal[1, True, "1"]])
 def test_type_text_round_trip(t):
     text = Y.type_text(t)
     assert Y.type_text(Y.type_of(text)) == text
