@@ -105,39 +105,54 @@ def run_tool(call: dict, tools: dict[str, Callable]) -> str:
     return out
 
 
-def chat(session: Session, prompt: str, complete: Callable, model: Model, system: str | None = None, tools: dict[str, Callable] | None = None, parallel: bool = False) -> str:
-    """One turn. ``complete(messages, tools allowed) -> {"content", "tool_calls"}``; None or an error tries the fallback.
+def chat(session: Session, prompt: str, complete, model: Model, system: str | None = None, tools: dict[str, Callable] | None = None, parallel: bool = False, retries: int | None = None) -> str:
+    """One turn. ``complete(messages, tools allowed) -> {"content", "tool_calls"}``, or a pair of such, the second for the model's fallback.
 
-    Tools are run for ``tool_max_rounds`` rounds; calls left over are an error.
+    No content, or an exception, is tried again ``retries`` times (the model's ``retries_invalid`` by default), then by the
+    fallback. Tools are run for ``tool_max_rounds`` rounds; calls left over, and unknown tools, are an error at once.
     """
     tools = {n: (tools or TOOLS)[n] for n in model.tools}
     message = session.ask(prompt, system)
     history = list(session.messages)
-    for attempt in (model, model.fallback):
+    first, second = complete if isinstance(complete, tuple) else (complete, complete)
+    why = "no content"
+    for attempt, ask in ((model, first), (model.fallback, second)):
         if attempt is None:
             continue
-        reply, extra = complete(history, bool(tools)), []
-        rounds = 0
-        while reply and reply.get("tool_calls") and rounds < attempt.tool_max_rounds:
-            calls = reply["tool_calls"]
-            if parallel:
-                with ThreadPoolExecutor(len(calls)) as pool:
-                    answers = list(pool.map(lambda c: run_tool(c, tools), calls))
-            else:
-                answers = [run_tool(c, tools) for c in calls]
-            extra.append({"role": "assistant", "content": reply.get("content"), "tool_calls": calls})
-            extra += [{"role": "tool", "content": a, "tool_call_id": c["id"], "name": c["name"]} for a, c in zip(answers, calls)]
-            rounds += 1
-            reply = complete(history + extra, rounds < attempt.tool_max_rounds)
-        if reply and reply.get("tool_calls"):
-            raise ToolError(f"tools are still called after {rounds} rounds")
-        if reply and reply.get("content") is not None:
-            message["response_succeeded"] = True
-            for m in extra:
-                session.add(m)
-            session.add({"role": "assistant", "content": reply["content"]})
-            return reply["content"]
-    raise RuntimeError("no reply from the model or its fallback")
+        for _ in range(1 + (attempt.retries_invalid if retries is None else retries)):
+            try:
+                reply, extra = _turn(history, ask, attempt, tools, parallel)
+            except ToolError:
+                raise
+            except Exception as e:
+                why = f"{type(e).__name__}: {e}"
+                continue
+            if reply and reply.get("content") is not None:
+                message["response_succeeded"] = True
+                for m in extra:
+                    session.add(m)
+                session.add({"role": "assistant", "content": reply["content"]})
+                return reply["content"]
+    raise RuntimeError(f"no reply from the model or its fallback; last: {why}")
+
+
+def _turn(history: list[dict], ask: Callable, model: Model, tools: dict[str, Callable], parallel: bool) -> tuple[dict | None, list[dict]]:
+    """The reply after all tool rounds, and the messages that the rounds added."""
+    reply, extra, rounds = ask(history, bool(tools)), [], 0
+    while reply and reply.get("tool_calls") and rounds < model.tool_max_rounds:
+        calls = reply["tool_calls"]
+        if parallel:
+            with ThreadPoolExecutor(len(calls)) as pool:
+                answers = list(pool.map(lambda c: run_tool(c, tools), calls))
+        else:
+            answers = [run_tool(c, tools) for c in calls]
+        extra.append({"role": "assistant", "content": reply.get("content"), "tool_calls": calls})
+        extra += [{"role": "tool", "content": a, "tool_call_id": c["id"], "name": c["name"]} for a, c in zip(answers, calls)]
+        rounds += 1
+        reply = ask(history + extra, rounds < model.tool_max_rounds)
+    if reply and reply.get("tool_calls"):
+        raise ToolError(f"tools are still called after {rounds} rounds")
+    return reply, extra
 
 
 # ---- over a table of messages (conv_id, turn, role, text)

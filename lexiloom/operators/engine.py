@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from lexiloom.functions import envelope
@@ -28,6 +29,7 @@ class Settings:
     raise_errors: bool = True
     throttle: bool = False
     render: str | None = None
+    workers: int = 16
 
 
 def grouped(specs) -> list[list]:
@@ -70,7 +72,8 @@ class Found:
 class Run:
     """All calls for one document. ``backends``: role -> (backend, fallback's backend or None)."""
 
-    def __init__(self, doc: Document, models: dict[str, Model], backends: dict, settings: Settings, limiter: Callable[[Model], Limiter] | None = None):
+    def __init__(self, doc: Document, models: dict[str, Model], backends: dict, settings: Settings, limiter: Callable[[Model], Limiter] | None = None, keep_prompts: bool = True):
+        self.keep_prompts = keep_prompts
         self.doc, self.models, self.backends, self.settings = doc, models, backends, settings
         self.calls: list[dict] = []
         self.errors: list[str] = []
@@ -78,13 +81,25 @@ class Run:
         self.render = prompts.renderer(settings.render) if settings.render else prompts.render
 
     def extract(self, kind: str, specs, where: list[int] | None = None) -> dict[str, Found]:
-        """Name -> found for specs over the paragraphs at ``where`` (all by default)."""
+        """Name -> found for specs over the paragraphs at ``where`` (all by default).
+
+        With ``concurrent`` the calls of a model's spec chunks are made at the same time; what they found and the
+        record of calls keep the chunks' order.
+        """
         out = {s.name: Found() for s in specs}
-        for role, model in self.models.items():
-            for chunk in spec_chunks([s for s in specs if s.llm_role == role], self.settings):
-                got = self._with_retries(kind, chunk, model, where)
-                for name, found in (got or {}).items():
-                    out[name] = found
+        jobs = [(chunk, model) for role, model in self.models.items() for chunk in spec_chunks([s for s in specs if s.llm_role == role], self.settings)]
+        if self.settings.concurrent and len(jobs) > 1:
+            runs = [Run(self.doc, self.models, self.backends, self.settings, self.limiter, self.keep_prompts) for _ in jobs]
+            with ThreadPoolExecutor(min(len(jobs), self.settings.workers)) as pool:
+                waiting = [pool.submit(run._with_retries, kind, chunk, model, where) for run, (chunk, model) in zip(runs, jobs)]
+            for run in runs:
+                self.calls += run.calls
+                self.errors += run.errors
+            results = (w.result() for w in waiting)
+        else:
+            results = (self._with_retries(kind, chunk, model, where) for chunk, model in jobs)
+        for got in results:
+            out |= got or {}
         return out
 
     def _with_retries(self, kind, chunk, model, where):
@@ -127,7 +142,7 @@ class Run:
             paras, sents = [self.doc.paras[i] for i in places], [self.doc.sents[i] if self.doc.sents else [] for i in places]
             whole = self.doc.text if kind == "concept" and where is None and not params["add_references"] and len(chunks) == 1 and not images else None
             numbered = kind == "aspect" or params["add_references"]
-            prompt = self.render(kind, left, params, paras, sents, numbered, whole)
+            prompt = self.render(kind, left, params, paras, sents, numbered, whole) if self.keep_prompts or getattr(backend, "needs_prompt", True) else ""
             reply = self._call(prompt, {"kind": kind, "specs": left, "paras": paras, "sents": sents, "params": params, "images": images, "text_chunk": number}, model, backend, attempt)
             read = envelope.aspect_items if kind == "aspect" else envelope.concept_items
             try:

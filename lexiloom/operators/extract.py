@@ -3,7 +3,8 @@
 Paragraphs and sentences are array expressions in the document's own row, the
 pipeline is a small constant, and references are resolved where the reply is read;
 so nothing is shuffled. What calls gave is written once and read for all three
-tables: a retried task or a second action never pays for a call again.
+tables, so a second action makes no call again. A task that fails or runs twice
+repeats its documents' calls, unless their backend keeps replies (``StoredBackend``).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from lexiloom.functions import envelope
 from lexiloom.functions import text as T
-from lexiloom.operators import engine, runtime
+from lexiloom.operators import engine, runtime, segment
 from lexiloom.operators.backends import Limiter
 from lexiloom.plans.specs import Model, Pipeline, need
 
@@ -56,8 +57,8 @@ class Extraction:
 
 
 @lru_cache(maxsize=64)
-def _limiter(model: str, n: int, seconds: float) -> Limiter:
-    return Limiter(n, seconds)
+def _limiter(model: str, n: int, seconds: float, tasks: int) -> Limiter:
+    return Limiter(n, seconds, tasks)
 
 
 def _rows(doc: engine.Document, run: engine.Run, found) -> list[dict]:
@@ -77,17 +78,21 @@ def extract(
     pipeline: Pipeline,
     models: list[Model],
     backends: dict,
-    settings: engine.Settings = engine.Settings(),  # noqa: B008
+    settings: engine.Settings = engine.Settings(raise_errors=False),  # noqa: B008
     what: str = "all",
     text: str = "text",
     path: str | None = None,
     keep_prompts: bool = True,
+    split=T.sentences,
 ) -> Extraction:
     """Run a pipeline on every document.
 
     ``what``: all, aspects or concepts. ``backends``: role -> backend or (backend,
     fallback's backend). ``docs`` may have images (array<struct<mime,data>>).
-    Null text has no paragraphs.
+    Null text has no paragraphs. A document without a valid reply is a row of
+    ``errors``; with ``raise_errors`` it ends the job. ``split`` cuts a paragraph
+    into sentences (a Column to an array of strings). With ``throttle`` all tasks
+    together keep each model's rate.
     """
     need(what in ("all", "aspects", "concepts"), "what is all, aspects or concepts")
     by_role = {m.role: m for m in models}
@@ -96,25 +101,26 @@ def extract(
     runtime.prepare(docs.sparkSession)
     paras = F.coalesce(T.paragraphs(F.col(text)), F.array().cast("array<string>"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), paras.alias("paras"), *(["images"] if "images" in docs.columns else []))
-    sents = F.transform("paras", T.sentences) if pipeline.needs_sentences else F.array().cast("array<array<string>>")
+    sents = F.transform("paras", split) if pipeline.needs_sentences else F.array().cast("array<array<string>>")
     rows = rows.withColumn("sents", sents)
     schema = to_arrow_schema(StructType.fromDDL(RESULT))
+    tasks = max(1, docs.sparkSession.sparkContext.defaultParallelism)
 
     def work(batches):
-        limiter = (lambda m: _limiter(m.model, *m.rate)) if settings.throttle else None
+        limiter = (lambda m: _limiter(m.model, *m.rate, tasks)) if settings.throttle else None
         for batch in batches:
             out = []
             for row in batch.to_pylist():
                 images = [(i["mime"], i["data"]) for i in row.get("images") or []]
                 doc = engine.Document(row["doc_id"], row["text"], row["paras"], row["sents"], images)
-                run = engine.Run(doc, by_role, pairs, settings, limiter)
+                run = engine.Run(doc, by_role, pairs, settings, limiter, keep_prompts)
                 found = run.all(pipeline) if what == "all" else run.aspects(pipeline.aspects) if what == "aspects" else run.concepts(pipeline.concepts)
                 if not keep_prompts:
                     for c in run.calls:
                         c["prompt"] = None
                 out += _rows(doc, run, found)
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in out], f.type) for f in schema], schema=schema)
 
     path = path or runtime.shared_dir(docs.sparkSession, "extraction")
     return Extraction(runtime.written(rows.mapInArrow(work, RESULT), path), path)
@@ -128,7 +134,7 @@ def check_unprocessed(status: DataFrame, owners: list[str], overwrite: bool = Fa
 
 def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
     """Items with those of the owners in ``new`` put in place of theirs."""
-    return old.join(F.broadcast(new.select("owner").distinct()), "owner", "left_anti").unionByName(new)
+    return old.join(new.select("owner").distinct(), "owner", "left_anti").unionByName(new)
 
 
 def call_plan(docs: DataFrame, pipeline: Pipeline, models: list[Model], settings: engine.Settings = engine.Settings()) -> DataFrame:  # noqa: B008
@@ -137,10 +143,7 @@ def call_plan(docs: DataFrame, pipeline: Pipeline, models: list[Model], settings
     for kind, specs in (("aspect", pipeline.aspects), ("concept", pipeline.concepts)):
         for m in models:
             plan += [(kind, m.role, i, [s.name for s in chunk]) for i, chunk in enumerate(engine.spec_chunks([s for s in specs if s.llm_role == m.role], settings))]
-    spark = docs.sparkSession
-    chunks = F.broadcast(spark.createDataFrame(plan, "owner_kind string, llm_role string, spec_chunk int, specs array<string>"))
-    n = F.size(F.coalesce(T.paragraphs(F.col("text")), F.array().cast("array<string>")))
+    chunks = F.broadcast(docs.sparkSession.createDataFrame(plan, "owner_kind string, llm_role string, spec_chunk int, specs array<string>"))  # the pipeline's own few rows
     size = settings.paragraphs_per_call
-    texts = F.ceil(n / size).cast("int") if size else (n > 0).cast("int")
-    counted = docs.select("doc_id", texts.alias("n")).where("n > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("text_chunk"))
-    return counted.crossJoin(chunks)
+    first = segment.paragraphs(docs).where(F.col("para_idx") % size == 0 if size else F.col("para_idx") == 0)  # of each chunk; splits the text once
+    return first.select("doc_id", segment.chunk_of(F.col("para_idx"), size).alias("text_chunk")).crossJoin(chunks)

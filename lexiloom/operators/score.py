@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
+from lexiloom.operators import runtime
 
 JUDGE_BEST = 5
 
@@ -64,3 +66,52 @@ def items_block(items: DataFrame, by: list[str], value: str) -> DataFrame:
     rows = items.groupBy(*by).agg(F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct("item_idx", value)))).alias("__v"))
     lines = F.transform("__v", lambda x: F.concat((x["item_idx"] + 1).cast("string"), F.lit(". "), x[value].cast("string")))
     return rows.select(*by, F.when(F.size("__v") > 0, F.array_join(lines, "\n")).otherwise("No items extracted").alias("block"))
+
+
+#: Characters of passages that one automaton, and so one scan of the documents, takes.
+PASSAGE_CHARS = 64_000_000
+
+
+def passages_in(docs: DataFrame, passages: DataFrame, text: str = "text") -> DataFrame:
+    """(item_id, doc_id) of documents that hold a passage whole; ``passages``: (item_id, passage).
+
+    All passages are looked for in one pass over each text (an Aho-Corasick automaton, made once a worker). Passages
+    are a test set, kept on the driver by ``PASSAGE_CHARS`` at a time; a larger set takes several scans. Empty ones are
+    in every text.
+    """
+    runtime.prepare(docs.sparkSession)
+    ddl = "item_id long, doc_id long"
+    schema = pa.schema([("item_id", pa.int64()), ("doc_id", pa.int64())])
+    found, held, size = [], [], 0
+
+    def scan(part: list) -> DataFrame:
+        def work(batches):
+            import ahocorasick
+
+            machine, ids, always = ahocorasick.Automaton(), {}, []
+            for item, passage in part:
+                (ids.setdefault(passage, []) if passage else always).append(item)
+            for passage in ids:
+                machine.add_word(passage, passage)
+            if ids:
+                machine.make_automaton()
+            for batch in batches:
+                rows = []
+                for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if body is not None:
+                        hits = {p for _, p in machine.iter(body)} if ids else ()
+                        rows += [(item, doc) for item in (*always, *(i for p in hits for i in ids[p]))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], schema=schema)
+
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(work, ddl)
+
+    for row in passages.where("passage IS NOT NULL").select(F.col("item_id").cast("long"), "passage").toLocalIterator():
+        held.append(tuple(row))
+        size += len(row["passage"])
+        if size > PASSAGE_CHARS:
+            found, held, size = [*found, scan(held)], [], 0
+    found.append(scan(held))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out

@@ -130,24 +130,153 @@ def test_images_come_after_text():
 
 def test_limiter():
     now, slept = [0.0], []
-    limiter = backends.Limiter(3, 10, lambda: now[0], lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
+    limiter = backends.Limiter(3, 10, 1, lambda: now[0], lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
     for _ in range(7):
         limiter.acquire()
     assert slept == [10.0, 10.0]
 
 
-def test_http_backend_retries():
-    tries = []
+def test_limiter_shared_by_tasks():
+    for tasks, n, seconds in ((2, 1, 10), (3, 1, 10), (6, 1, 20), (30, 1, 100)):
+        limiter = backends.Limiter(3, 10, tasks)
+        assert (limiter.n, limiter.seconds) == (n, pytest.approx(seconds)) and tasks * limiter.n / limiter.seconds <= 3 / 10 + 1e-9
+
+
+@pytest.fixture
+def service():
+    """A local completions service that answers what ``script`` says: (status, headers, body) one after another."""
+    import http.server
+    import threading
+
+    script, seen = [], []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.path, dict(self.headers), json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            status, headers, body = script.pop(0)
+            self.send_response(status)
+            for k, v in headers.items():
+                self.send_header(k, v)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/v1/", script, seen
+    server.shutdown()
+
+
+def said(text):
+    return 200, {}, {"choices": [{"message": {"content": text}}], "usage": {"prompt_tokens": 1}}
+
+
+def test_http_backend(service, monkeypatch):
+    url, script, seen = service
+    monkeypatch.setenv("LX_TEST_KEY", "k123")
+    backend = backends.HttpBackend(url, "LX_TEST_KEY", retries=2, wait=0)
+    payload = {"request": S.Model("acme/small").request(), "messages": [{"role": "user", "content": "p"}]}
+    script += [(429, {"Retry-After": "0"}, {}), (503, {}, {}), said("[]")]
+    assert backend.complete("p", payload) == "[]" and len(seen) == 3
+    path, headers, body = seen[0]
+    assert path == "/v1/chat/completions" and headers["Authorization"] == "Bearer k123"
+    assert body == {"model": "small", "max_tokens": 4096, "temperature": 0.3, "messages": [{"role": "user", "content": "p"}]}
+    script += [(400, {}, {"error": "temperature is not supported"}), (400, {}, {"error": "use max_completion_tokens, not max_tokens"}), said("x")]
+    assert backend.complete("p", payload) == "x" and set(seen[-1][2]) == {"model", "messages"}  # each dropped once
+    script += [(401, {}, {"error": "no"})]
+    with pytest.raises(backends.Rejected):
+        backend.complete("p", payload)
+    script += [(500, {}, {})] * 3
+    with pytest.raises(backends.CallFailed):
+        backend.complete("p", payload)
+    script += [(200, {}, {"choices": []})]
+    with pytest.raises(backends.CallFailed):
+        backend.complete("p", payload)
+    with pytest.raises(backends.CallFailed):
+        backends.HttpBackend("http://127.0.0.1:9", retries=1, wait=0).complete("p", {})
 
-    def send(request):
-        tries.append(request)
-        if len(tries) < 3:
-            raise OSError("busy")
-        return "[]"
 
-    assert backends.HttpBackend(send, retries=3, wait=0).complete("p", {}) == "[]" and len(tries) == 3
-    with pytest.raises(backends.CallFailed):
-        backends.HttpBackend(lambda r: 1 / 0, retries=1, wait=0).complete("p", {})
+def test_http_backend_in_an_extraction(service, spark):
+    url, script, seen = service
+    reply = json.dumps([{"concept_id": "C0", "extracted_items": ["a"]}])
+    script += [said("useless"), said(reply)]
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    got = extract.extract(docs, S.Pipeline(concepts=(S.StringConcept("S", "s"),)), [S.Model("acme/small")], {"extractor_text": backends.HttpBackend(url, wait=0)})
+    assert got.items.first()["v_str"] == "a" and [r["attempt"] for r in got.ledger.orderBy("call_idx").collect()] == [0, 1]
+    assert seen[0][2]["messages"][0]["role"] == "system" and "some text" in seen[0][2]["messages"][1]["content"]
+
+
+def test_stored_replies_are_not_paid_again(tmp_path):
+    calls = []
+
+    class Once:
+        def complete(self, prompt, payload):
+            calls.append(prompt)
+            return f"answer {len(calls)} é"
+
+    backend = backends.StoredBackend(Once(), str(tmp_path / "replies"))
+    assert backend.complete("p", {"attempt": 0}) == backend.complete("p", {"attempt": 0}) == "answer 1 é"
+    assert backend.complete("p", {"attempt": 1}) == "answer 2 é" and backend.complete("q", {}) == "answer 3 é" and len(calls) == 3
+
+
+def test_concurrent_calls_run_together_and_keep_their_order():
+    import threading
+
+    gate = threading.Barrier(4, timeout=10)
+
+    class Slow:
+        def complete(self, prompt, payload):
+            gate.wait()  # passes only if four calls are under way
+            return backends.RuleBackend().complete(prompt, payload)
+
+    specs = [S.StringConcept(f"c{i}", f"d{i}", rule=f"x{i}") for i in range(4)]
+    run = run_of(engine.Settings(concurrent=True), backend=Slow())
+    found = run.extract("concept", specs)
+    assert [found[f"c{i}"].items[0]["value"] for i in range(3)] == ["x0", "x1", "x2"] and len(run.calls) == 4
+    assert all(f'["x{i}"]' in c["response"] and f"c{i} - d{i}" in c["prompt"] for i, c in enumerate(run.calls[:3]))
+    with pytest.raises(engine.ExtractionFailed):
+        run_of(engine.Settings(concurrent=True), backend=backends.ReplayBackend({}, ["bad"])).extract("concept", specs)
+
+
+def test_chat_fallback_has_its_own_model_and_errors_are_caught():
+    model = S.Model("a/b", retries_invalid=1, fallback=S.Model("a/c", is_fallback=True, retries_invalid=0))
+    asked = []
+
+    def broken(messages, allowed):
+        asked.append("first")
+        raise OSError("down")
+
+    def second(messages, allowed):
+        asked.append("second")
+        return {"content": "here"}
+
+    session = chat.Session()
+    assert chat.chat(session, "hi", (broken, second), model) == "here" and asked == ["first", "first", "second"]
+    assert [m["role"] for m in session.messages] == ["user", "assistant"]
+    with pytest.raises(RuntimeError, match="down"):
+        chat.chat(chat.Session(), "hi", (broken, broken), model)
+
+
+def test_every_match_is_an_item():
+    doc = engine.Document(1, "", ["a1 b22 c333", "d4444"], [[], []])
+    number = S.NumericalConcept("n", "d", numeric_type="int", rule="[0-9]+")
+    assert [i["value"] for i in run_of(engine.Settings(), doc=doc).extract("concept", [number])["n"].items] == [1, 22, 333, 4444]
+    one = S.NumericalConcept("n", "d", numeric_type="int", rule={"pattern": "[0-9]+", "each": False})
+    assert [i["value"] for i in run_of(engine.Settings(), doc=doc).extract("concept", [one])["n"].items] == [1, 4444]
+
+
+def test_passages_in_documents(spark):
+    docs = spark.createDataFrame([(1, "a long text with a passage in it"), (2, "nothing"), (3, None), (None, "a passage")], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "a passage"), (11, "a passage"), (12, "passage in"), (13, "zzz"), (14, ""), (15, None)], "item_id long, passage string")
+    want = [(i, d) for d, t in ((1, "a long text with a passage in it"), (2, "nothing"), (None, "a passage")) for i, p in ((10, "a passage"), (11, "a passage"), (12, "passage in"), (13, "zzz"), (14, "")) if p in t]
+    assert sorted(map(tuple, score.passages_in(docs, items).collect()), key=str) == sorted(want, key=str)
+    before, score.PASSAGE_CHARS = score.PASSAGE_CHARS, 5
+    try:
+        assert sorted(map(tuple, score.passages_in(docs, items).collect()), key=str) == sorted(want, key=str)
+    finally:
+        score.PASSAGE_CHARS = before
 
 
 def test_extraction_tables(spark):
