@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import hashlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +24,11 @@ DIGITS = S.Aspect("Digits", "Text with figures", rule="[0-9]", aspects=(S.Aspect
 SECRETS = S.Aspect("Secrets", "Passwords and tokens", rule="password|token", concepts=(S.StringConcept("Secret value", "What stands behind", rule={"pattern": "(?:password|token)[ =\"]+([A-Za-z0-9]+)", "group": 1}),))
 ADDRESS = S.StringConcept("Address", "E-mail address", rule="[A-Za-z0-9_.]+@[A-Za-z0-9.]+", add_references=True)
 HAS_SECRET = S.BooleanConcept("Has secret", "It holds a secret", rule="password|token")
-AMOUNT = S.NumericalConcept("Amount", "A figure", numeric_type="int", rule="[0-9]{2,9}")
+AMOUNT = S.NumericalConcept("Amount", "A figure", numeric_type="int", rule="[0-9]{2,}")
 GRADE = S.RatingConcept("Grade", "How telling it is", (1, 5), rule={"ratings": {5: "(?i)licen[cs]e", 3: "@", 1: "[0-9]"}})
 TOPIC = S.LabelConcept("Topic", "What it is about", ("secret", "contact", "figures"), rule={"labels": {"secret": "password|token", "contact": "@", "figures": "[0-9]"}})
 TOPICS = S.LabelConcept("Topics", "All it is about", ("secret", "contact", "figures"), "multi_label", rule={"labels": {"secret": "password|token", "contact": "@", "figures": "[0-9]"}})
-FIRST_AMOUNT = S.NumericalConcept("First amount", "The first figure", numeric_type="int", rule="[0-9]{2,9}", singular=True)
+FIRST_AMOUNT = S.NumericalConcept("First amount", "The first figure", numeric_type="int", rule="[0-9]{2,}", singular=True)
 ORDER_DATE = S.DateConcept("Order date", "Day of the order", rule="[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}")
 ORDER = S.JsonObjectConcept("Order", "The order", {"number": str, "status": str}, rule={"fields": {"number": "(?:number )([0-9]+)", "status": "(?:status )([A-Z])"}, "group": 1})
 PRICE = S.NumericalConcept("Price", "Total price", numeric_type="float", rule={"pattern": "total ([0-9]+[.][0-9]+)", "group": 1})
@@ -53,17 +53,19 @@ def _order_docs(spark, sf_dir) -> DataFrame:
 
 
 class Flaky:
-    """Useless replies for the first ``n mod 6`` attempts, n being the number in the document."""
+    """Useless replies for the first ``n mod 6`` attempts, n coming from the MD5 of the call's first paragraph."""
+
+    needs_prompt = False
 
     def complete(self, prompt, payload):
-        n = int(re.search(r"\d+", payload["paras"][0])[0])
+        n = int(hashlib.md5(payload["paras"][0].encode()).hexdigest()[:2], 16)
         return backends.RuleBackend().complete(prompt, payload) if payload["attempt"] >= n % 6 else "I would rather not"
 
 
 def retry_outcome(spark, sf_dir) -> DataFrame:
-    frame = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("text"))
+    """Calls and outcome of every document, its paragraphs ten a call, with a model and a fallback that answer late."""
     model = S.Model("rules/small", retries_invalid=2, fallback=S.Model("rules/large", is_fallback=True, retries_invalid=1))
-    got = extract.extract(frame, S.Pipeline(concepts=(S.NumericalConcept("Number", "Its number", rule="[0-9]+"),)), [model], {"extractor_text": (Flaky(), Flaky())}, engine.Settings(raise_errors=False), keep_prompts=False)
+    got = extract.extract(docs(spark, sf_dir), S.Pipeline(concepts=(AMOUNT,)), [model], {"extractor_text": (Flaky(), Flaky())}, engine.Settings(paragraphs_per_call=CHUNK, raise_errors=False), keep_prompts=False)
     calls = got.ledger.groupBy("doc_id").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.col("is_fallback").cast("long")).alias("fallback_calls"))
     return calls.join(got.status.select("doc_id", "processed"), "doc_id")
 
@@ -185,19 +187,22 @@ def overall(spark, sf_dir) -> DataFrame:
 
 
 def grounding(spark, sf_dir) -> DataFrame:
-    """Benchmark passages and the documents that hold them whole. The passages are a table of fixed size."""
+    """Benchmark passages and the documents that hold them whole, found in one pass over each text."""
     items = runtime.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    hits = docs(spark, sf_dir).join(items, F.contains("text", "passage"))
+    hits = score.passages_in(docs(spark, sf_dir), items)
     return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 def image_dedup(spark, sf_dir) -> DataFrame:
-    """Image rows made of pages: equal content once a host, with its type by magic number."""
-    head = F.when(F.col("page_id") % 3 == 0, F.unhex(F.lit("FFD8FFE0"))).when(F.col("page_id") % 3 == 1, F.unhex(F.lit("89504E470D0A1A0A"))).otherwise(F.unhex(F.lit("524946460000000057454250")))
+    """Image rows made of pages, a type's magic number and the page's own bytes: equal content once a host."""
+    k = F.length("html") % 3
+    head = F.when(k == 0, F.unhex(F.lit("FFD8FFE0"))).when(k == 1, F.unhex(F.lit("89504E470D0A1A0A"))).otherwise(F.unhex(F.lit("524946460000000057454250")))
+    content = F.concat(head, F.encode(F.regexp_extract("html", "<p>([^<]*)", 1), "utf-8"))
     host = F.regexp_extract("url", "^https?://([^/]+)", 1)
-    rows = runtime.table(spark, sf_dir, "pages").select(host.alias("doc_id"), F.col("page_id").alias("img_idx"), head.alias("content"))
-    rows = rows.select("doc_id", "img_idx", images.mime_of(F.col("content")).alias("mime_type"), F.base64("content").alias("base64"))
-    return images.distinct_images(rows)
+    rows = runtime.table(spark, sf_dir, "pages").select(host.alias("doc_id"), F.col("page_id").alias("img_idx"), content.alias("content"))
+    twice = rows.unionByName(rows.withColumn("img_idx", F.col("img_idx") + 1_000_000))  # every picture stands again later
+    encoded = twice.select("doc_id", "img_idx", images.mime_of(F.col("content")).alias("mime_type"), F.base64("content").alias("base64"))
+    return images.distinct_images(encoded).select("doc_id", "img_idx", "mime_type", F.md5(F.unbase64("base64")).alias("content_md5"))
 
 
 def json_roundtrip(spark, sf_dir) -> DataFrame:
@@ -228,6 +233,24 @@ def _typed(items: DataFrame, value) -> DataFrame:
     return items.select("doc_id", F.col("item_idx").cast("long").alias("item_idx"), value.alias("value"))
 
 
+def rebuilt(frame: DataFrame) -> DataFrame:
+    """Documents with text, put together again of their paragraphs; the one-element array keeps the work in one place."""
+    whole = segment.from_paragraphs(segment.with_paragraphs(frame.select("doc_id", "text")))
+    return segment.unrolled(whole, ["doc_id"], F.filter(F.array("raw_text"), lambda t: F.length(t) > 0), "at", "raw_text").drop("at")
+
+
+def repeats_looked_up(frame: DataFrame) -> DataFrame:
+    """All positions of the paragraphs that stand more than once in their document."""
+    paras = segment.paragraphs(frame)
+    return segment.position_of_paragraph(paras, segment.repeated(paras).select("doc_id", "raw_text")).select("doc_id", "raw_text", long("para_idx"))
+
+
+def turns_without_answers(spark, sf_dir) -> DataFrame:
+    """Turns whose role is that of the turn before, once assistant turns of an odd length are gone."""
+    left = runtime.table(spark, sf_dir, "conversations").where("role <> 'assistant' OR length(text) % 2 = 0")
+    return chat.ordered(left).where("role = role_before").select("conv_id", "turn", "role")
+
+
 def first_positions(sents: DataFrame) -> DataFrame:
     """Sentences that stand more than once in a document, with the first place (one number, so that hashing aggregates)."""
     place = F.col("para_idx").cast("long") * (1 << 31) + F.col("sent_idx")
@@ -244,8 +267,8 @@ QUERIES = {
     "paragraphs_clean_collapse": lambda s, d: segment.paragraphs(docs(s, d)).select("doc_id", long("para_idx"), T.clean_for_prompt(F.col("raw_text"), False).alias("cleaned")),
     "documents_clean_preserve": lambda s, d: docs(s, d).select("doc_id", T.clean_for_prompt(F.col("text")).alias("cleaned")),
     "sentences_split": lambda s, d: segment.sentences(docs(s, d)).select("doc_id", long("para_idx"), long("sent_idx"), "raw_text"),
-    "documents_rebuilt": lambda s, d: segment.from_paragraphs(segment.with_paragraphs(docs(s, d).select("doc_id", "text"))).where("length(raw_text) > 0").select("doc_id", "raw_text"),
-    "paragraph_position_lookup": lambda s, d: segment.with_repeats(segment.paragraphs(docs(s, d))).where("times > 1").select("doc_id", "raw_text", long("para_idx")),
+    "documents_rebuilt": lambda s, d: rebuilt(docs(s, d)),
+    "paragraph_position_lookup": lambda s, d: repeats_looked_up(docs(s, d)),
     "sentence_position_lookup": lambda s, d: first_positions(segment.sentences(docs(s, d))),
     "duplicate_paragraph_positions": lambda s, d: segment.repeated(segment.paragraphs(docs(s, d))).select("doc_id", "raw_text", "n", long("first_idx"), long("last_idx")),
     "paragraph_chunks": lambda s, d: segment.chunk_sizes(docs(s, d), CHUNK).withColumn("text_chunk", F.col("text_chunk").cast("long")),
@@ -277,7 +300,7 @@ QUERIES = {
     "cost_by_model": lambda s, d: ledger.cost(_document_ledger(s, d), _prices(s)).select("model", F.col("cost_in").cast("double").alias("cost_in"), F.col("cost_out").cast("double").alias("cost_out"), F.col("cost_total").cast("double").alias("cost_total")),
     "retry_fallback_outcome": retry_outcome,
     "chat_system_first": lambda s, d: chat.session_checks(runtime.table(s, d, "conversations")).withColumn("late_system", F.col("late_system").cast("long")),
-    "chat_turn_validity": lambda s, d: chat.ordered(runtime.table(s, d, "conversations")).where("role = role_before").select("conv_id", "turn", "role"),
+    "chat_turn_validity": turns_without_answers,
     "chat_history_length": lambda s, d: chat.histories(runtime.table(s, d, "conversations")),
     "chat_unanswered": lambda s, d: chat.unanswered(runtime.table(s, d, "conversations")),
     "chat_replay": chat_replay,
@@ -289,7 +312,7 @@ QUERIES = {
     "html_to_paragraphs": lambda s, d: segment.paragraphs(html.documents(runtime.table(s, d, "pages"))).select("doc_id", long("para_idx"), "raw_text"),
     "html_links": lambda s, d: html.links(runtime.table(s, d, "pages")).withColumn("link_idx", F.col("link_idx").cast("long")),
     "html_headings_md": lambda s, d: html.headings(runtime.table(s, d, "pages")).withColumn("heading_idx", F.col("heading_idx").cast("long")),
-    "docs_unique_names": lambda s, d: quality.repeated_values(docs(s, d).select("lang", F.substring("text", 1, 12).alias("name")), "name", ["lang"]),
+    "docs_unique_names": lambda s, d: quality.repeated_values(docs(s, d).select("lang", F.col("text").alias("name")), "name", ["lang"]),
     "image_dedup": image_dedup,
     "blank_documents": lambda s, d: quality.blank(docs(s, d).select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.regexp_replace("text", r"[^\s]", "")).otherwise(F.col("text")).alias("text"))).select("doc_id"),
     "document_json_roundtrip": json_roundtrip,
@@ -319,7 +342,8 @@ def _plain(body: str) -> str:
 
 
 _PRESERVE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n|\r', chr(10), 'g'), '@CTN', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^@WS+|@WS+$', '', 'g')"
-_ITEM = "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx) - 1 AS item_idx, {value} AS value FROM paras WHERE {where}"
+_MATCHES = "(SELECT doc_id, para_idx, unnest(m) AS m, generate_subscripts(m, 1) AS k FROM (SELECT doc_id, para_idx, regexp_extract_all(raw_text, '{pattern}', {group}) AS m FROM paras) q)"
+_ITEM = "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx, k) - 1 AS item_idx, {value} AS value FROM " + _MATCHES + " q"
 _FIRST = "SELECT doc_id, 0::BIGINT AS item_idx, arg_min({value}, para_idx) AS value FROM paras WHERE {where} GROUP BY doc_id"
 _TOPIC = "CASE WHEN regexp_matches(raw_text, 'password|token') THEN 'secret' WHEN contains(raw_text, '@') THEN 'contact' ELSE 'figures' END"
 _TOPICS = "array_to_string(list_filter([CASE WHEN regexp_matches(raw_text, 'password|token') THEN 'secret' END, CASE WHEN contains(raw_text, '@') THEN 'contact' END, CASE WHEN regexp_matches(raw_text, '[0-9]') THEN 'figures' END], lambda x: x IS NOT NULL), ',')"
@@ -354,18 +378,18 @@ SQL = {
     "aspect_sentence_extract": _sql("SELECT doc_id, para_idx, sent_idx, raw_text AS value FROM sents WHERE contains(raw_text, '@')", True),
     "aspect_sentence_rollup": _sql("SELECT doc_id, count(DISTINCT para_idx) AS n_paras, count(*) AS n_sents FROM sents WHERE (doc_id, para_idx) IN (SELECT doc_id, para_idx FROM sents WHERE contains(raw_text, '@')) GROUP BY doc_id", True),
     "sub_aspect_extract": _sql("SELECT doc_id, 'aspect:Digits' AS owner, para_idx, raw_text AS value FROM paras WHERE regexp_matches(raw_text, '[0-9]') UNION ALL SELECT doc_id, 'aspect:Digits/aspect:Long digits', para_idx, raw_text FROM paras WHERE regexp_matches(raw_text, '[0-9]{6}')"),
-    "concept_string": _sql(_ITEM.format(value=f"regexp_extract(raw_text, '{_EMAIL}')", where=f"regexp_matches(raw_text, '{_EMAIL}')")),
+    "concept_string": _sql(_ITEM.format(value="m", pattern=_EMAIL, group=0)),
     "concept_boolean": _sql("SELECT DISTINCT doc_id, 0::BIGINT AS item_idx, true AS value FROM paras WHERE regexp_matches(raw_text, 'password|token')"),
-    "concept_numerical": _sql(_ITEM.format(value="CAST(regexp_extract(raw_text, '[0-9]{2,9}') AS BIGINT)", where="regexp_matches(raw_text, '[0-9]{2,9}')")),
+    "concept_numerical": _sql(_ITEM.format(value="TRY_CAST(m AS BIGINT)", pattern="[0-9]{2,}", group=0)),
     "concept_numerical_float": "SELECT o_orderkey AS doc_id, 0::BIGINT AS item_idx, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS value FROM orders",
     "concept_rating": _sql(_FIRST.format(value="CASE WHEN regexp_matches(raw_text, '(?i)licen[cs]e') THEN 5 WHEN contains(raw_text, '@') THEN 3 ELSE 1 END::BIGINT", where="regexp_matches(raw_text, '(?i)licen[cs]e|@|[0-9]')")),
     "concept_date": "SELECT o_orderkey AS doc_id, 0::BIGINT AS item_idx, CAST(o_orderdate AS DATE) AS value FROM orders",
     "concept_label_multi_class": _sql(_FIRST.format(value=_TOPIC, where="regexp_matches(raw_text, 'password|token|@|[0-9]')")),
     "concept_label_multi_label": _sql(_FIRST.format(value=_TOPICS, where="regexp_matches(raw_text, 'password|token|@|[0-9]')")),
     "concept_json_object": "SELECT o_orderkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS number, o_orderstatus AS status FROM orders",
-    "concept_from_aspect": _sql(_ITEM.format(value="regexp_extract(raw_text, '(?:password|token)[ =\"]+([A-Za-z0-9]+)', 1)", where="regexp_matches(raw_text, '(?:password|token)[ =\"]+([A-Za-z0-9]+)')")),
+    "concept_from_aspect": _sql(_ITEM.format(value="m", pattern='(?:password|token)[ ="]+([A-Za-z0-9]+)', group=1)),
     "concept_refs": _sql(f"SELECT doc_id, string_agg(para_idx::VARCHAR, ',' ORDER BY para_idx) AS paras FROM paras WHERE regexp_matches(raw_text, '{_EMAIL}') GROUP BY doc_id"),
-    "singular_first_chunk": _sql(", f AS (SELECT *, para_idx // 10 AS c, min(para_idx // 10) OVER (PARTITION BY doc_id) AS c0 FROM paras WHERE regexp_matches(raw_text, '[0-9]{2,9}')) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx) - 1 AS item_idx, CAST(regexp_extract(raw_text, '[0-9]{2,9}') AS BIGINT) AS value FROM f WHERE c = c0"),
+    "singular_first_chunk": _sql(", f AS (SELECT *, para_idx // 10 AS c, min(para_idx // 10) OVER (PARTITION BY doc_id) AS c0 FROM " + _MATCHES.format(pattern="[0-9]{2,}", group=0) + " q) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx, k) - 1 AS item_idx, TRY_CAST(m AS BIGINT) AS value FROM f WHERE c = c0"),
     "extract_all_items": _sql(
         f""", i AS (
   SELECT doc_id, 'aspect:Licence' AS owner, raw_text AS v FROM paras WHERE regexp_matches(raw_text, '(?i)licen[cs]e')
@@ -373,10 +397,10 @@ SQL = {
   UNION ALL SELECT doc_id, 'aspect:Digits', raw_text FROM paras WHERE regexp_matches(raw_text, '[0-9]')
   UNION ALL SELECT doc_id, 'aspect:Digits/aspect:Long digits', raw_text FROM paras WHERE regexp_matches(raw_text, '[0-9]{{6}}')
   UNION ALL SELECT doc_id, 'aspect:Secrets', raw_text FROM paras WHERE regexp_matches(raw_text, 'password|token')
-  UNION ALL SELECT doc_id, 'aspect:Secrets/concept:Secret value', regexp_extract(raw_text, '(?:password|token)[ ="]+([A-Za-z0-9]+)', 1) FROM paras WHERE regexp_matches(raw_text, '(?:password|token)[ ="]+[A-Za-z0-9]+')
-  UNION ALL SELECT doc_id, 'concept:Address', regexp_extract(raw_text, '{_EMAIL}') FROM paras WHERE regexp_matches(raw_text, '{_EMAIL}')
+  UNION ALL SELECT doc_id, 'aspect:Secrets/concept:Secret value', unnest(regexp_extract_all(raw_text, '(?:password|token)[ ="]+([A-Za-z0-9]+)', 1)) FROM paras
+  UNION ALL SELECT doc_id, 'concept:Address', unnest(regexp_extract_all(raw_text, '{_EMAIL}')) FROM paras
   UNION ALL SELECT DISTINCT doc_id, 'concept:Has secret', 'true' FROM (SELECT doc_id, para_idx // 10 AS c FROM paras WHERE regexp_matches(raw_text, 'password|token') GROUP BY 1, 2) q
-  UNION ALL SELECT doc_id, 'concept:Amount', CAST(CAST(regexp_extract(raw_text, '[0-9]{{2,9}}') AS BIGINT) AS VARCHAR) FROM paras WHERE regexp_matches(raw_text, '[0-9]{{2,9}}')
+  UNION ALL SELECT doc_id, 'concept:Amount', CAST(CAST(unnest(regexp_extract_all(raw_text, '[0-9]{{2,}}')) AS HUGEINT) AS VARCHAR) FROM paras
 ) SELECT owner, count(*) AS n_items, count(DISTINCT doc_id) AS n_docs, sum(length(v)) AS n_chars FROM i GROUP BY owner""".replace("SELECT DISTINCT doc_id, 'concept:Has secret'", "SELECT doc_id, 'concept:Has secret'"),
         True,
     ),
@@ -387,9 +411,14 @@ SQL = {
     "cost_by_model": f"""WITH {_LEDGER}, p(model, a, b) AS (VALUES ('acme/small', 0.4::DECIMAL(12,6), 1.6::DECIMAL(12,6)), ('acme/large', 2.5, 10)),
 c AS (SELECT model, round(CAST(sum(in_tokens) * any_value(a) AS DECIMAL(38,12)) / 1000000, 5) AS cost_in, round(CAST(sum(out_tokens) * any_value(b) AS DECIMAL(38,12)) / 1000000, 5) AS cost_out FROM t JOIN p USING (model) GROUP BY model)
 SELECT model, cost_in::DOUBLE AS cost_in, cost_out::DOUBLE AS cost_out, CAST(CAST(cost_in AS DECIMAL(20,5)) + CAST(cost_out AS DECIMAL(20,5)) AS DOUBLE) AS cost_total FROM c""",
-    "retry_fallback_outcome": "SELECT doc_id, least(doc_id % 6, 4) + 1 AS calls, greatest(least(doc_id % 6, 4) - 2, 0) AS fallback_calls, doc_id % 6 < 5 AS processed FROM documents",
+    "retry_fallback_outcome": _sql(
+        """, c AS (SELECT doc_id, para_idx // 10 AS c, ('0x' || substr(md5(raw_text), 1, 2))::INT % 6 AS n, max(para_idx // 10) OVER (PARTITION BY doc_id) + 1 AS chunks FROM paras WHERE para_idx % 10 = 0),
+m AS (SELECT doc_id, max(n) AS worst FROM c GROUP BY doc_id), t AS (SELECT doc_id, worst, unnest(range(0, least(worst, 4) + 1)) AS a FROM m),
+r AS (SELECT t.doc_id, t.worst, t.a, coalesce(min(CASE WHEN n > a THEN c + 1 END), max(chunks)) AS calls FROM t JOIN c USING (doc_id) GROUP BY 1, 2, 3)
+SELECT doc_id, sum(calls)::BIGINT AS calls, coalesce(sum(calls) FILTER (a > 2), 0)::BIGINT AS fallback_calls, any_value(worst) < 5 AS processed FROM r GROUP BY doc_id"""
+    ),
     "chat_system_first": "WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq FROM conversations) SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role = 'system') AS n_system, max(CASE WHEN role = 'system' AND seq > 0 THEN 1 ELSE 0 END)::BIGINT AS late_system FROM t GROUP BY conv_id",
-    "chat_turn_validity": "SELECT conv_id, turn, role FROM conversations QUALIFY role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn)",
+    "chat_turn_validity": "SELECT conv_id, turn, role FROM (SELECT * FROM conversations WHERE role <> 'assistant' OR length(text) % 2 = 0) QUALIFY role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn)",
     "chat_history_length": "WITH t AS (SELECT conv_id, turn, role, count(*) OVER w AS n_messages, sum(length(text)) OVER w AS n_chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) SELECT * FROM t WHERE role = 'user'",
     "chat_unanswered": "WITH t AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) SELECT conv_id, turn, text FROM t WHERE role = 'user' AND nxt IS DISTINCT FROM 'assistant'",
     "chat_replay": "WITH u AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user') SELECT DISTINCT conv_id, 0::BIGINT AS seq, 'system' AS role, 'Be brief.' AS content FROM u UNION ALL SELECT conv_id, 2 * k - 1, 'user', text FROM u UNION ALL SELECT conv_id, 2 * k, 'assistant', (2 * k)::VARCHAR || ' so far' FROM u",
@@ -403,9 +432,10 @@ SELECT model, cost_in::DOUBLE AS cost_in, cost_out::DOUBLE AS cost_out, CAST(CAS
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS link_idx, href FROM f""",
     "html_headings_md": r"""WITH h AS (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6]\b[^>]*>.*?</h[1-6]>') AS a FROM pages), e AS (SELECT page_id, unnest(a) AS h, generate_subscripts(a, 1) - 1 AS heading_idx FROM h)
 SELECT page_id, heading_idx, repeat('#', CAST(regexp_extract(h, '(?i)^<h([1-6])', 1) AS INT)) || ' ' || trim(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')) AS md FROM e""",
-    "docs_unique_names": "SELECT lang, lower(substring(text, 1, 12)) AS name, count(*) AS n FROM documents GROUP BY 1, 2 HAVING count(*) > 1",
-    "image_dedup": r"""WITH r AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS doc_id, page_id AS img_idx, page_id % 3 AS k FROM pages), f AS (SELECT doc_id, k, min(img_idx) AS img_idx FROM r GROUP BY 1, 2)
-SELECT doc_id, img_idx, CASE k WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' ELSE 'image/webp' END AS mime_type, CASE k WHEN 0 THEN base64('\xFF\xD8\xFF\xE0'::BLOB) WHEN 1 THEN base64('\x89\x50\x4E\x47\x0D\x0A\x1A\x0A'::BLOB) ELSE base64('\x52\x49\x46\x46\x00\x00\x00\x00\x57\x45\x42\x50'::BLOB) END AS base64 FROM f""",
+    "docs_unique_names": "SELECT lang, lower(text) AS name, count(*) AS n FROM documents GROUP BY 1, 2 HAVING count(*) > 1",
+    "image_dedup": r"""WITH r AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS doc_id, page_id, length(html) % 3 AS k, regexp_extract(html, '<p>([^<]*)', 1) AS body FROM pages),
+f AS (SELECT doc_id, k, body, min(page_id) AS img_idx FROM r GROUP BY 1, 2, 3)
+SELECT doc_id, img_idx, CASE k WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' ELSE 'image/webp' END AS mime_type, md5(CASE k WHEN 0 THEN '\xFF\xD8\xFF\xE0'::BLOB WHEN 1 THEN '\x89\x50\x4E\x47\x0D\x0A\x1A\x0A'::BLOB ELSE '\x52\x49\x46\x46\x00\x00\x00\x00\x57\x45\x42\x50'::BLOB END || encode(body)) AS content_md5 FROM f""",
     "blank_documents": "SELECT doc_id FROM documents WHERE doc_id % 5 = 0",
     "document_json_roundtrip": _sql("SELECT * FROM paras"),
     "prompt_length_over_context": _plain(f"SELECT doc_id, CAST(ceil(length({_PRESERVE}) / 4.0) AS BIGINT) AS tokens FROM documents WHERE ceil(length({_PRESERVE}) / 4.0) > 500"),
