@@ -17,6 +17,8 @@ __all__ = ["python_batches", "shared_dir", "spread", "table"]
 #: The white space of the contracts: ``[\x20\x09-\x0D]``.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Types whose columns order tied rows.
+SORTABLE = ("string", "bigint", "int", "smallint", "tinyint", "double", "float", "boolean", "date", "timestamp", "binary")
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
@@ -83,8 +85,7 @@ def text_or_empty(column: str = "text") -> Column:
 
 def tie_order(df: DataFrame, skip: tuple[str, ...] = ()) -> list[Column]:
     """Columns that order tied rows: all sortable ones, so that reruns agree."""
-    simple = ("string", "bigint", "int", "smallint", "tinyint", "double", "float", "boolean", "date", "timestamp", "binary")
-    return [F.col(f"`{c}`") for c, kind in df.dtypes if c not in skip and kind in simple]
+    return [F.col(f"`{c}`") for c, kind in df.dtypes if c not in skip and kind in SORTABLE]
 
 
 def release() -> None:

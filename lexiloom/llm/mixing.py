@@ -12,23 +12,27 @@ document's training position, and the mix is range-sorted by position.
 
 The stream of a source is its documents in keyed hash order, read round and
 round until the target is met: whole passes first, then a last pass that ends
-inside one document. Prefix sums are taken in two levels (hash buckets, then
-inside a bucket) so that a source with a third of all rows spreads over many
-tasks.
+inside one document. The hash is keyed by doc_id and text, so rows that share a
+doc_id, or have none, spread like others. Prefix sums are taken in two levels (hash
+buckets, then inside a bucket, both about the square root of the rows) so that a
+source with a third of all rows spreads over many tasks. Texts are read once: what
+the sums need of them is written to the shared folder.
 
 Defined results: null text has size 0 and takes 0 words; a null source is a
 source of its own, last in order; a null doc_id is hashed as an empty string;
-repeated rows are separate rows, tied ones ordered by their size (rows that
-are equal in all of this are interchangeable); an empty table gives no rows;
-columns besides doc_id, text and source are ignored.
+repeated rows are separate rows, which share doc_id, text and size, and are
+interchangeable but for other columns, by which ``mixed`` orders them; an empty
+table gives no rows; columns besides doc_id, text and source are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import WORD, table
+from lexiloom.llm.common import SORTABLE, WORD, materialize, table
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -37,7 +41,7 @@ RAMPS = (0.5, -0.5, 0.0)
 BUDGET = 1.5
 CAP = 2
 SEED = "mix-1"
-#: Rows that one (source, bucket) window is meant to hold.
+#: Rows that one (source, bucket) window is meant to hold at least.
 ROWS_PER_BUCKET = 500
 DIGITS = 9
 
@@ -89,24 +93,31 @@ def position(offset: Column, target: Column, ramp: Column) -> Column:
 
 
 def buckets_for(rows: int, per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Hash buckets per source, in proportion to the table's rows (65 536 at most)."""
-    return max(1, min(65536, -(-rows // per_bucket)))
+    """Hash buckets per source: of ``per_bucket`` rows, or of the square root of a larger table's rows."""
+    return max(1, -(-rows // max(per_bucket, math.isqrt(rows))))
 
 
 def placed(docs: DataFrame, *, weights=WEIGHTS, ramps=RAMPS, budget: float = BUDGET, cap: int = CAP, seed: str = SEED, carry: bool = False) -> DataFrame:
-    """Per row: doc_id, size, source_size, target, ramp, taken, __at (words before it), __turns; with ``carry`` __row, all its columns."""
+    """Per row: doc_id, size, source_size, target, ramp, taken, __at (words before it), __turns; with ``carry`` __row, all its columns.
+
+    Without ``carry`` what is needed of the rows is written first; with it, whole rows would be, so they are read again instead.
+    """
     n_buckets = buckets_for(docs.count())
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sized = docs.select(
-        F.col("doc_id"), F.col("source").cast("string").alias("__source"), words_of(F.col("text").cast("string")).alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("__key"),
+        F.col("doc_id"), F.col("source").cast("string").alias("__source"), words_of(text).alias("size"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text))).alias("__key"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")] if carry else []),
-    ).withColumn("__bucket", F.floor(F.conv(F.substring("__key", 1, 4), 16, 10).cast("long") * n_buckets / 65536))
+    ).withColumn("__bucket", F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * n_buckets / (1 << 32)))
+    if not carry:
+        sized = materialize(sized, "sizes")
+    ties = [F.col(f"__row.`{c.name}`") for c in docs.schema.fields if c.dataType.simpleString() in SORTABLE and c.name != "text"] if carry else []
     cells = sized.groupBy("__source", "__bucket").agg(F.sum("size").alias("__cell"))
     targets = source_targets(cells.groupBy("__source").agg(F.sum("__cell").alias("source_size")), weights, ramps, budget, cap)
     ahead = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn("__start", F.coalesce(F.sum("__cell").over(ahead), F.lit(0))).drop("__cell")
     same = starts.alias("c").join(targets.alias("t"), F.expr("c.__source <=> t.__source")).select("c.*", "t.source_size", "t.target", "t.ramp")
-    inside = Window.partitionBy("__source", "__bucket").orderBy("__key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__source", "__bucket").orderBy("__key", *ties).rowsBetween(Window.unboundedPreceding, -1)
     found = (
         sized.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .alias("d")
@@ -151,7 +162,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     Rows are whole: the one row a source at most that a last pass ends in is not cut.
     """
     turns = placed(docs, carry=True, **how).where("taken > 0").withColumn("__turn", F.explode(F.expr("sequence(0L, __turns - 1)")))
-    rows = turns.select(turn_position(F.col("__turn")).alias("__position"), "doc_id", "__row").orderBy("__position", "doc_id")
+    rows = turns.select(turn_position(F.col("__turn")).alias("__position"), "doc_id", "__at", "__row").orderBy("__position", "doc_id", "__at")
     return rows.select([F.col("__row").getField(c).alias(c) for c in docs.columns])
 
 
@@ -162,7 +173,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 #: DuckDB: the same mix, with each source's prefix sum in one window.
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT doc_id, source, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM s
