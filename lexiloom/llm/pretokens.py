@@ -79,21 +79,28 @@ def split(text: str, path: str) -> list[str]:
     return out
 
 
+#: Characters of the pre-tokens or words that a table holds at most between batches.
+MOST_CHARS = 16_000_000
+
+
 class PretokenTable:
-    """Numbers distinct pre-tokens; emptied once it holds ``most`` of them, so memory is bounded."""
+    """Numbers distinct pre-tokens; emptied once it holds ``most`` of them or ``MOST_CHARS`` characters, so memory is bounded."""
 
     def __init__(self, most: int = 600_000):
-        self.most, self.index = most, defaultdict()
+        self.most, self.held, self.index = most, 0, defaultdict()
         self.index.default_factory = self.index.__len__
 
     def number(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str], bool]:
         """All pre-tokens' numbers, how many each text has, the new ones in order, and whether numbering began anew."""
-        if len(self.index) > self.most:
+        if len(self.index) > self.most or self.held > MOST_CHARS:
             self.index.clear()
+            self.held = 0
         before = len(self.index)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
-        return flat, lengths, list(islice(self.index, before, None)), before == 0
+        new = list(islice(self.index, before, None))
+        self.held += sum(map(len, new))
+        return flat, lengths, new, before == 0
 
 
 # ---- the same over whole batches, without a Python object for each pre-token
@@ -193,19 +200,19 @@ _SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
 class BatchTable:
-    """Numbers the distinct pieces that texts are cut into, by a 128-bit hash; emptied once it holds ``most``.
+    """Numbers the distinct pieces that texts are cut into, by a 128-bit hash; emptied once it holds ``most`` or ``MOST_CHARS`` characters.
 
     ``cut`` says where pieces begin: (texts, code points, text sizes, text ends) -> booleans.
     """
 
     def __init__(self, cut, most: int):
-        self.cut, self.most, self.slots = cut, most, Slots()
+        self.cut, self.most, self.held, self.slots = cut, most, 0, Slots()
 
     def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], bool]:
         """As ``PretokenTable.number``, from the texts themselves."""
         anew = self.slots.n == 0
-        if self.slots.n > self.most:
-            self.slots, anew = Slots(), True
+        if self.slots.n > self.most or self.held > MOST_CHARS:
+            self.slots, self.held, anew = Slots(), 0, True
         whole = "".join(texts)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         if not len(whole):
@@ -225,6 +232,7 @@ class BatchTable:
             self.slots.add(key[one], check[one])
             number[miss] = begin + back
             new = [whole[a : a + n] for a, n in zip(at[one].tolist(), length[one].tolist())]
+            self.held += int(length[one].sum())
         return number, np.diff(np.concatenate([[0], np.searchsorted(at, ends)])), new, anew
 
     @staticmethod

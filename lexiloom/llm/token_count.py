@@ -3,8 +3,10 @@
 The distinct pre-tokens of a batch are held as one ragged numpy array of
 symbol ids (initially bytes). In each round every sequence finds the lowest rank
 among its adjacent pairs and applies that pair at all its places from left to
-right, all sequences at once; sequences without a mergeable pair are done. What
-is counted are the symbols that survive. The ranks come from the merges of the
+right, all sequences at once; sequences without a mergeable pair are done. A very
+long pre-token is merged rank by rank in the same way, with its places queued by
+rank, so that time does not grow with the square of its length. What is counted
+are the symbols that survive. The ranks come from the merges of the
 vocabulary file; the tokenizer library itself is not asked.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); special strings
@@ -14,6 +16,7 @@ gives no rows; columns besides doc_id and text are ignored.
 
 from __future__ import annotations
 
+import heapq
 import json
 from functools import lru_cache
 
@@ -27,6 +30,8 @@ from lexiloom.llm.pretokens import PretokenTable, specials, split
 LIMIT = 512
 #: Symbols that one round of merging holds.
 SYMBOLS_AT_ONCE = 1_000_000
+#: Pre-tokens of more bytes are merged one by one, through a queue of ranks.
+LONG = 2048
 
 
 def _byte_letters() -> dict[str, int]:
@@ -79,48 +84,107 @@ def _leftmost(hit: np.ndarray, same: np.ndarray) -> np.ndarray:
 
 
 def merge_batch(data: np.ndarray, lengths: np.ndarray, table: Merges) -> np.ndarray:
-    """Surviving symbols of each sequence; ``data`` holds the sequences' bytes one after another."""
-    counts = lengths.astype(np.int64).copy()
-    active = np.flatnonzero(lengths > 1)
+    """Surviving symbols of each sequence; ``data`` holds the sequences' bytes one after another.
+
+    Ranks are looked up once at first and then only beside the pairs just merged.
+    """
+    counts = lengths.astype(np.int64)
     keep = np.repeat(lengths > 1, lengths)
-    sym, length = data[keep].astype(np.int64), lengths[active].astype(np.int64)
-    first = True
-    while len(active):
-        starts = np.concatenate([[0], np.cumsum(length)[:-1]])
-        seq = np.repeat(np.arange(len(length)), length)
-        rank = np.full(len(sym), table.none, np.int64)
-        inner = np.ones(len(sym), bool)
-        inner[starts + length - 1] = False  # no pair begins at a sequence's last symbol
-        at = np.flatnonzero(inner)
-        rank[at] = table.bytes_rank[sym[at] * 256 + sym[at + 1]] if first else table.ranks(sym[at], sym[at + 1])
-        first = False
+    seq, sym = np.repeat(np.arange(len(lengths)), lengths)[keep], data[keep].astype(np.int64)
+    rank = np.full(len(sym), table.none, np.int64)
+    at = np.flatnonzero(seq[1:] == seq[:-1])
+    rank[at] = table.bytes_rank[sym[at] * 256 + sym[at + 1]]
+    while len(sym):
+        same = np.concatenate([[False], seq[1:] == seq[:-1]])
+        starts = np.flatnonzero(~same)
         best = np.minimum.reduceat(rank, starts)
-        hit = (rank == best[seq]) & (rank < table.none)
-        hit = _leftmost(hit, np.concatenate([[False], seq[1:] == seq[:-1]]))
-        gone = np.concatenate([[False], hit[:-1]])
-        sym[hit] = table.made[rank[hit]]
-        counts[active] -= np.add.reduceat(gone, starts)
-        going = (best < table.none) & (counts[active] > 1)
-        stay = ~gone & going[seq]
-        sym, active = sym[stay], active[going]
-        length = counts[active]
+        going = np.repeat(best < table.none, np.diff(np.append(starts, len(sym))))
+        hit = _leftmost((rank == np.repeat(best, np.diff(np.append(starts, len(sym))))) & going, same)
+        at = np.flatnonzero(hit)
+        owner, n = np.unique(seq[at], return_counts=True)
+        counts[owner] -= n
+        sym[at] = table.made[rank[at]]
+        going[at + 1] = False
+        at = (np.cumsum(going) - 1)[at]
+        sym, seq, rank = sym[going], seq[going], rank[going]
+        for pair in (at, at[at > 0] - 1):
+            inner = (pair + 1 < len(sym)) & (seq[np.minimum(pair + 1, len(sym) - 1)] == seq[pair])
+            rank[pair[~inner]] = table.none
+            pair = pair[inner]
+            rank[pair] = table.ranks(sym[pair], sym[pair + 1])
     return counts
 
 
+def merge_long(data: np.ndarray, table: Merges) -> int:
+    """Surviving symbols of one long sequence: the places of each rank wait in a queue, the lowest rank's are merged together.
+
+    Symbols are linked to their neighbours, so a round costs what it merges and not the sequence's length.
+    """
+    n = len(data)
+    sym, after, before = data.astype(np.int64), np.arange(1, n + 1), np.arange(-1, n - 1)
+    rank = np.full(n + 1, table.none, np.int64)  # the last entry stands for no place
+    waiting: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def queue(places: np.ndarray) -> None:
+        order = np.argsort(rank[places], kind="stable")
+        places = places[order]
+        values = rank[places]
+        cuts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            r = int(values[a])
+            if r < table.none:
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(places[a:b])
+
+    at = np.arange(n - 1)
+    rank[at] = table.bytes_rank[sym[at] * 256 + sym[at + 1]]
+    queue(at)
+    left = n
+    while ranks:
+        r = heapq.heappop(ranks)
+        at = np.unique(np.concatenate(waiting.pop(r)))
+        at = at[rank[at] == r]
+        if not len(at):
+            continue
+        at = at[_leftmost(np.ones(len(at), bool), np.concatenate([[False], after[at[:-1]] == at[1:]]))]
+        gone = after[at]
+        sym[at] = table.made[r]
+        rank[gone] = table.none
+        after[at] = after[gone]
+        inner = after[at] < n
+        before[after[at][inner]] = at[inner]
+        left -= len(at)
+        rank[at] = table.none
+        rank[at[inner]] = table.ranks(sym[at[inner]], sym[after[at[inner]]])
+        ahead = before[at]
+        ahead = ahead[ahead >= 0]
+        rank[ahead] = table.ranks(sym[ahead], sym[after[ahead]])
+        queue(np.concatenate([at, ahead]))
+    return left
+
+
 def count_pretokens(words: list[str], path: str) -> np.ndarray:
     """Tokens of each pre-token; special strings are one."""
     raw = [w.encode("utf-8") for w in words]
     lengths = np.fromiter(map(len, raw), np.int64, len(raw))
-    out = np.empty(len(raw), np.int64)
-    ends = np.cumsum(lengths)
+    out = np.ones(len(raw), np.int64)
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        out[i] = merge_long(np.frombuffer(raw[i], np.uint8), merges(path))
+    short = np.flatnonzero(lengths <= LONG)
+    ends = np.cumsum(lengths[short])
     begin = 0
-    while begin < len(raw):
+    while begin < len(short):
         base = ends[begin - 1] if begin else 0
         end = max(begin + 1, int(np.searchsorted(ends, base + SYMBOLS_AT_ONCE, "right")))
-        out[begin:end] = merge_batch(np.frombuffer(b"".join(raw[begin:end]), np.uint8), lengths[begin:end], merges(path))
+        part = short[begin:end]
+        out[part] = merge_batch(np.frombuffer(b"".join(map(raw.__getitem__, part.tolist())), np.uint8), lengths[part], merges(path))
         begin = end
+    held = specials(path)
     for i, w in enumerate(words):
-        if w in specials(path):
+        if w in held:
             out[i] = 1
     return out
 
