@@ -18,13 +18,14 @@ an empty table gives no rows; columns besides doc_id and text are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import map_batches, materialize, python_batches, release, shared_dir, shuffle_width, table
@@ -36,8 +37,8 @@ END_ID = 2
 MOST_PRETOKENS = 1_000_000
 ROW_INDEX = 1000
 STRIPE_BYTES = 8 << 20
-#: A file holds no fewer documents than this; else there are as many files as shuffle partitions.
-ROWS_PER_FILE = 2_000
+#: A file is meant to hold no fewer documents and no more of the input than this.
+ROWS_PER_FILE, BYTES_PER_FILE = 2_000, 256 << 20
 #: Rows of a file whose starts are summed in one window.
 ROWS_PER_CELL = 1_000
 
@@ -76,6 +77,21 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def file_count(rows: int, input_bytes: int, width: int) -> int:
+    """As many files as shuffle partitions, more over ``BYTES_PER_FILE`` of input; fewer where they would hold under ``ROWS_PER_FILE`` rows."""
+    return max(1, min(-(-rows // ROWS_PER_FILE), max(width, -(-input_bytes // BYTES_PER_FILE))))
+
+
+def range_of(column: str, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are not above the column (null: 0), by binary search in a literal array."""
+    if not bounds:
+        return F.lit(0)
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    held = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")  # a constant to the optimizer
+    found = lambda at, step: F.when(F.coalesce(F.get(held, at + step - 1) <= F.col(column), F.lit(False)), at + step).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), found)
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """(doc_id, text), range-partitioned by quantiles of doc_id and sorted by (doc_id, text).
 
@@ -84,13 +100,10 @@ def in_order(docs: DataFrame) -> DataFrame:
     """
     rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
     n = rows.count()
-    files = max(1, min(shuffle_width(docs), -(-n // ROWS_PER_FILE)))
-    bounds = rows.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 100 * files)).first()[0] if files > 1 else None
+    files = file_count(n, int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), shuffle_width(docs))
+    bounds = rows.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], min(100 * files, 1_000_000))).first()[0] if files > 1 else None
     bounds = sorted(set(bounds or []))
-    held = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    # binary search in a literal array: how many bounds are not above the id
-    at = F.expr("array_size(filter(__bounds, b -> b <= doc_id))") if bounds else F.lit(0)
-    placed = rows.withColumn("__bounds", held).withColumn("__part", F.coalesce(at, F.lit(0)).cast("int")).drop("__bounds")
+    placed = rows.withColumn("__part", range_of("doc_id", bounds))
     return placed.repartitionById(len(bounds) + 1, F.col("__part")).drop("__part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
 
@@ -113,14 +126,14 @@ def encode(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame
     return docs.mapInArrow(run, "doc_id long, row long, ids array<int>")
 
 
-def write_orc(encoded: DataFrame, path: str) -> None:
-    """Write (doc_id, row, ids), one file per partition."""
+def write_orc(encoded: DataFrame, path: str, stripe_bytes: int = STRIPE_BYTES) -> None:
+    """Write (doc_id, row, ids), one file per partition, in stripes of about ``stripe_bytes``."""
     (
         encoded.write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", str(ROW_INDEX))
-        .option("orc.stripe.size", str(STRIPE_BYTES))
+        .option("orc.stripe.size", str(stripe_bytes))
         .option("orc.write.format", "0.12")
         .option("orc.compress", "SNAPPY")
         .orc(path)
