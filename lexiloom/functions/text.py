@@ -63,6 +63,16 @@ def sentences(paragraph: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(paragraph, F.lit(SENTENCE), 0), strip), lambda s: ~is_blank(s))
 
 
+#: Where a sentence of any script ends: after a mark with its closing quotes or brackets, behind which white space, an East
+#: Asian mark or nothing follows; not after a single capital or a common abbreviation, nor before a small letter.
+_BREAK = r"(?<=[.!?\u2026][\"'\u201d\u2019)\]]?)(?<!(?:^|[\s(])(?:[A-Z]|Mr|Mrs|Ms|Dr|Prof|St|No|vs|etc|e\.g|i\.e|cf|approx|bzw|usw|z\.B|d\.h|Nr|p\.ej|Sr|Sra|M|Mme)\.)\s+(?!\p{Ll})|(?<=[\u3002\uff01\uff1f\uff0e][\u201d\u2019\u300d\u300f]?)"
+
+
+def sentences_by_marks(paragraph: Column) -> Column:
+    """Another rule for sentences, for any script: common abbreviations, initials and East Asian marks are known."""
+    return F.filter(F.transform(F.split(paragraph, _BREAK), strip), lambda s: ~is_blank(s))
+
+
 def without_thinking(text: Column) -> Column:
     """A reply without its leading <think> block; null when nothing else is left."""
     out = strip(F.regexp_replace(text, r"^\s*<think>[\s\S]*?</think>", ""))

@@ -101,7 +101,7 @@ def extract(
     runtime.prepare(docs.sparkSession)
     paras = F.coalesce(T.paragraphs(F.col(text)), F.array().cast("array<string>"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), paras.alias("paras"), *(["images"] if "images" in docs.columns else []))
-    sents = F.transform("paras", split) if pipeline.needs_sentences else F.array().cast("array<array<string>>")
+    sents = (split.of_array(F.col("paras")) if hasattr(split, "of_array") else F.transform("paras", split)) if pipeline.needs_sentences else F.array().cast("array<array<string>>")
     rows = rows.withColumn("sents", sents)
     schema = to_arrow_schema(StructType.fromDDL(RESULT))
     tasks = max(1, docs.sparkSession.sparkContext.defaultParallelism)

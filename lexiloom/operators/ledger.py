@@ -2,22 +2,51 @@
 
 from __future__ import annotations
 
+import json
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.plans.specs import Model, Pricing, need
+
 KEYS = ("model", "llm_role", "is_fallback")
 
 
-def prices(spark, models) -> DataFrame:
+def price_table(path: str) -> dict[str, Pricing]:
+    """Prices from a JSON file in the widely used form {model: {"input_cost_per_token": x, "output_cost_per_token": y}}; models without both are left out."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f, parse_float=Decimal)
+    per = lambda v: Decimal(str(v)) * 1_000_000
+    return {m: Pricing(per(v["input_cost_per_token"]), per(v["output_cost_per_token"])) for m, v in held.items() if isinstance(v, dict) and v.get("input_cost_per_token") is not None and v.get("output_cost_per_token") is not None}
+
+
+def priced(model: Model, table: dict[str, Pricing] | None = None) -> Pricing | None:
+    """A model's own pricing, or with ``auto_pricing`` the table's, under its whole name or the one behind the provider's."""
+    if not model.auto_pricing:
+        return model.pricing
+    need(table is not None, "auto_pricing needs a price table")
+    found = table.get(model.model) or table.get(model.model.partition("/")[2])
+    need(found, f"the price table has no {model.model}")
+    return found
+
+
+def prices(spark, models, table: dict[str, Pricing] | None = None) -> DataFrame:
     """(model, llm_role, is_fallback, price_in, price_out) of models and their fallbacks; null where none is set."""
     rows = []
     for m in models:
         for x in (m, m.fallback):
             if x is not None:
-                rows.append((x.model, x.role, x.is_fallback, x.pricing and x.pricing.input, x.pricing and x.pricing.output))
+                price = priced(x, table)
+                rows.append((x.model, x.role, x.is_fallback, price and price.input, price and price.output))
     return spark.createDataFrame(rows, "model string, llm_role string, is_fallback boolean, price_in decimal(18,6), price_out decimal(18,6)")
 
 
+def reset(ledger: DataFrame, role: str | None = None) -> DataFrame:
+    """The ledger without the calls of a role, or of any: usage and cost of these begin anew."""
+    return ledger.where(F.lit(False) if role is None else F.col("llm_role") != role)
+
+
 def usage(ledger: DataFrame, priced: DataFrame | None = None) -> DataFrame:
     """Per model, role and fallback: calls, and tokens of those with a price (all tokens without a price table)."""
     if priced is None:

@@ -115,3 +115,25 @@ def passages_in(docs: DataFrame, passages: DataFrame, text: str = "text") -> Dat
     for more in found[1:]:
         out = out.unionByName(more)
     return out
+
+
+def benchmark(items: DataFrame, targets: DataFrame, replies: DataFrame | None = None, by: tuple[str, ...] = ("category",)) -> DataFrame:
+    """From extracted items to scores: per group must_have, must_not_have, rating_percent and overall.
+
+    ``targets``: (doc_id, owner, wanted, *by) says which owners should have items in which documents; ``replies``: (doc_id, owner,
+    reply) of a judge, for wanted targets that were found (none: presence only).
+    """
+    found = items.select("doc_id", "owner").distinct().withColumn("__found", F.lit(True))
+    met = targets.join(found, ["doc_id", "owner"], "left").withColumn("__found", F.coalesce("__found", F.lit(False)))
+    scores = presence(met, F.col("__found"), F.col("wanted"), list(by))
+    if replies is None:
+        return overall(scores, [["must_have", "must_not_have"]])
+    rated = judged(met.where("wanted AND __found").join(replies, ["doc_id", "owner"], "left"))
+    both = scores.join(ratings_percent(rated, "rating", list(by)), list(by), "left").na.fill(0.0, ["rating_percent"])
+    return overall(both, [["must_have", "must_not_have"], ["rating_percent"]])
+
+
+def read_targets(spark, path: str) -> DataFrame:
+    """(doc_id, text, owner, category, wanted) from JSON files of a benchmark: {"doc_id", "text", "targets": [{"owner", "category", "wanted"}]}."""
+    rows = spark.read.schema("doc_id long, text string, targets array<struct<owner:string,category:string,wanted:boolean>>").option("multiLine", True).json(path)
+    return rows.select("doc_id", "text", F.explode("targets").alias("t")).select("doc_id", "text", "t.*")

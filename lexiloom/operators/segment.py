@@ -24,10 +24,46 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     return unrolled(docs, ["doc_id"], T.paragraphs(F.col(text)), "para_idx", "raw_text")
 
 
-def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, para_idx, sent_idx, raw_text)."""
+def sentences(docs: DataFrame, text: str = "text", split=T.sentences) -> DataFrame:
+    """(doc_id, para_idx, sent_idx, raw_text). ``split``: a paragraph's Column to an array of sentences."""
     paras = paragraphs(docs, text).withColumnRenamed("raw_text", "para")
-    return unrolled(paras, ["doc_id", "para_idx"], T.sentences(F.col("para")), "sent_idx", "raw_text")
+    return unrolled(paras, ["doc_id", "para_idx"], split(F.col("para")), "sent_idx", "raw_text")
+
+
+def trained_splitter(make):
+    """A ``split`` from a trained segmenter: ``make()``, called once a worker, gives ``texts -> a list of sentences each``.
+
+    For models in a local folder let ``make`` load them. Sentences are stripped, blank ones go; a sentence that is not in its
+    paragraph is an error, as references would point nowhere.
+    """
+    held: dict = {}
+
+    def cut(paras: list) -> list:
+        if "model" not in held:
+            held["model"] = make()
+        out = []
+        for para, found in zip(paras, held["model"]([p or "" for p in paras])):
+            out.append([s.strip() for s in found if s.strip()])
+            if any(s not in (para or "") for s in out[-1]):
+                raise ValueError("the segmenter gave a sentence that its paragraph does not hold")
+        return out
+
+    def one(paras):
+        return type(paras)(cut(list(paras)))
+
+    def many(rows):
+        import pandas as pd
+
+        flat = cut([p for row in rows for p in row])
+        ends = pd.Series([len(row) for row in rows], dtype="int64").cumsum().tolist()
+        return pd.Series([flat[e - len(row) : e] for e, row in zip(ends, rows)])
+
+    def split(paragraph: Column) -> Column:
+        return F.pandas_udf(one, "array<string>")(paragraph)
+
+    #: The same for an array of paragraphs, as Python functions cannot stand within ``transform``.
+    split.of_array = lambda paras: F.pandas_udf(many, "array<array<string>>")(paras)
+    return split
 
 
 def rebuilt(paras: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from importlib import import_module
 
 from lexiloom.functions.envelope import clean
 from lexiloom.functions.structure import prompt_text
+from lexiloom.plans import templates
 
 PAIRS = {")": "(", "]": "[", "}": "{"}
 
@@ -47,14 +48,10 @@ def lint(template: str) -> list[str]:
 
 
 def fill(template: str, values: dict) -> str:
-    """Replace ``{{ name }}``; a template without such tags, or with unknown ones, is an error."""
+    """A template with its values, loops and conditions worked out; one without tags, or with unknown names, is an error."""
     if not has_tags(template):
         raise ValueError("the template has nothing to fill in")
-
-    def one(m):
-        return str(values[m[1]])
-
-    return re.sub(r"\{\{\s*(\w+)\s*\}\}", one, template)
+    return templates.render(template, values)
 
 
 def system_message(language: str) -> str:
@@ -141,6 +138,20 @@ def user_message(prompt: str, images=()) -> dict:
 
 
 def renderer(path: str):
-    """A renderer named 'module:function', to be used instead of ``render``."""
+    """What is used instead of ``render``: a function named 'module:function', or a template's text (it has tags).
+
+    A template's values are kind, specs, params, paragraphs (number, text, sentences; blank ones left out), numbered, whole
+    (or none), and shape, the form of the answer.
+    """
+    if has_tags(path):
+        templates.parse(path)  # mistakes show at once
+
+        def own(kind, specs, params, paras, sents, numbered, whole=None):
+            rows = [{"number": i, "text": text, "sentences": [{"number": j, "text": c} for j, s in enumerate(sents[i] if i < len(sents) else []) if (c := clean(s, False))]} for i, p in enumerate(paras) if (text := clean(p, False))]
+            letter = "A" if kind == "aspect" else "C"
+            lines = [{"id": f"{letter}{i}", "line": _spec_line(letter, i, s), "name": s.name, "description": s.description} for i, s in enumerate(specs)]
+            return fill(path, {"kind": kind, "specs": lines, "params": params, "paragraphs": rows, "numbered": numbered, "whole": None if whole is None else clean(whole), "shape": _shape(kind, params)})
+
+        return own
     module, _, name = path.partition(":")
     return getattr(import_module(module), name)

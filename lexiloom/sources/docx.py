@@ -429,15 +429,24 @@ def converted(files: DataFrame, options: Options | None = None) -> DataFrame:
 
 
 def images(spark, path: str) -> DataFrame:
-    """(path, img_idx, mime_type, base64) of the distinct pictures of each file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
-    runtime.prepare(spark)
-    ddl = "path string, img_idx int, mime_type string, base64 string"
+    """(path, img_idx, mime_type, base64, error) of the distinct pictures of each file; a file that cannot be read is one row with its error."""
+    return pictures(spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path))
+
+
+def pictures(files: DataFrame) -> DataFrame:
+    """``images`` of a table (path, content)."""
+    runtime.prepare(files.sparkSession)
+    ddl = "path string, img_idx int, mime_type string, base64 string, error string"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def work(batches):
         for batch in batches:
-            out = [{"path": r["path"], "img_idx": i, "mime_type": m, "base64": d} for r in batch.to_pylist() for i, (m, d) in enumerate(Package.open(r["content"]).images())]
+            out = []
+            for r in batch.to_pylist():
+                try:
+                    out += [{"path": r["path"], "img_idx": i, "mime_type": m, "base64": d} for i, (m, d) in enumerate(Package.open(r["content"]).images())]
+                except DocxError as e:
+                    out.append({"path": r["path"], "error": f"{type(e).__name__}: {e}"})
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 

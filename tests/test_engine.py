@@ -469,3 +469,89 @@ def test_streams_equal_batch(spark, tmp_path):
     query.awaitTermination()
     assert {r["conv_id"]: r["n_turns"] for r in spark.table("talked").collect()} == {r["conv_id"]: r["count"] for r in talk.groupBy("conv_id").count().collect()}
     assert streams.sessions(source, "ts", "user_id").count() > 0 and streams.sliding(source, "ts", "event_type").count() > 0
+
+
+def test_a_bad_file_does_not_end_the_pictures(spark, tmp_path):
+    (tmp_path / "good.docx").write_bytes(docx_bytes(BODY))
+    (tmp_path / "bad.docx").write_bytes(b"nope")
+    got = docx.images(spark, str(tmp_path)).collect()
+    assert sorted((r["error"] is None, r["mime_type"]) for r in got) == [(False, None), (True, "image/jpeg")]
+
+
+def test_prices_from_a_table(spark, tmp_path):
+    at = tmp_path / "prices.json"
+    at.write_text('{"acme/one": {"input_cost_per_token": 4e-07, "output_cost_per_token": 1.6e-06}, "two": {"input_cost_per_token": 1e-06, "output_cost_per_token": 2e-06}, "sample_spec": "x", "half": {"input_cost_per_token": 1}}')
+    table = ledger.price_table(str(at))
+    assert ledger.priced(S.Model("acme/one", auto_pricing=True), table) == S.Pricing("0.4", "1.6")
+    assert ledger.priced(S.Model("other/two", auto_pricing=True), table) == S.Pricing(1, 2) and ledger.priced(S.Model("acme/one"), table) is None
+    for model, held in ((S.Model("acme/none", auto_pricing=True), table), (S.Model("acme/one", auto_pricing=True), None)):
+        with pytest.raises(S.SpecError):
+            ledger.priced(model, held)
+    rows = spark.createDataFrame([("acme/one", "extractor_text", False, 1000, 10), ("acme/x", "reasoner_text", False, 5, 5)], "model string, llm_role string, is_fallback boolean, in_tokens long, out_tokens long")
+    cost = ledger.cost(rows, ledger.prices(spark, [S.Model("acme/one", auto_pricing=True)], table)).first()
+    assert cost["cost_in"] == Decimal("0.0004") and cost["cost_out"] == Decimal("0.00002")
+    assert ledger.reset(rows).count() == 0 and [r["model"] for r in ledger.reset(rows, "extractor_text").collect()] == ["acme/x"]
+
+
+def test_sentence_splitters(spark):
+    from lexiloom.functions import text as T
+
+    para = 'Dr. Smith met J. Doe at 3.15 p.m. on Monday. "Really?" he said! 今日は晴れ。明日は雨！ Ende'
+    docs = spark.createDataFrame([(1, para), (2, None)], "doc_id long, text string")
+    got = [r["raw_text"] for r in segment.sentences(docs, split=T.sentences_by_marks).orderBy("sent_idx").collect()]
+    assert got == ["Dr. Smith met J. Doe at 3.15 p.m. on Monday.", '"Really?" he said!', "今日は晴れ。", "明日は雨！", "Ende"]
+
+    def make():
+        return lambda texts: [[t[:5], t[5:]] for t in texts]
+
+    rows = segment.sentences(docs.where("doc_id = 1"), split=segment.trained_splitter(make)).orderBy("sent_idx").collect()
+    assert [r["raw_text"] for r in rows] == [para[:5].strip(), para[5:].strip()]
+    own = extract.extract(docs, S.Pipeline((S.Aspect("A", "a", rule="mith", reference_depth="sentences"),)), [S.Model("r/x")], {"extractor_text": backends.RuleBackend()}, split=segment.trained_splitter(make))
+    assert [r["v_str"] for r in own.items.collect()] == [para[5:].strip()]
+
+
+def test_benchmark_from_items_to_score(spark, tmp_path):
+    items = spark.createDataFrame([(1, "aspect:A"), (1, "aspect:A"), (1, "aspect:C"), (2, "aspect:A")], "doc_id long, owner string")
+    at = tmp_path / "bench.json"
+    at.write_text(json.dumps([{"doc_id": 1, "text": "t", "targets": [{"owner": "aspect:A", "category": "simple", "wanted": True}, {"owner": "aspect:B", "category": "simple", "wanted": True}, {"owner": "aspect:C", "category": "simple", "wanted": False}, {"owner": "aspect:D", "category": "simple", "wanted": False}]}, {"doc_id": 2, "text": "u", "targets": [{"owner": "aspect:A", "category": "hard", "wanted": True}]}]))
+    targets = score.read_targets(spark, str(at))
+    assert targets.count() == 5
+    replies = spark.createDataFrame([(1, "aspect:A", '{"rating": 4, "justification": "x"}'), (2, "aspect:A", "broken")], "doc_id long, owner string, reply string")
+    got = {r["category"]: (r["must_have"], r["must_not_have"], r["rating_percent"], r["overall"]) for r in score.benchmark(items, targets, replies).collect()}
+    assert got == {"simple": (50.0, 50.0, 80.0, 65.0), "hard": (100.0, 0.0, 0.0, 25.0)}
+    assert {r["category"]: r["overall"] for r in score.benchmark(items, targets).collect()} == {"simple": 50.0, "hard": 50.0}
+
+
+def test_logger(monkeypatch):
+    from lexiloom.operators import logs
+
+    out = io.StringIO()
+    log = logs.logger("lexiloom.test", "trace", out)
+    log.trace("t %s", 1), log.success("s"), log.debug("d")
+    assert [x.split("|")[1].strip() for x in out.getvalue().splitlines()] == ["TRACE", "SUCCESS", "DEBUG"]
+    monkeypatch.setenv("LEXILOOM_LOG_LEVEL", "warning")
+    log = logs.logger("lexiloom.test")
+    log.success("no"), log.warning("w")
+    assert out.getvalue().count("\n") == 4 and len(log.handlers) == 1
+    assert logs.logger("lexiloom.test", "off").disabled
+    with pytest.raises(ValueError):
+        logs.logger("lexiloom.test", "loud")
+
+
+def test_templates():
+    from lexiloom.plans import prompts, templates
+
+    text = "{# remark #}\n{% for s in specs %}\n{{ loop.index }}. {{ s.name }}{% if not loop.last %};{% endif %}\n{% endfor %}\n{% if kind == 'aspect' and numbered %}A{% elif whole %}B{% else %}C{% endif %} {{ rows[1].x }}"
+    values = {"specs": [{"name": "one"}, {"name": "two"}], "kind": "concept", "numbered": True, "whole": None, "rows": [{"x": 1}, {"x": "y"}]}
+    assert templates.render(text, values) == "1. one;\n2. two\nC y"
+    assert templates.render(text, values | {"kind": "aspect"}).endswith("A y") and templates.render(text, values | {"whole": "w"}).endswith("B y")
+    for bad in ("{% for x in %}{% endfor %}", "{% if a %}", "{% while a %}", "{{ nothing }}", "{% if a ~ b %}{% endif %}", "{{ rows[7] }}"):
+        with pytest.raises(templates.TemplateError):
+            templates.render(bad, values)
+    own = "Answer as {{ shape }}\n{% for s in specs %}\n{{ s.id }} {{ s.name }}: {{ s.description }}\n{% endfor %}\n{% for p in paragraphs %}\n{% if numbered %}[{{ p.number }}] {% endif %}{{ p.text }}\n{% endfor %}"
+    spec = S.StringConcept("n", "d", rule="x[46]", add_references=True)
+    run = run_of(engine.Settings(paragraphs_per_call=3, render=own))
+    assert [i["paras"] for i in run.extract("concept", [spec])["n"].items] == [[4], [6]]
+    assert run.calls[1]["prompt"].startswith('Answer as [{"concept_id"') and "C0 n: d\n[0] x3\n[1] para 4 x4\n[2] para 5 x5\n" in run.calls[1]["prompt"]
+    with pytest.raises(templates.TemplateError):
+        prompts.renderer("{% if a %}")
