@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import asyncio
+import inspect
 import json
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -84,6 +86,20 @@ class Session:
         self.messages = []
 
 
+def finished(awaitable):
+    """What a coroutine gives, run to its end; in a thread of its own where a loop runs already."""
+
+    async def whole():
+        return await awaitable
+
+    try:
+        asyncio.get_running_loop()
+    except RuntimeError:
+        return asyncio.run(whole())
+    with ThreadPoolExecutor(1) as pool:
+        return pool.submit(lambda: asyncio.run(whole())).result()
+
+
 def run_tool(call: dict, tools: dict[str, Callable]) -> str:
     """A tool's answer; bad JSON, a schema mismatch or an exception of the tool become an error payload."""
     func = tools.get(call["name"])
@@ -98,6 +114,8 @@ def run_tool(call: dict, tools: dict[str, Callable]) -> str:
         return json.dumps({"error": why})
     try:
         out = func(**args)
+        if inspect.isawaitable(out):
+            out = finished(out)
     except Exception as e:
         return json.dumps({"error": f"{type(e).__name__}: {e}"})
     if not isinstance(out, str):

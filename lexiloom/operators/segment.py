@@ -108,6 +108,11 @@ def position_of_paragraph(paras: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(paras, ["doc_id", "raw_text"]).select("doc_id", "raw_text", "para_idx")
 
 
+def position_of_sentence(sents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Positions of (doc_id, raw_text) pairs among sentences: every (para_idx, sent_idx) at which the text stands."""
+    return wanted.join(sents, ["doc_id", "raw_text"]).select("doc_id", "raw_text", "para_idx", "sent_idx")
+
+
 def order_check(docs: DataFrame, paras: str = "paras", text: str = "text") -> DataFrame:
     """``docs`` and in_order: each paragraph occurs behind the end of the one before it."""
     start = F.struct(F.lit(1).alias("at"), F.lit(True).alias("ok"))

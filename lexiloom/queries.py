@@ -445,9 +445,15 @@ SELECT doc_id, img_idx, CASE k WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png'
 }
 
 
+def _more() -> list:
+    from lexiloom import queries_formats, queries_rules
+
+    return [queries_formats, queries_rules]
+
+
 def queries() -> dict:
-    return dict(QUERIES)
+    return {k: v for part in (QUERIES, *(m.QUERIES for m in _more())) for k, v in part.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {k: v for part in (SQL, *(m.SQL for m in _more())) for k, v in part.items()}

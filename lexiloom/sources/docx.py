@@ -453,6 +453,34 @@ def pictures(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(work, ddl)
 
 
+def documents(files: DataFrame, options: Options | None = None) -> DataFrame:
+    """One document a file (path, content): (path, raw_text, md_text, paras, images, error), ready for extraction."""
+    runtime.prepare(files.sparkSession)
+    options = options or Options()
+    ddl = "path string, raw_text string, md_text string, paras array<string>, images array<struct<mime:string,data:string>>, error string"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def work(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                try:
+                    held = Package.open(row["content"])
+                    found = Walker(held, options).all()
+                    pictures = [{"mime": m, "data": d} for m, d in held.images()] if options.images else []
+                except DocxError as e:
+                    if options.strict:
+                        raise
+                    out.append({"path": row["path"], "error": f"{type(e).__name__}: {e}"})
+                    continue
+                join = lambda texts: "\n\n".join(t for t in texts if t)
+                out.append({"path": row["path"], "raw_text": join(p.text for p in found), "md_text": join(p.md for p in found), "paras": [p.text for p in found], "images": pictures})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return files.select("path", "content").mapInArrow(work, ddl)
+
+
 def whole_texts(found: DataFrame, markdown: bool = True) -> DataFrame:
     """(path, text) from the rows of ``read``."""
     column = "md_text" if markdown else "raw_text"
