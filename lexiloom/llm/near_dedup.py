@@ -432,3 +432,22 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spread(table(spark, sf_dir, "documents")), k=3, percent=85)
+
+
+#: DuckDB: all pairs of sets that share a shingle, counted in full, and the reach of each smallest id.
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d
+), k AS (
+  SELECT doc_id, len(g) AS n, CASE WHEN len(g) > 0 THEN min(doc_id) OVER (PARTITION BY md5(array_to_string(g, chr(10)))) ELSE doc_id END AS node, g FROM s
+), x AS (SELECT node, n, unnest(g) AS h FROM k WHERE doc_id = node
+), p AS (
+  SELECT a.node AS a, b.node AS b FROM x a JOIN x b ON a.h = b.h AND a.node < b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), r(node, root) AS (SELECT DISTINCT node, node FROM k UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a WHERE r.root < e.b
+), c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM k JOIN c USING (node)
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": exact_dedup.SQL, "op9_mixing": mixing.SQL}
+    return {"op2_near_dedup": near_dedup.SQL, "op5_exact_dedup": exact_dedup.SQL, "op9_mixing": mixing.SQL, "op10_html_blocks": html_blocks.SQL}
