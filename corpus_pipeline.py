@@ -14,27 +14,41 @@ from lexiloom.llm.common import materialize, table
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; rejected ones go (no text or letter, or a low score)."""
+    """Documents in a known language; rejected ones go (no text or letter, or a low score).
+
+    Null and empty texts go; a null doc_id or lang does not matter; repeated rows stay or go together.
+    """
     return language_id.known_language(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts (white space normalised): the smallest doc_id."""
+    """One document of each group of equal texts (white space normalised): the smallest doc_id.
+
+    Null texts count as empty ones; rows without a doc_id stay only where their group has no other; of rows tied on the
+    doc_id the first by their other columns stays.
+    """
     return exact_dedup.one_of_each(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at similarity 0.8 or more."""
+    """One document of each group linked by five-word shingles at similarity 0.8 or more: the smallest doc_id.
+
+    Texts without words stand alone, equal rows among them stay once; null doc_ids come last, ties are broken by the text's
+    hash, then by the other columns.
+    """
     return near_dedup.one_of_each(docs, k=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order: sources at their target weights, a document up to twice."""
+    """Documents in training order: sources at their target weights, a document up to twice.
+
+    A null source is a source of its own; texts without words are not used; tied rows keep a fixed order.
+    """
     return mixing.mixed(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 and ids of each document's text."""
+    """doc_id, n_pieces, ids_crc32 and ids of each document's text; a null or empty text has no ids, a null doc_id stays null."""
     return piece_dropout.encode(docs, piece_dropout.default_path())
 
 
