@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,9 +42,12 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that ``keep`` gave and nothing reads any more."""
+        """Delete tables that ``keep`` gave and nothing reads any more; the driver's memory of their plans goes too."""
         for t in tables:
-            self._delete(next(path for held, path in self.held if held is t))
+            at = next(i for i, (held, _) in enumerate(self.held) if held is t)
+            self._delete(self.held.pop(at)[1])
+        gc.collect()
+        self.spark._jvm.System.gc()  # plans, broadcasts and listeners' records of finished steps
 
     def clear(self) -> None:
         self._delete(self.top)
@@ -121,13 +125,25 @@ def row_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed where the table has such columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame, mark: Column) -> DataFrame:
     """Rows of ``docs``, columns unchanged, whose (doc_id, mark) is in ``kept`` (id, mark); one row of each.
 
     The semi-join and the choice among tied rows share one shuffle.
     """
-    marked = docs.withColumn("__lx_id", row_id()).withColumn("__lx_mark", mark)
-    held = kept.select(F.col("id").alias("__lx_id"), F.col("mark").alias("__lx_mark"))
-    first = Window.partitionBy("__lx_id", "__lx_mark").orderBy(*(tie_order(docs, ("text",)) or [F.lit(0)]))
-    found = marked.join(held, ["__lx_id", "__lx_mark"], "left_semi").withColumn("__lx_n", F.row_number().over(first))
-    return found.where("__lx_n = 1").select([F.col(f"`{c}`") for c in docs.columns])
+    a, b, n = unused(docs, "__lx_id", "__lx_mark", "__lx_n")
+    marked = docs.withColumn(a, row_id()).withColumn(b, mark)
+    held = kept.select(F.col("id").alias(a), F.col("mark").alias(b))
+    first = Window.partitionBy(a, b).orderBy(*(tie_order(docs, ("text",)) or [F.lit(0)]))
+    found = marked.join(held, [a, b], "left_semi").withColumn(n, F.row_number().over(first))
+    return found.where(F.col(n) == 1).select([F.col(f"`{c}`") for c in docs.columns])

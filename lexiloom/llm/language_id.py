@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from lexiloom.llm.common import map_batches, python_batches, release, spread, table
+from lexiloom.llm.common import map_batches, python_batches, release, spread, table, unused
 
 WINDOW = 256
 EMBED = 8
@@ -216,17 +216,18 @@ def known_language(docs: DataFrame, net: ByteNet | None = None, min_score: float
     """The rows of ``docs`` (all columns) whose language is known: not ``und``, and scored ``min_score`` or more."""
     net = net or train(docs)
     python_batches(docs.sparkSession)
+    text, keep = unused(docs, "__lx_text", "__lx_keep")
 
     def run(batches):
         for batch in batches:
-            langs, scores = classify(batch.column("__lx_text").to_pylist(), net)
-            keep = pa.array([lang != UND and score >= min_score for lang, score in zip(langs, scores)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], keep], [*batch.schema.names[:-1], "__lx_keep"])
+            langs, scores = classify(batch.column(batch.num_columns - 1).to_pylist(), net)
+            kept = pa.array([lang != UND and score >= min_score for lang, score in zip(langs, scores)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], kept], [*batch.schema.names[:-1], keep])
         release()
 
-    schema = StructType([*docs.schema.fields, StructField("__lx_keep", BooleanType())])
-    found = docs.withColumn("__lx_text", F.col("text").cast("string")).mapInArrow(run, schema)
-    return found.where("__lx_keep").select([F.col(f"`{c}`") for c in docs.columns])
+    schema = StructType([*docs.schema.fields, StructField(keep, BooleanType())])
+    found = docs.withColumn(text, F.col("text").cast("string")).mapInArrow(run, schema)
+    return found.where(F.col(keep)).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -53,3 +53,15 @@ def test_odd_and_empty_inputs(spark):
             assert rows or not got
 
 
+def test_columns_with_the_stages_own_names(spark):
+    """Extra columns whose names the stages use inside: every stage keeps them and their values."""
+    names = ["__lx_text", "__lx_keep", "__lx_id", "__lx_mark", "__lx_n", "__row", "__position", "__turn", "__salt", "id", "mark", "key", "node", "digest", "taken", "size", "text_hash", "group", "nth", "n"]
+    texts = ["the cat sat on the mat and slept all day long in the sun", "der hund lief durch den wald und kam nicht mehr nach haus", "le chat dort sur le lit et ne veut pas sortir ce matin"]
+    rows = [(i, texts[i % 3] + f" number {i}", ["en", "de", "fr"][i % 3], "ab"[i % 2], i, *[f"{c}{i}" for c in names]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        got = out.collect()
+        assert out.columns == docs.columns and got, name
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in got for c in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == 30
