@@ -133,8 +133,11 @@ def tokens(html: str):
         yield html[upto:], None, "", ""
 
 
-def says(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether class, id, role or state mark an element as no main text, and whether they name it as such."""
+def says(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether class, id, role or state mark an element as no main text, and whether they name it as such.
+
+    A header is an article's own one where it stands ``inside`` a main element, or where its name says so (entry-header).
+    """
     marked = named = False
     for name, value in ATTRIBUTE.findall(attributes):
         name = name.lower()
@@ -143,9 +146,11 @@ def says(tag: str, attributes: str) -> tuple[bool, bool]:
         elif name in ("class", "id", "role", "itemprop", "aria-label"):
             for one in value.strip("\"'").lower().split():
                 words = WORDS.findall(one)
-                if tag not in ("html", "body") and any(w in CHROME_WORDS for w in words) and all(w in CHROME_WORDS or w in PLAIN_WORDS for w in words):
+                chrome, main = [w for w in words if w in CHROME_WORDS], any(w in MAIN_WORDS for w in words)
+                own = set(chrome) == {"header"} and (inside or main)
+                if chrome and not own and tag not in ("html", "body") and all(w in CHROME_WORDS or w in PLAIN_WORDS for w in words):
                     marked = True
-                named |= any(w in MAIN_WORDS for w in words)
+                named |= main
     return marked, named and not marked
 
 
@@ -193,8 +198,9 @@ def blocks_of(html: str) -> list[Block]:
             # inline elements (b, i, a ...) left open inside go with the element that is closed
             if tag in CLOSES and block_at and stack[block_at[-1]][0] in CLOSES[tag]:
                 pop_to(block_at[-1])
-            marked, named = says(tag, attributes) if attributes and (tag in BLOCKS or tag in MARKED or tag == "span") else (False, False)
-            marked |= tag in MARKED and not (tag == "header" and any(open_tags[t] for t in MAIN))
+            inside = any(open_tags[t] for t in MAIN)
+            marked, named = says(tag, attributes, inside) if attributes and (tag in BLOCKS or tag in MARKED or tag == "span") else (False, False)
+            marked |= tag in MARKED and not (tag == "header" and inside)
             held = None
             if marked or named or tag in MAIN or tag == "form":
                 held = box = Box(box, marked, tag in MAIN, named, tag == "form")

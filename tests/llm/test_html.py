@@ -51,6 +51,8 @@ CASES = {
     "title in the article's header": ("<article><header><h1>Title</h1></header><p>Text of it.</p></article>", "Title\n\nText of it."),
     "article in a form": ("<form><article><h1>Title</h1><p>Text of it.</p></article></form>", "Title\n\nText of it."),
     "a class that only contains a word": ('<article><p class="share-price">Forty.</p><p class="adobe">Clay.</p><p class="formula">x</p></article>', "Forty.\n\nClay.\n\nx"),
+    "headers of articles by name": ('<article><header class="entry-header"><h1>Title</h1></header><div class="page-header"><p>Lead.</p></div><p>Text.</p><div class="post-footer">Tags</div></article>', "Title\n\nLead.\n\nText."),
+    "header of a post in divisions": ('<body><div class="site-header">My pages</div><div class="post"><div class="post-header"><h1>On the use of a spade in the garden</h1></div><p>A spade is used for digging, and for cutting the edge of a lawn in the spring.</p></div></body>', "On the use of a spade in the garden\n\nA spade is used for digging, and for cutting the edge of a lawn in the spring."),
     "one paragraph": ("<body><p>Nothing here yet.</p></body>", "Nothing here yet."),
     "formula, drawing, object": ("<article><p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p><svg><title>no</title><text>label</text></svg><object><p>fallback</p></object></article>", "a x=2 b\n\nlabel\n\nfallback"),
     "comments beside the article": ('<article><p>The text.</p></article><section class="comments"><article><p>A comment that is a good deal longer than the text, as comments can be.</p></article></section>', "The text."),
