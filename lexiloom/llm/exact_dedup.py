@@ -39,6 +39,11 @@ def digest_of(column: str = "text"):
     return F.unhex(F.sha2(F.regexp_replace(text_or_empty(column), SPACE, " "), 256))
 
 
+def text_mark():
+    """What tells texts of one doc_id apart when the winner's row is looked up: far cheaper than hashing all texts again."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def _groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.min("doc_id").alias("winner"), F.sum("copies").alias("size"))
 
@@ -96,13 +101,13 @@ def probe(history: DataFrame, groups: DataFrame, shards: int) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, copies) of all rows, repeated rows counted; written once."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of().alias("digest"))
-    return materialize(rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies")), "digests")
+    """(doc_id, digest, copies, text_hash) of all rows, repeated rows counted; written once. ``text_hash`` is the least of theirs."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of().alias("digest"), text_mark().alias("text_hash"))
+    return materialize(rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"), F.min("text_hash").alias("text_hash")), "digests")
 
 
 def exact_groups(docs: DataFrame, cut: int | None = None) -> DataFrame:
-    """Per row: doc_id, keep_id, group_size, kept, digest, member.
+    """Per row: doc_id, keep_id, group_size, kept, digest, member, text_hash.
 
     ``cut``: the history's largest doc_id; by default the middle of the id range.
     ``member``: the row's digest was found in the history.
@@ -124,14 +129,17 @@ def exact_groups(docs: DataFrame, cut: int | None = None) -> DataFrame:
         spread_join(rows, groups, "digest", n_rows)
         .withColumn("__run", F.explode(runs))
         .withColumn("__copy", F.explode(copies))
-        .select("doc_id", "keep_id", "group_size", (F.expr("doc_id <=> keep_id") & (F.col("__copy") == 1)).alias("kept"), "digest", "member")
+        .select("doc_id", "keep_id", "group_size", (F.expr("doc_id <=> keep_id") & (F.col("__copy") == 1)).alias("kept"), "digest", "member", "text_hash")
     )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) without exact duplicates: the winner of each group stays."""
-    kept = exact_groups(docs).where("kept").select(row_id().alias("id"), F.col("digest").alias("mark"))
-    return keep_rows(docs, kept, digest_of())
+    """The rows of ``docs`` (all columns) without exact duplicates: the winner of each group stays.
+
+    Of rows tied on the winning doc_id the one with the least hash of its text stays, then the first by the other columns.
+    """
+    kept = exact_groups(docs).where("kept").select(row_id().alias("id"), F.col("text_hash").alias("mark"))
+    return keep_rows(docs, kept, text_mark())
 
 
 def query(spark, sf_dir: str) -> DataFrame:
