@@ -25,7 +25,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts (white space normalised): the smallest doc_id.
 
     Null texts count as empty ones; rows without a doc_id stay only where their group has no other; of rows tied on the
-    doc_id the first by their other columns stays.
+    doc_id the one with the least hash of its text stays, then the first by the other columns.
     """
     return exact_dedup.one_of_each(docs)
 
