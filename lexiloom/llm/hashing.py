@@ -42,3 +42,34 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: i
     for i in np.flatnonzero(sizes > LONG).tolist():
         state[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + sizes[i]].tobytes(), seed)
     return state
+
+
+class PairIndex:
+    """Finds distinct 64-bit keys (not negative) in a sparse table with linear probing; mostly one look for each."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, max(10, (8 * len(keys)).bit_length())
+        self.slot = np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(keys)), self._home(keys)
+        while len(left):
+            free = np.flatnonzero(self.slot[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.slot[at[put]] = left[put]
+            on = np.ones(len(left), bool)
+            on[put] = False
+            left, at = left[on], (at[on] + 1) & (1 << self.bits) - 1
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where there is none."""
+        at = self._home(keys)
+        got = self.slot[at]
+        wrong = np.flatnonzero((got >= 0) & (self.keys[got] != keys))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & (1 << self.bits) - 1
+            got[wrong] = self.slot[at[wrong]]
+            wrong = wrong[(got[wrong] >= 0) & (self.keys[got[wrong]] != keys[wrong])]
+        return got

@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from lexiloom.llm.common import map_batches, spread, table
+from lexiloom.llm.hashing import PairIndex
 from lexiloom.llm.pretokens import BatchTable
 
 DROPOUT = 0.1
@@ -71,7 +72,9 @@ def word_cut(fine: bool):
 
 _M = 0xFFFFFFFFFFFFFFFF
 _C1, _C2, _C3 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15
-NEVER = np.int64(1 << 40)
+NEVER = np.int32((1 << 31) - 1)
+#: No candidate, in an agenda of ranks and places.
+NEVER_AGAIN = np.int64((1 << 63) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -100,7 +103,8 @@ class Pieces:
             pairs += [(ids[p[:k]] << 32 | ids[p[k:]], i, rank[i]) for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
         self.fine = not any(map(MIXED.search, ids))
         pairs.sort()
-        self.keys, self.made, self.rank = (np.array(c, np.int64) for c in zip(*pairs))
+        self.keys, self.made, self.rank = (np.array(c, kind) for c, kind in zip(zip(*pairs), (np.int64, np.int32, np.int32)))
+        self.index = PairIndex(self.keys)
         self.byte = np.zeros(256, np.int64)
         self.bytes_of = [b""] * n
         for i in range(n):
@@ -113,9 +117,8 @@ class Pieces:
 
     def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, merged piece) of each pair of symbols; rank NEVER where they do not merge."""
-        key = np.where((left < 0) | (right < 0), -1, left << 32 | right)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.rank[at], NEVER), self.made[at]
+        at = self.index.find(np.where((left < 0) | (right < 0), -1, left.astype(np.int64) << 32 | right))
+        return np.where(at >= 0, self.rank[at], NEVER), self.made[at]
 
 
 @lru_cache(maxsize=2)
@@ -180,52 +183,51 @@ def segment_heap(symbols: list[int], key: int, bound: int, model: Pieces, merges
 
 
 def segment_batch(sym: np.ndarray, length: np.ndarray, key: np.ndarray, bound: int, model: Pieces, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Many short words at once: each round takes one candidate off every word's agenda.
+    """Many short words at once: each round takes the first candidate off every word's agenda.
 
-    Returns the surviving symbols, word after word, and how many each word has.
+    Returns the surviving symbols, word after word, and how many each word has (none is empty).
     ``merges`` takes arrays of the (word, place, piece) of the merges made, one a round.
+
+    Symbols stay in their places and are linked to their neighbours; an agenda is its word's part of
+    ``agenda``, where rank and place are one number. Place n, behind the last word, is nobody's.
     """
-    owner = np.repeat(np.arange(len(length)), length)
-    place = np.arange(len(sym)) - np.repeat(np.cumsum(length) - length, length)
-    done_sym, done_owner = [], []
-    same = np.concatenate([owner[1:] == owner[:-1], [False]]) if len(owner) else np.zeros(0, bool)
-    rank, made = np.full(len(sym), NEVER), np.zeros(len(sym), np.int64)
-    at = np.flatnonzero(same)
-    rank[at], made[at] = model.look(sym[at], sym[at + 1])
-    while len(sym):
-        starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        best = np.minimum.reduceat(rank, starts)
-        size = np.diff(np.concatenate([starts, [len(sym)]]))
-        top = np.repeat(best, size)
-        idle = top == NEVER
-        if idle.all():
-            break
-        hit = np.flatnonzero((rank == top) & ~idle)
-        hit = hit[np.concatenate([[True], owner[hit][1:] != owner[hit][:-1]])]
-        out = _skipped(key[owner[hit]], place[hit], made[hit], bound) if bound else np.zeros(len(hit), bool)
-        rank[hit[out]] = NEVER
-        hit = hit[~out]
-        if merges is not None:
-            merges.append((owner[hit], place[hit], made[hit]))
-        sym[hit] = made[hit]
-        keep = np.ones(len(sym), bool)
-        keep[hit + 1] = False
-        if (best == NEVER).mean() > 0.25:  # leave finished words out of the rounds to come
-            done_sym.append(sym[idle & keep])
-            done_owner.append(owner[idle & keep])
-            keep &= ~idle
-        moved = np.cumsum(keep) - 1
-        hit = moved[hit]
-        sym, owner, place, rank, made = sym[keep], owner[keep], place[keep], rank[keep], made[keep]
-        for pair in (hit, hit[hit > 0] - 1):
-            inner = (pair + 1 < len(sym)) & (owner[np.minimum(pair + 1, len(sym) - 1)] == owner[pair])
-            rank[pair[~inner]] = NEVER
-            pair = pair[inner]
-            rank[pair], made[pair] = model.look(sym[pair], sym[pair + 1])
-    done_sym.append(sym)
-    done_owner.append(owner)
-    sym, owner = np.concatenate(done_sym), np.concatenate(done_owner)
-    return sym[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(length))
+    n = len(sym)
+    if not n:
+        return sym, np.zeros(len(length), np.int64)
+    starts = np.cumsum(length) - length
+    sym = np.append(sym, -1).astype(np.int32)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    after[starts + length - 1], before[starts] = n, n
+    agenda, made, dead = np.full(n + 1, NEVER_AGAIN), np.zeros(n + 1, np.int32), np.zeros(n, bool)
+
+    def put(left: np.ndarray, right: np.ndarray) -> None:
+        rank, made[left] = model.look(sym[left], sym[right])
+        agenda[left] = np.where(rank == NEVER, NEVER_AGAIN, rank.astype(np.int64) << 32 | left)
+
+    put(np.arange(n), after[:n])
+    begin, word = starts, np.arange(len(length))
+    while len(word):
+        first = np.minimum.reduceat(agenda[:n], begin)
+        live = first != NEVER_AGAIN
+        if not live.all():  # what is left of a finished word's agenda holds nothing, so it may fall to the word before
+            first, begin, word = first[live], begin[live], word[live]
+        at = first & 0xFFFFFFFF
+        if bound:
+            out = _skipped(key[word], at - begin, made[at], bound)
+            agenda[at[out]] = NEVER_AGAIN
+            at = at[~out]
+            if merges is not None:
+                merges.append((word[~out], at - begin[~out], made[at]))
+        elif merges is not None:
+            merges.append((word, at - begin, made[at]))
+        gone = after[at]
+        sym[at] = made[at]
+        agenda[gone], dead[gone] = NEVER_AGAIN, True
+        after[at] = after[gone]
+        before[after[at]] = at
+        put(at, after[at])
+        put(before[at], at)
+    return sym[:n][~dead], np.add.reduceat(~dead, starts, dtype=np.int64)
 
 
 class Rows:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lexiloom.llm.common import map_batches, spread, table
+from lexiloom.llm.hashing import PairIndex
 from lexiloom.llm.pretokens import PretokenTable, specials, split
 
 LIMIT = 512
@@ -42,7 +43,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Merges:
-    """Pairs of symbols by sorted 64-bit key, with rank and result (symbols: 0-255 bytes, then merges)."""
+    """Pairs of symbols by 64-bit key, with rank and result (symbols: 0-255 bytes, then merges)."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -53,8 +54,7 @@ class Merges:
             pairs[rank] = ids[a] << 32 | ids[b]
             ids.setdefault(a + b, 256 + rank)
         self.made = np.array([ids[a + b] for a, b in merges], np.int64)
-        self.rank_of = np.argsort(pairs, kind="stable")
-        self.pairs = pairs[self.rank_of]
+        self.index = PairIndex(pairs)
         self.none = len(merges)
         # bytes meet bytes most often: a direct table for them
         self.bytes_rank = np.full(65536, self.none, np.int64)
@@ -62,10 +62,8 @@ class Merges:
         self.bytes_rank[(pairs[both] >> 32) * 256 + (pairs[both] & 0xFF)] = np.flatnonzero(both)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 32 | right
-        at = np.searchsorted(self.pairs, key)
-        at[at == len(self.pairs)] = 0
-        return np.where(self.pairs[at] == key, self.rank_of[at], self.none)
+        at = self.index.find(left << 32 | right)
+        return np.where(at >= 0, at, self.none)
 
 
 @lru_cache(maxsize=2)
