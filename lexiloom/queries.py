@@ -105,25 +105,35 @@ def missing_roles(spark, sf_dir) -> DataFrame:
 
 
 def parse_validity(spark, sf_dir) -> DataFrame:
-    """Replies made of the corpus: bare arrays, fenced ones, with thoughts, scalars, broken ones."""
-    k = F.col("doc_id") % 6
-    body = F.concat(F.lit('[{"concept_id": "C0", "extracted_items": ['), F.col("doc_id").cast("string"), F.lit("]}]"))
+    """Replies that hold whole texts: bare arrays, fenced ones, with thoughts, scalars, broken ones; by the text's length."""
+    k = F.length("text") % 6
+    body = F.concat(F.lit('[{"concept_id": "C0", "extracted_items": '), F.to_json(F.array("text")), F.lit("}]"))
     reply = (
         F.when(k == 0, body)
         .when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
         .when(k == 2, F.concat(F.lit("<think>so</think>\n"), body))
         .when(k == 3, F.lit("42"))
         .when(k == 4, F.concat(body, F.lit("]")))
-        .otherwise(F.lit("<think>so</think>"))
+        .otherwise(F.concat(F.lit("<think>"), "text", F.lit("</think>")))
     )
     v = T.parsed_json(T.without_thinking(F.col("reply")))
     got = docs(spark, sf_dir).select("doc_id", reply.alias("reply")).select("doc_id", v.alias("v"))
-    return got.select("doc_id", F.col("v").isNotNull().alias("valid"), F.try_variant_get("v", "$[0].extracted_items[0]", "bigint").alias("value"))
+    return got.select("doc_id", F.col("v").isNotNull().alias("valid"), F.md5(F.try_variant_get("v", "$[0].extracted_items[0]", "string")).alias("value_md5"))
 
 
 def structural_ids(spark, sf_dir) -> DataFrame:
-    frame = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("P"), F.col("doc_id"), F.lit("-S"), F.length("text")).alias("sid"), F.concat(F.lit("C"), F.col("doc_id")).alias("cid"))
-    return frame.select("doc_id", T.structural_index(F.col("sid"), "S").cast("long").alias("sent"), T.structural_index(F.col("cid"), "C").cast("long").alias("concept"), T.structural_index(F.col("sid"), "P").cast("long").alias("wrong"))
+    """Ids of every sentence as prompts number them, read back; a sentence's id is no paragraph's."""
+    s = segment.sentences(docs(spark, sf_dir))
+    para = F.concat(F.lit("P"), F.col("para_idx").cast("string"))
+    sent = F.concat(para, F.lit("-S"), F.col("sent_idx").cast("string"))
+    index = lambda c, letter: T.structural_index(c, letter).cast("long")
+    return s.select("doc_id", long("para_idx"), index(para, "P").alias("para"), index(sent, "S").alias("sent"), index(sent, "P").alias("wrong"), index(F.concat(F.lit("C"), F.length("raw_text").cast("string")), "C").alias("concept"))
+
+
+def usage_of_calls(spark, sf_dir) -> DataFrame:
+    """Calls and tokens that an extraction over all documents really made, ten paragraphs a call."""
+    got = extract.extract(docs(spark, sf_dir), S.Pipeline(concepts=(ADDRESS,)), MODELS, BACKENDS, engine.Settings(paragraphs_per_call=CHUNK))
+    return ledger.usage(got.ledger).select("model", "calls", "in_tokens")
 
 
 def chat_replay(spark, sf_dir) -> DataFrame:
@@ -295,6 +305,7 @@ QUERIES = {
     "extract_all_items": extract_all,
     "parse_envelope_validity": parse_validity,
     "structural_id_parse": structural_ids,
+    "usage_of_calls": usage_of_calls,
     "usage_by_model": lambda s, d: ledger.usage(_document_ledger(s, d), _prices(s)),
     "usage_of_role": lambda s, d: ledger.of_role(ledger.usage(_document_ledger(s, d)), "extractor_text"),
     "cost_by_model": lambda s, d: ledger.cost(_document_ledger(s, d), _prices(s)).select("model", F.col("cost_in").cast("double").alias("cost_in"), F.col("cost_out").cast("double").alias("cost_out"), F.col("cost_total").cast("double").alias("cost_total")),
@@ -404,8 +415,14 @@ SQL = {
 ) SELECT owner, count(*) AS n_items, count(DISTINCT doc_id) AS n_docs, sum(length(v)) AS n_chars FROM i GROUP BY owner""".replace("SELECT DISTINCT doc_id, 'concept:Has secret'", "SELECT doc_id, 'concept:Has secret'"),
         True,
     ),
-    "parse_envelope_validity": "SELECT doc_id, doc_id % 6 < 3 AS valid, CASE WHEN doc_id % 6 < 3 THEN doc_id END AS value FROM documents",
-    "structural_id_parse": "SELECT doc_id, length(text) AS sent, doc_id AS concept, NULL::BIGINT AS wrong FROM documents",
+    "parse_envelope_validity": "SELECT doc_id, length(text) % 6 < 3 AS valid, CASE WHEN length(text) % 6 < 3 THEN md5(text) END AS value_md5 FROM documents",
+    "structural_id_parse": _sql("SELECT doc_id, para_idx, para_idx AS para, sent_idx AS sent, NULL::BIGINT AS wrong, length(raw_text) AS concept FROM sents", True),
+    "usage_of_calls": _sql(
+        ", c AS (SELECT doc_id, para_idx // 10 AS chunk, para_idx % 10 AS pos, regexp_replace(regexp_replace(regexp_replace(raw_text, '@CTL', '', 'g'), '@WS+', ' ', 'g'), '^@WS+|@WS+$', '', 'g') AS t FROM paras), "
+        "k AS (SELECT doc_id, chunk, sum(length(pos::VARCHAR) + 3 + length(t)) + 2 * (count(*) - 1) AS body FROM c WHERE t <> '' GROUP BY 1, 2) "
+        "SELECT 'rules/small' AS model, count(*) AS calls, CAST(sum(ceil((body + length('Find the values of these concepts:') + 2 + length('C0: Address - E-mail address; type: str') + 2 + length('<document>') + 1 + 1 + length('</document>') + 2 "
+        """+ length('Answer as JSON of this form, one entry for each of them: [{"concept_id": "C0", "extracted_items": [{"value": value, "reference_paragraph_ids": ["P0"]}]}]')) / 4.0)) AS BIGINT) AS in_tokens FROM k"""
+    ),
     "usage_by_model": f"WITH {_LEDGER} SELECT model, llm_role, is_fallback, count(*) AS calls, sum(CASE WHEN model <> 'acme/free' THEN in_tokens ELSE 0 END) AS in_tokens, sum(CASE WHEN model <> 'acme/free' THEN out_tokens ELSE 0 END) AS out_tokens FROM t GROUP BY ALL",
     "usage_of_role": f"WITH {_LEDGER} SELECT model, llm_role, is_fallback, count(*) AS calls, sum(in_tokens) AS in_tokens, sum(out_tokens) AS out_tokens FROM t GROUP BY ALL",
     "cost_by_model": f"""WITH {_LEDGER}, p(model, a, b) AS (VALUES ('acme/small', 0.4::DECIMAL(12,6), 1.6::DECIMAL(12,6)), ('acme/large', 2.5, 10)),
