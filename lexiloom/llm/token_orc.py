@@ -12,7 +12,7 @@ is the sum of all lengths before it: totals of key ranges first, then running
 sums inside a range, so that no task needs all rows.
 
 Defined results: null text counts as empty (the end id only); a null doc_id sorts
-first; rows with the same doc_id follow one another in the order of their texts;
+first; rows with the same doc_id follow one another in the order of their texts' hashes;
 an empty table gives no rows; columns besides doc_id and text are ignored.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import Counter
 from functools import lru_cache
 from itertools import chain
 
@@ -92,19 +93,44 @@ def range_of(column: str, bounds: list[int]) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), found)
 
 
+def part_of(bounds: list[int], null_parts: int) -> tuple[Column, int]:
+    """The part of a row (doc_id, __hash), ascending in (doc_id, __hash) with nulls first, and the number of parts.
+
+    ``bounds`` are quantiles of doc_id: one that stands k times belongs to an id with so many rows that they are cut
+    into k parts by their hash; the last of these goes on with the ids up to the next bound.
+    """
+    times = Counter(bounds)
+    distinct = sorted(times)
+    first, parts = [], null_parts + 1  # ids under all bounds have one part
+    for b in distinct:
+        first.append(parts)
+        parts += times[b]
+    share = F.col("__hash").cast("double") / float(1 << 64) + 0.5  # in [0, 1]
+    cut = lambda k: F.least(F.floor(share * k), k - 1).cast("int")
+    if not distinct:
+        return F.when(F.col("doc_id").isNull(), cut(F.lit(null_parts))).otherwise(F.lit(null_parts)).cast("int"), parts
+    held = lambda values: F.from_json(F.lit(json.dumps([0, *values])), "array<bigint>")
+    at = F.col("__at")
+    k = F.get(held([times[b] for b in distinct]), at)
+    inner = F.when(F.col("doc_id") == F.get(held(distinct), at), cut(k)).otherwise(k - 1)
+    found = F.when(at == 0, F.lit(null_parts)).otherwise(F.get(held(first), at) + inner)
+    return F.when(F.col("doc_id").isNull(), cut(F.lit(null_parts))).otherwise(found).cast("int"), parts
+
+
 def in_order(docs: DataFrame) -> DataFrame:
-    """(doc_id, text), range-partitioned by quantiles of doc_id and sorted by (doc_id, text).
+    """(doc_id, text), range-partitioned by quantiles of doc_id and sorted by doc_id, then by the text's hash.
 
-    The quantiles come from a scan of doc_id alone; a range partitioner's own
-    sampling would read all texts a second time.
+    The quantiles come from a scan of doc_id alone; a range partitioner's own sampling would read all texts a second
+    time. Rows of one doc_id, or of none, that would fill more than a file are cut by their texts' hashes.
     """
     rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
-    n = rows.count()
+    n, named = rows.agg(F.count(F.lit(1)), F.count("doc_id")).first()
     files = file_count(n, int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), shuffle_width(docs))
     bounds = rows.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], min(100 * files, 1_000_000))).first()[0] if files > 1 else None
-    bounds = sorted(set(bounds or []))
-    placed = rows.withColumn("__part", range_of("doc_id", bounds))
-    return placed.repartitionById(len(bounds) + 1, F.col("__part")).drop("__part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    bounds = sorted(bounds or [])
+    part, parts = part_of(bounds, max(1, -(-(n - named) * files // max(1, n))))
+    placed = rows.withColumn("__hash", F.xxhash64("text")).withColumn("__at", range_of("doc_id", sorted(set(bounds)))).withColumn("__part", part)
+    return placed.repartitionById(parts, F.col("__part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "__hash", "text").select("doc_id", "text")
 
 
 def encode(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:

@@ -119,6 +119,29 @@ def test_ranges_by_binary_search(spark):
     assert token_orc.file_count(10**9, 10**14, 200) > 300_000 and token_orc.file_count(10, 2**62, 200) == 1 and token_orc.file_count(0, 0, 8) == 1
 
 
+def test_hot_ids_are_cut_over_files(spark):
+    """A doc_id with a third of all rows, and rows without one: several files, in order, with the right starts."""
+    before, token_orc.ROWS_PER_FILE = token_orc.ROWS_PER_FILE, 50
+    try:
+        rows = [(500, f"hot {i}") for i in range(300)] + [(None, f"none {i}") for i in range(200)] + [(i, f"text {i}") for i in range(0, 1000, 3)]
+        random.Random(1).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        placed = token_orc.in_order(docs).selectExpr("spark_partition_id() AS p", "doc_id", "text").collect()
+        sizes = [sum(r["p"] == p for r in placed) for p in {r["p"] for r in placed}]
+        assert len(placed) == len(rows) and max(sizes) < 150, sizes
+        order = [(r["p"], -1 if r["doc_id"] is None else r["doc_id"]) for r in placed]
+        assert [d for _, d in sorted(order)] == sorted(d for _, d in order)
+        out = shared_dir(spark, "orc-hot")
+        token_orc.token_files(docs, BPE, out)
+        got = sorted((r["start"], r["n_tokens"], -1 if r["doc_id"] is None else r["doc_id"]) for r in token_orc.read_index(spark, out).collect())
+        assert len(got) == len(rows) and [d for *_, d in got] == sorted(d for *_, d in got)
+        assert all(a[0] + a[1] == b[0] for a, b in zip(got, got[1:]))
+    finally:
+        token_orc.ROWS_PER_FILE = before
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 # ---- 8
 
 M64 = (1 << 64) - 1
