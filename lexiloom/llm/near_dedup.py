@@ -279,32 +279,27 @@ def linked_roots(i: np.ndarray, j: np.ndarray, matches: np.ndarray, root: np.nda
 
     The best pair of every two components is looked at first.
     """
-    parent = {int(r): int(r) for r in np.unique(root)}
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+    names, number = np.unique(root, return_inverse=True)
+    label = np.arange(len(names))  # of each component: what it is linked with so far
+    low, high = np.minimum(number[i], number[j]), np.maximum(number[i], number[j])
     order = np.lexsort((-matches, high, low))
     best = np.zeros(len(i), bool)
-    best[order[np.concatenate([[True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])])] if len(order) else order] = True
-    queue = np.concatenate([np.flatnonzero(best), np.flatnonzero(~best)[np.argsort(-matches[~best], kind="stable")]])
+    best[_first_of_each(order, low * len(names) + high)] = True
+    rest = np.flatnonzero(~best)
+    queue = np.concatenate([np.flatnonzero(best), rest[np.argsort(-matches[rest], kind="stable")]])
     links = []
     while len(queue):
-        top = {r: find(r) for r in parent}
-        queue = queue[np.fromiter((top[a] != top[b] for a, b in zip(low[queue].tolist(), high[queue].tolist())), bool, len(queue))]
+        queue = queue[label[low[queue]] != label[high[queue]]]
         take, queue = queue[:PAIRS_AT_ONCE], queue[PAIRS_AT_ONCE:]
         take = take[np.argsort(i[take], kind="stable")]
         if not len(take):
             break
         common = sets.common(i[take], j[take])
-        for a, b in zip(*(x[take[100 * common >= percent * (sets.size[i[take]] + sets.size[j[take]] - common)]].tolist() for x in (low, high))):
-            if find(a) != find(b):
-                parent[find(b)] = find(a)
-                links.append((a, b))
+        good = take[100 * common >= percent * (sets.size[i[take]] + sets.size[j[take]] - common)]
+        for a, b in zip(low[good].tolist(), high[good].tolist()):
+            if label[a] != label[b]:
+                label[label == label[b]] = label[a]
+                links.append((int(names[a]), int(names[b])))
     return links
 
 

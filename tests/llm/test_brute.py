@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from conftest import SMALL
-from lexiloom.llm import language_id, mixing, piece_dropout, token_orc
+from lexiloom.llm import language_id, mixing, near_dedup, piece_dropout, token_orc
 from lexiloom.llm.common import shared_dir
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,6 +55,34 @@ def test_language_sample_is_bounded_under_repeats(spark):
     assert classes == ["en", "fr"] and len(x) < 300 and len(x) == len(y)
 
 
+# ---- 2
+
+
+def test_links_of_a_block_by_plain_sets():
+    """The links connect what the plain check of all pairs connects, and no more of them come out than components go."""
+    rng = random.Random(5)
+    for _ in range(30):
+        n, percent = rng.randint(2, 40), 60
+        sets = [sorted(rng.sample(range(30), rng.randint(1, 14))) for _ in range(n)]
+        sets += [sorted(set(s[:-1]) or set(s)) for s in sets[: n // 2]]
+        root = np.array([rng.randrange(1, 12) * 100 for _ in sets])
+        pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if root[i] != root[j]]
+        rng.shuffle(pairs)
+        i, j = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+        held = near_dedup.Sets([np.array(s, np.uint64).tobytes() for s in sets])
+        got = near_dedup.linked_roots(i, j, np.array([rng.randrange(9) for _ in pairs], np.int64), root, held, percent) if pairs else []
+
+        def closed(links):
+            name = {int(r): int(r) for r in root}
+            for a, b in links:
+                old, new = name[a], name[b]
+                name = {k: new if v == old else v for k, v in name.items()}
+            return {frozenset(k for k in name if name[k] == v) for v in name.values()}
+
+        want = [(int(root[a]), int(root[b])) for a, b in pairs if 100 * len(set(sets[a]) & set(sets[b])) >= percent * len(set(sets[a]) | set(sets[b]))]
+        assert closed(got) == closed(want) and len(got) == len(set(root.tolist())) - len(closed(want))
+
+
 # ---- 4
 
 
