@@ -59,6 +59,8 @@ class Document:
     paras: list[str]
     sents: list[list[str]]
     images: list[tuple[str, str]] = field(default_factory=list)
+    #: Markdown of paragraphs; prompts show it where every paragraph of a call has it.
+    md: list[str | None] = field(default_factory=list)
 
 
 @dataclass
@@ -140,9 +142,12 @@ class Run:
             if images:
                 params |= {"add_references": False}
             paras, sents = [self.doc.paras[i] for i in places], [self.doc.sents[i] if self.doc.sents else [] for i in places]
-            whole = self.doc.text if kind == "concept" and where is None and not params["add_references"] and len(chunks) == 1 and not images else None
+            md = [self.doc.md[i] for i in places] if self.doc.md else []
+            shown = md if md and all(md) else paras
+            text = "\n\n".join(md) if md and shown is md else self.doc.text
+            whole = text if kind == "concept" and where is None and not params["add_references"] and len(chunks) == 1 and not images else None
             numbered = kind == "aspect" or params["add_references"]
-            prompt = self.render(kind, left, params, paras, sents, numbered, whole) if self.keep_prompts or getattr(backend, "needs_prompt", True) else ""
+            prompt = self.render(kind, left, params, shown, sents, numbered, whole) if self.keep_prompts or getattr(backend, "needs_prompt", True) else ""
             reply = self._call(prompt, {"kind": kind, "specs": left, "paras": paras, "sents": sents, "params": params, "images": images, "text_chunk": number}, model, backend, attempt)
             read = envelope.aspect_items if kind == "aspect" else envelope.concept_items
             try:

@@ -88,8 +88,9 @@ def extract(
     """Run a pipeline on every document.
 
     ``what``: all, aspects or concepts. ``backends``: role -> backend or (backend,
-    fallback's backend). ``docs`` may have images (array<struct<mime,data>>).
-    Null text has no paragraphs. A document without a valid reply is a row of
+    fallback's backend). ``docs`` may have images (array<struct<mime,data>>), paras
+    (array<string>: the document is given as paragraphs, its text is not split) and with
+    these md_paras (their Markdown, for prompts). Null text has no paragraphs. A document without a valid reply is a row of
     ``errors``; with ``raise_errors`` it ends the job. ``split`` cuts a paragraph
     into sentences (a Column to an array of strings). With ``throttle`` all tasks
     together keep each model's rate.
@@ -99,8 +100,11 @@ def extract(
     need(len(by_role) == len(models), "models have different roles")
     pairs = {r: b if isinstance(b, tuple) else (b, None) for r, b in backends.items()}
     runtime.prepare(docs.sparkSession)
-    paras = F.coalesce(T.paragraphs(F.col(text)), F.array().cast("array<string>"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), paras.alias("paras"), *(["images"] if "images" in docs.columns else []))
+    given = "paras" in docs.columns
+    paras = F.coalesce(F.col("paras") if given else T.paragraphs(F.col(text)), F.array().cast("array<string>"))
+    whole = F.coalesce(F.col(text), F.array_join("paras", "\n\n") if given else F.lit(""), F.lit(""))
+    more = [c for c in ("images", *(["md_paras"] if given else [])) if c in docs.columns]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("text"), paras.alias("paras"), *more)
     sents = (split.of_array(F.col("paras")) if hasattr(split, "of_array") else F.transform("paras", split)) if pipeline.needs_sentences else F.array().cast("array<array<string>>")
     rows = rows.withColumn("sents", sents)
     schema = to_arrow_schema(StructType.fromDDL(RESULT))
@@ -112,7 +116,7 @@ def extract(
             out = []
             for row in batch.to_pylist():
                 images = [(i["mime"], i["data"]) for i in row.get("images") or []]
-                doc = engine.Document(row["doc_id"], row["text"], row["paras"], row["sents"], images)
+                doc = engine.Document(row["doc_id"], row["text"], row["paras"], row["sents"], images, row.get("md_paras") or [])
                 run = engine.Run(doc, by_role, pairs, settings, limiter, keep_prompts)
                 found = run.all(pipeline) if what == "all" else run.aspects(pipeline.aspects) if what == "aspects" else run.concepts(pipeline.concepts)
                 if not keep_prompts:

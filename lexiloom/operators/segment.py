@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,12 +49,10 @@ def trained_splitter(make):
                 raise ValueError("the segmenter gave a sentence that its paragraph does not hold")
         return out
 
-    def one(paras):
-        return type(paras)(cut(list(paras)))
-
-    def many(rows):
-        import pandas as pd
+    def one(paras: pd.Series) -> pd.Series:
+        return pd.Series(cut(list(paras)))
 
+    def many(rows: pd.Series) -> pd.Series:
         flat = cut([p for row in rows for p in row])
         ends = pd.Series([len(row) for row in rows], dtype="int64").cumsum().tolist()
         return pd.Series([flat[e - len(row) : e] for e, row in zip(ends, rows)])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,6 +104,22 @@ def docx_documents(spark, sf_dir) -> DataFrame:
     return found.select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), F.md5("raw_text").alias("text_md5"), F.md5("md_text").alias("md_md5"), F.size("paras").cast("long").alias("n_paras"), F.size("images").cast("long").alias("n_images"))
 
 
+def _from_word(spark, sf_dir, options: docx.Options) -> DataFrame:
+    found = docx.documents(word_files(spark, sf_dir), options)
+    return found.select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), F.col("raw_text").alias("text"), "paras", "md_paras")
+
+
+def word_items(spark, sf_dir) -> DataFrame:
+    """An aspect's items from Word files, by their paragraphs."""
+    items = _items(_from_word(spark, sf_dir, docx.Options()), (LICENCE,), paragraphs_per_call=CHUNK)
+    return items.select("doc_id", F.col("ref_paras")[0].cast("long").alias("para_idx"), F.col("v_str").alias("value"))
+
+
+def word_prompts(spark, sf_dir) -> DataFrame:
+    """Prompts over Word files show their Markdown."""
+    return prompts_of(_ledger(spark, sf_dir, (LICENCE,), frame=_from_word(spark, sf_dir, docx.Options(tables=False)), paragraphs_per_call=CHUNK))
+
+
 def docx_whole_texts(spark, sf_dir) -> DataFrame:
     """Plain text of the rows of a file, joined; and without tables, notes, headers and the like, by options."""
     rows = docx.converted(word_files(spark, sf_dir))
@@ -147,11 +165,7 @@ def prompt_messages(spark, sf_dir) -> DataFrame:
     runtime.prepare(spark)
 
     @F.pandas_udf("struct<system:string,roles:string,user_md5:string>")
-    def made(text, lang):
-        import hashlib
-
-        import pandas as pd
-
+    def made(text: pd.Series, lang: pd.Series) -> pd.DataFrame:
         out = []
         for t, where in zip(text, lang):
             spec = S.StringConcept("Theme", "What it is about")
@@ -282,6 +296,8 @@ QUERIES = {
     "docx_documents": docx_documents,
     "docx_whole_texts": docx_whole_texts,
     "docx_list_formats": docx_list_formats,
+    "word_items": word_items,
+    "word_prompts": word_prompts,
     "markdown_plain": markdown_plain,
     "prompt_aspects": lambda s, d: prompts_of(_ledger(s, d, (LICENCE, DIGITS), paragraphs_per_call=CHUNK).where("prompt LIKE '%A1: Digits%'")),
     "prompt_aspect_sentences": lambda s, d: prompts_of(_ledger(s, d, (CONTACT,), paragraphs_per_call=CHUNK)),
@@ -344,6 +360,13 @@ UNION ALL SELECT doc_id, 1, 'Document ' || doc_id, '# Document ' || doc_id, 'Sty
     "docx_images": "SELECT doc_id, unnest([0, 1])::BIGINT AS img_idx, unnest(['image/png', 'image/jpeg']) AS mime_type, unnest(['p' || (doc_id % 7), lang]) AS content FROM documents",
     "docx_documents": _sql(_WORD + _WHOLE.format(md=_MD) + f" SELECT doc_id, md5({_TEXT}) AS text_md5, md5({_MDTEXT}) AS md_md5, 13 + n AS n_paras, 2::BIGINT AS n_images FROM w"),
     "docx_whole_texts": _sql(_WORD + _WHOLE.format(md=_MD) + f" SELECT doc_id, md5({_TEXT}) AS text_md5, md5({_BARE}) AS bare_md5 FROM w"),
+    "word_items": _sql("SELECT doc_id, para_idx + 2 AS para_idx, raw_text AS value FROM paras WHERE regexp_matches(raw_text, '(?i)licen[cs]e')"),
+    "word_prompts": _sql(
+        _WORD + f""", n AS (SELECT d.doc_id, count(f.i) AS n, any_value(source) AS source, any_value(lang) AS lang, any_value(n_chars) AS n_chars FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id),
+r AS (SELECT doc_id, 0 AS idx, '**Header**: Source: ' || source AS t FROM documents UNION ALL SELECT doc_id, 1, '# Document ' || doc_id FROM documents UNION ALL SELECT doc_id, para_idx, {_MD} FROM f
+  UNION ALL SELECT doc_id, n + 2 + unnest(range(0, 7)), unnest(['Length[Footnote 1]', 'Boxed ' || doc_id, 'Page', 'Remark[Comment 1]', '**Footnote 1**: ' || n_chars || ' characters', '**Comment 1 (by ' || source || ')**: Checked in ' || lang, '**Footer**: End of ' || doc_id]) FROM n),
+c AS (SELECT doc_id, idx // 10 AS chunk, idx % 10 AS pos, {_CLEAN.format("t")} AS t FROM r)""" + _prompts_sql(_prompt(_ASPECTS, ["A0: Licence - Licensing terms"], _BODY, '[{"aspect_id": "A0", "paragraph_ids": ["P0"]}]'))
+    ),
     "docx_list_formats": "SELECT n_name AS name, CASE WHEN n_nationkey % 18 < 16 THEN 'Numbered' ELSE 'Bullet' END AS list_type, CASE WHEN n_nationkey % 18 < 16 THEN '1.' ELSE '-' END AS mark FROM nation",
     "markdown_plain": "SELECT p_partkey, p_name || ' ' || p_brand || ' ' || p_type || ' ' || p_size AS plain FROM part",
     "prompt_aspects": _sql(_CHUNKS + _prompts_sql(_prompt(_ASPECTS, ["A0: Licence - Licensing terms", "A1: Digits - Text with figures"], _BODY, '[{"aspect_id": "A0", "paragraph_ids": ["P0"]}]'))),

@@ -454,10 +454,10 @@ def pictures(files: DataFrame) -> DataFrame:
 
 
 def documents(files: DataFrame, options: Options | None = None) -> DataFrame:
-    """One document a file (path, content): (path, raw_text, md_text, paras, images, error), ready for extraction."""
+    """One document a file (path, content): (path, raw_text, md_text, paras, md_paras, images, error), ready for extraction."""
     runtime.prepare(files.sparkSession)
     options = options or Options()
-    ddl = "path string, raw_text string, md_text string, paras array<string>, images array<struct<mime:string,data:string>>, error string"
+    ddl = "path string, raw_text string, md_text string, paras array<string>, md_paras array<string>, images array<struct<mime:string,data:string>>, error string"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def work(batches):
@@ -474,7 +474,7 @@ def documents(files: DataFrame, options: Options | None = None) -> DataFrame:
                     out.append({"path": row["path"], "error": f"{type(e).__name__}: {e}"})
                     continue
                 join = lambda texts: "\n\n".join(t for t in texts if t)
-                out.append({"path": row["path"], "raw_text": join(p.text for p in found), "md_text": join(p.md for p in found), "paras": [p.text for p in found], "images": pictures})
+                out.append({"path": row["path"], "raw_text": join(p.text for p in found), "md_text": join(p.md for p in found), "paras": [p.text for p in found], "md_paras": [p.md or None for p in found], "images": pictures})
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 

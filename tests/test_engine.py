@@ -555,3 +555,17 @@ def test_templates():
     assert run.calls[1]["prompt"].startswith('Answer as [{"concept_id"') and "C0 n: d\n[0] x3\n[1] para 4 x4\n[2] para 5 x5\n" in run.calls[1]["prompt"]
     with pytest.raises(templates.TemplateError):
         prompts.renderer("{% if a %}")
+
+
+def test_markdown_is_shown_where_all_paragraphs_have_it(spark):
+    doc = engine.Document(1, "a\n\nb\n\nc", ["a", "b", "c"], [[], [], []], md=["# a", "**b**", None])
+    run = run_of(engine.Settings(paragraphs_per_call=2), doc=doc)
+    run.extract("aspect", [S.Aspect("A", "a", rule="[abc]")])
+    assert "P0: # a" in run.calls[0]["prompt"] and "P1: **b**" in run.calls[0]["prompt"] and "P0: c" in run.calls[1]["prompt"]
+    whole = engine.Document(1, "a\n\nb", ["a", "b"], [[], []], md=["# a", "**b**"])
+    run = run_of(engine.Settings(), doc=whole)
+    found = run.extract("concept", [S.StringConcept("C", "c", rule="[ab]")])["C"]
+    assert "# a\n\n**b**" in run.calls[0]["prompt"] and [i["value"] for i in found.items] == ["a", "b"]
+    docs = spark.createDataFrame([(1, None, ["x @", "line one\nline two @"], ["**x** @", "y @"]), (2, None, None, None)], "doc_id long, text string, paras array<string>, md_paras array<string>")
+    got = extract.extract(docs, S.Pipeline((S.Aspect("A", "a", rule="@"),)), [S.Model("r/x")], {"extractor_text": backends.RuleBackend()})
+    assert sorted(r["v_str"] for r in got.items.collect()) == ["line one\nline two @", "x @"] and "P0: **x** @" in got.ledger.first()["prompt"]
