@@ -118,7 +118,7 @@ def parse_validity(spark, sf_dir) -> DataFrame:
     )
     v = T.parsed_json(T.without_thinking(F.col("reply")))
     got = docs(spark, sf_dir).select("doc_id", reply.alias("reply")).select("doc_id", v.alias("v"))
-    return got.select("doc_id", F.col("v").isNotNull().alias("valid"), F.md5(F.try_variant_get("v", "$[0].extracted_items[0]", "string")).alias("value_md5"))
+    return got.select("doc_id", F.col("v").isNotNull().alias("valid"), F.coalesce(F.md5(F.try_variant_get("v", "$[0].extracted_items[0]", "string")), F.lit("")).alias("value_md5"))
 
 
 def structural_ids(spark, sf_dir) -> DataFrame:
@@ -415,7 +415,7 @@ SQL = {
 ) SELECT owner, count(*) AS n_items, count(DISTINCT doc_id) AS n_docs, sum(length(v)) AS n_chars FROM i GROUP BY owner""".replace("SELECT DISTINCT doc_id, 'concept:Has secret'", "SELECT doc_id, 'concept:Has secret'"),
         True,
     ),
-    "parse_envelope_validity": "SELECT doc_id, length(text) % 6 < 3 AS valid, CASE WHEN length(text) % 6 < 3 THEN md5(text) END AS value_md5 FROM documents",
+    "parse_envelope_validity": "SELECT doc_id, length(text) % 6 < 3 AS valid, CASE WHEN length(text) % 6 < 3 THEN md5(text) ELSE '' END AS value_md5 FROM documents",
     "structural_id_parse": _sql("SELECT doc_id, para_idx, para_idx AS para, sent_idx AS sent, NULL::BIGINT AS wrong, length(raw_text) AS concept FROM sents", True),
     "usage_of_calls": _sql(
         ", c AS (SELECT doc_id, para_idx // 10 AS chunk, para_idx % 10 AS pos, regexp_replace(regexp_replace(regexp_replace(raw_text, '@CTL', '', 'g'), '@WS+', ' ', 'g'), '^@WS+|@WS+$', '', 'g') AS t FROM paras), "

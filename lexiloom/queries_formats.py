@@ -66,7 +66,7 @@ def _word_rows(spark, sf_dir, options: docx.Options | None = None) -> DataFrame:
 def docx_paragraphs(spark, sf_dir) -> DataFrame:
     """The documents' own paragraphs, with headings, lists, marks and links as Markdown and as context."""
     rows = _word_rows(spark, sf_dir).where("kind = 'body' AND para_idx > 0 AND raw_text NOT IN ('Page') AND NOT raw_text RLIKE '^(Length\\\\[Footnote 1\\\\]|Remark\\\\[Comment 1\\\\]|Boxed [0-9]+)$'")
-    return rows.select("doc_id", "para_idx", "raw_text", "md_text", "context", T.metadata_field(F.col("context"), "List ID").alias("list_id"))
+    return rows.select("doc_id", "para_idx", "raw_text", "md_text", "context", F.coalesce(T.metadata_field(F.col("context"), "List ID"), F.lit("")).alias("list_id"))
 
 
 def docx_marks(spark, sf_dir) -> DataFrame:
@@ -282,7 +282,7 @@ def image_types(spark, sf_dir) -> DataFrame:
     """Types of pictures by file name and by content (null where the content is none)."""
     name = F.concat(F.lit("f"), F.col("page_id").cast("string"), F.element_at(F.array(*map(F.lit, (".jpg", ".JPEG", ".webp", ".png", ".bin"))), (F.length("html") % 5 + 1).cast("int")))
     rows = runtime.table(spark, sf_dir, "pages").select("page_id", name.alias("name"), F.encode("html", "utf-8").alias("content"))
-    return rows.select("page_id", images.mime_of_name(F.col("name")).alias("by_name"), images.mime_of(F.col("content")).alias("by_content"))
+    return rows.select("page_id", images.mime_of_name(F.col("name")).alias("by_name"), images.mime_of(F.col("content")).isNull().alias("no_picture"))
 
 
 QUERIES = {
@@ -346,8 +346,8 @@ def _prompts_sql(expression: str, source: str = "c") -> str:
 SQL = {
     "docx_paragraphs": _sql(
         _WORD + f""" SELECT doc_id, para_idx, raw_text, {_MD} AS md_text, 'Style: Normal' || CASE k WHEN 3 THEN ', List Type: Numbered, List Level: 0, List Format: Decimal, List ID: 1' WHEN 4 THEN ', List Type: Numbered, List Level: 1, List Format: LowerLetter, List ID: 1'
-  WHEN 5 THEN ', List Type: Bullet, List Level: 0, List Format: Bullet, List ID: 2' WHEN 7 THEN ', Link URL: https://example.org/' || doc_id || '/' || i ELSE '' END AS context, CASE k WHEN 3 THEN '1' WHEN 4 THEN '1' WHEN 5 THEN '2' END AS list_id FROM f
-UNION ALL SELECT doc_id, 1, 'Document ' || doc_id, '# Document ' || doc_id, 'Style: Heading 1', NULL FROM documents"""
+  WHEN 5 THEN ', List Type: Bullet, List Level: 0, List Format: Bullet, List ID: 2' WHEN 7 THEN ', Link URL: https://example.org/' || doc_id || '/' || i ELSE '' END AS context, CASE k WHEN 3 THEN '1' WHEN 4 THEN '1' WHEN 5 THEN '2' ELSE '' END AS list_id FROM f
+UNION ALL SELECT doc_id, 1, 'Document ' || doc_id, '# Document ' || doc_id, 'Style: Heading 1', '' FROM documents"""
     ),
     "docx_tables": f"""SELECT doc_id, unnest(['doc_id', 'lang', doc_id::VARCHAR, lang]) AS raw_text, unnest([{_TABLE}, '', '', '']) AS md_text,
   unnest(['Style: Normal, Table ID: 1, Row: 1, Column: 1, Table Cell', 'Style: Normal, Table ID: 1, Row: 1, Column: 2, Table Cell', 'Style: Normal, Table ID: 1, Row: 2, Column: 1, Table Cell', 'Style: Normal, Table ID: 1, Row: 2, Column: 2, Table Cell']) AS context FROM documents""",
@@ -399,6 +399,6 @@ SELECT p_partkey, md5('{' || chr(10) || '  "size": int,' || chr(10) || '  "kind"
   '{size: int, kind: optional[literal[' || m || ']], inner: {notes: list[str], count: dict[str, float]}, rows: list_instance[{ok: optional[bool]}]}' AS expression, true AS same FROM l""",
     "judge_blocks": _sql(", i AS (SELECT doc_id, raw_text, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx) AS n FROM paras WHERE regexp_matches(raw_text, '(?i)licen[cs]e')) SELECT d.doc_id, md5(coalesce(string_agg(i.n || '. ' || i.raw_text, chr(10) ORDER BY i.n), 'No items extracted')) AS block_md5 FROM documents d LEFT JOIN i USING (doc_id) GROUP BY d.doc_id"),
     "image_rules": "SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, base64(encode('p' || (length(html) % 5))) AS base64, count(*) AS n FROM pages GROUP BY 1, 2 HAVING count(*) > 1",
-    "image_types": "SELECT page_id, CASE length(html) % 5 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/webp' ELSE 'image/png' END AS by_name, NULL::VARCHAR AS by_content FROM pages",
+    "image_types": "SELECT page_id, CASE length(html) % 5 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/webp' ELSE 'image/png' END AS by_name, true AS no_picture FROM pages",
 }
 

@@ -35,7 +35,7 @@ def document_pipelines(spark, sf_dir) -> DataFrame:
         try:
             pipeline = S.Pipeline(concepts=concepts)
         except S.SpecError:
-            return False, None, None, None, None, None, None, None
+            return False, 0, 0, 0, 0, 0, 0, False
         left = pipeline.without_concepts(*paras[:1])
         added = left.add_concepts(*concepts[:1])
         try:
@@ -61,7 +61,7 @@ def group_roles(spark, sf_dir) -> DataFrame:
         try:
             group = S.Group(models).with_language("adapt")
         except S.SpecError:
-            return False, None, None
+            return False, "", ""
         return True, group.by_role(S.ROLES[b]).model, ",".join(group.roles)
 
     rows = docs(spark, sf_dir).where("source IS NOT NULL").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
@@ -116,7 +116,7 @@ def props_valid(spark, sf_dir) -> DataFrame:
         value = json.loads(props)
         value = [value, {**value, "k": str(value["k"])}, {**value, "more": 1}, {}][n]
         why = Y.compile_structure({"k": int, "note": str | None})(value)
-        return why is None, why
+        return why is None, why or ""
 
     rows = runtime.table(spark, sf_dir, "events").select("event_id", checked("props", (F.col("event_id") % 4).cast("int")).alias("m"))
     return rows.select("event_id", "m.*")
@@ -285,7 +285,7 @@ def small_helpers(spark, sf_dir) -> DataFrame:
     first = F.get(F.filter("paras", lambda p: F.contains(p, F.lit("@"))), F.lit(0))
     held = F.map_concat(F.create_map(F.lit("lang"), F.coalesce("lang", F.lit("?"))), F.create_map(F.lit("chars"), F.length("text").cast("string")))
     wide = F.map_filter(held, lambda k, v: F.length(v) > 2)
-    return paras.select("doc_id", first.alias("first"), F.coalesce(F.try_element_at(held, F.lit("source")), F.lit("none")).alias("source"), F.array_join(F.array_sort(F.map_keys(wide)), ",").alias("wide"), (F.length("text").cast("decimal(20,3)") / 8).cast("double").alias("eighth"))
+    return paras.select("doc_id", F.coalesce(first, F.lit("")).alias("first"), F.coalesce(F.try_element_at(held, F.lit("source")), F.lit("none")).alias("source"), F.array_join(F.array_sort(F.map_keys(wide)), ",").alias("wide"), (F.length("text").cast("decimal(20,3)") / 8).cast("double").alias("eighth"))
 
 
 def times(spark, sf_dir) -> DataFrame:
@@ -298,7 +298,7 @@ def times(spark, sf_dir) -> DataFrame:
 
 def days(spark, sf_dir) -> DataFrame:
     o = runtime.table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", T.strict_date(F.date_format("o_orderdate", "d-M-yyyy")).alias("day"), T.strict_date(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("wrong"), F.date_format(T.strict_date(F.date_format("o_orderdate", "dd-MM-yyyy")), "yyyy-MM-dd").alias("iso"))
+    return o.select("o_orderkey", T.strict_date(F.date_format("o_orderdate", "d-M-yyyy")).alias("day"), T.strict_date(F.date_format("o_orderdate", "yyyy-MM-dd")).isNull().alias("refused"), F.date_format(T.strict_date(F.date_format("o_orderdate", "dd-MM-yyyy")), "yyyy-MM-dd").alias("iso"))
 
 
 def priced_from_table(spark, sf_dir) -> DataFrame:
@@ -427,14 +427,14 @@ SQL = {
     "document_pipelines": _sql(
         """, k AS (SELECT doc_id, count(*) AS n, count(DISTINCT lower(raw_text)) = count(*) AS valid, max(para_idx) AS last FROM paras GROUP BY doc_id),
 s AS (SELECT doc_id, sum(length(raw_text)) FILTER (para_idx >= last - 1) AS chars FROM paras JOIN k USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, valid, CASE WHEN valid THEN n END AS n_all, CASE WHEN valid THEN n - 1 END AS n_left, CASE WHEN valid THEN 0 END AS n_cleared, CASE WHEN valid THEN n END AS n_added, CASE WHEN valid THEN chars END::BIGINT AS n_chars,
-  CASE WHEN valid THEN 1 END AS n_roles, CASE WHEN valid THEN false END AS found FROM k JOIN s USING (doc_id)"""
+SELECT doc_id, valid, CASE WHEN valid THEN n ELSE 0 END AS n_all, CASE WHEN valid THEN n - 1 ELSE 0 END AS n_left, 0::BIGINT AS n_cleared, CASE WHEN valid THEN n ELSE 0 END AS n_added, CASE WHEN valid THEN chars ELSE 0 END::BIGINT AS n_chars,
+  CASE WHEN valid THEN 1 ELSE 0 END::BIGINT AS n_roles, false AS found FROM k JOIN s USING (doc_id)"""
     ),
     "group_roles": f"""WITH s AS (SELECT source, length(source) % 6 + 1 AS a, count(*) % 6 + 1 AS b FROM documents WHERE source IS NOT NULL GROUP BY source)
-SELECT source, a <> b AS valid, CASE WHEN a <> b THEN 'two/' || source END AS model, CASE WHEN a <> b THEN ({_ROLES})[a] || ',' || ({_ROLES})[b] END AS roles FROM s""",
+SELECT source, a <> b AS valid, CASE WHEN a <> b THEN 'two/' || source ELSE '' END AS model, CASE WHEN a <> b THEN ({_ROLES})[a] || ',' || ({_ROLES})[b] ELSE '' END AS roles FROM s""",
     "nesting_rules": """SELECT 'n' || n_nationkey AS aspect_id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 = 0 AND lower(r_name) = 'asia' UNION ALL SELECT 'c' || c_custkey FROM customer""",
     "specs_as_json": """SELECT n_nationkey, 'Pipeline' AS class, n_name AS aspect, 'ä nation' AS description, n_name || ' north' AS sub_aspect, '{area: float, names: list[str]}' AS structure, CAST(n_regionkey + 1 AS BIGINT) AS best, true AS plain_letters, true AS same, true AS refused FROM nation""",
-    "props_valid": """SELECT event_id, event_id % 4 = 0 AS valid, CASE event_id % 4 WHEN 1 THEN '$.k: not int' WHEN 2 THEN '$: unknown [''more'']' WHEN 3 THEN '$.k: missing' END AS why FROM events""",
+    "props_valid": """SELECT event_id, event_id % 4 = 0 AS valid, CASE event_id % 4 WHEN 1 THEN '$.k: not int' WHEN 2 THEN '$: unknown [''more'']' WHEN 3 THEN '$.k: missing' ELSE '' END AS why FROM events""",
     "tool_calls": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'error' ELSE o_orderkey || ':' || o_orderstatus || ':' || printf('%.2f', o_totalprice) END AS answer FROM orders",
     "tool_schemas": """SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS name, unnest(['{"type":"integer"}', '{"type":"integer"}', '{"anyOf":[{"type":"string"},{"type":"null"}]}', '{"type":"number"}', '{"items":{"type":"string"},"type":"array"}', '{"anyOf":[{"type":"string"},{"type":"null"}]}']) AS schema, 'key,status' AS required, 'which order' AS note, 'Buy something.' AS summary""",
     "docstrings": "SELECT p_partkey, 'Find ' || p_name || '.' AS summary, p_brand AS first, p_type AS second FROM part",
@@ -449,9 +449,9 @@ SELECT source, a <> b AS valid, CASE WHEN a <> b THEN 'two/' || source END AS mo
     "text_predicates": f"""SELECT doc_id, regexp_matches(text, '[\\r\\n]') AS linebreaks, regexp_matches(text, '(?s)\\{{\\{{.+?\\}}\\}}|\\{{%.+?%\\}}') AS has_tags, {_B} = '' AS brackets,
   CASE WHEN regexp_matches(text, '[\\[\\]{{}}<>]') THEN -1 ELSE CASE WHEN regexp_matches(text, '\\n\\n\\n') THEN 1 ELSE 0 END END::BIGINT AS linted FROM documents""",
     "page_tags": "SELECT page_id, true AS menu, false AS unclosed, false AS stray FROM pages",
-    "small_helpers": _sql("SELECT d.doc_id, (SELECT arg_min(p.raw_text, p.para_idx) FROM paras p WHERE p.doc_id = d.doc_id AND contains(p.raw_text, '@')) AS first, 'none' AS source, CASE WHEN length(text) >= 100 THEN 'chars' ELSE '' END AS wide, length(text) / 8.0 AS eighth FROM documents d"),
+    "small_helpers": _sql("SELECT d.doc_id, coalesce((SELECT arg_min(p.raw_text, p.para_idx) FROM paras p WHERE p.doc_id = d.doc_id AND contains(p.raw_text, '@')), '') AS first, 'none' AS source, CASE WHEN length(text) >= 100 THEN 'chars' ELSE '' END AS wide, length(text) / 8.0 AS eighth FROM documents d"),
     "times": "SELECT event_id, (epoch_us(ts) // 1000) AS millis, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(((epoch_us(ts) // 1000) % 1000)::VARCHAR, 3, '0') || 'Z' AS iso, true AS same, (((epoch_us(ts) // 1000) % 100000 + 5) // 10) / 100.0::DOUBLE AS seconds FROM events",
-    "days": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, NULL::DATE AS wrong, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders",
+    "days": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, true AS refused, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders",
     "priced_from_table": """WITH l AS (SELECT CAST(ceil(length(text) / 4.0) AS BIGINT) AS i FROM documents WHERE doc_id % 3 = 0)
 SELECT 'acme/small' AS model, round(CAST(sum(i) * 0.4::DECIMAL(12,6) AS DECIMAL(38,12)) / 1000000, 5)::DOUBLE AS cost_in, round(CAST(sum(CAST(floor(i / 7.0) AS BIGINT)) * 1.6::DECIMAL(12,6) AS DECIMAL(38,12)) / 1000000, 5)::DOUBLE AS cost_out FROM l""",
     "usage_after_reset": f"WITH {_LEDGER}, u AS (SELECT * FROM t UNION ALL SELECT * FROM t WHERE llm_role <> 'extractor_text') SELECT model, llm_role, is_fallback, count(*) AS calls, sum(in_tokens) AS in_tokens, sum(out_tokens) AS out_tokens FROM u GROUP BY ALL",
