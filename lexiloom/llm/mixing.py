@@ -52,6 +52,11 @@ def words_of(text: Column) -> Column:
     return (F.length(squeezed) - F.length(F.translate(squeezed, "\x01", ""))).cast("long")
 
 
+def source_key(source: Column) -> Column:
+    """A key that is never null and sorts as sources do: by code point, the null source last."""
+    return F.coalesce(F.concat(F.lit("0"), source), F.lit("1"))
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, ramps=RAMPS, budget: float = BUDGET, cap: int = CAP) -> DataFrame:
     """One row per source: (__source, source_size, target, ramp).
 
@@ -59,9 +64,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, ramps=RAMPS, budget: float
     is the first ``(budget - caps before) / (weights from here)`` that the
     source's own cap does not undercut, which is also the largest such one;
     ``target = least(cap, level * weight)``.
-    ``sizes`` has one row per source, a dimension table.
+    ``sizes`` has one row per source (by ``source_key``), a dimension table.
     """
-    order = Window.orderBy(F.col("__source").asc_nulls_last())
+    order = Window.orderBy("__source")
     pick = lambda values: F.element_at(F.array(*[F.lit(float(v)) for v in values]), (F.col("__k") % len(values) + 1).cast("int"))
     caps = (
         sizes.withColumn("__k", F.row_number().over(order) - 1)
@@ -105,10 +110,12 @@ def placed(docs: DataFrame, *, weights=WEIGHTS, ramps=RAMPS, budget: float = BUD
     n_buckets = buckets_for(docs.count())
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sized = docs.select(
-        F.col("doc_id"), F.col("source").cast("string").alias("__source"), words_of(text).alias("size"),
+        F.col("doc_id"), source_key(F.col("source").cast("string")).alias("__source"), words_of(text).alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text))).alias("__key"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")] if carry else []),
-    ).withColumn("__bucket", F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * n_buckets / (1 << 32)))
+    )
+    # never null to the optimizer, which else would work out the key once more to filter by it
+    sized = sized.withColumn("__bucket", F.coalesce(F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * n_buckets / (1 << 32)), F.lit(0)))
     if not carry:
         sized = materialize(sized, "sizes")
     ties = [F.col(f"__row.`{c.name}`") for c in docs.schema.fields if c.dataType.simpleString() in SORTABLE and c.name != "text"] if carry else []
@@ -116,13 +123,12 @@ def placed(docs: DataFrame, *, weights=WEIGHTS, ramps=RAMPS, budget: float = BUD
     targets = source_targets(cells.groupBy("__source").agg(F.sum("__cell").alias("source_size")), weights, ramps, budget, cap)
     ahead = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn("__start", F.coalesce(F.sum("__cell").over(ahead), F.lit(0))).drop("__cell")
-    same = starts.alias("c").join(targets.alias("t"), F.expr("c.__source <=> t.__source")).select("c.*", "t.source_size", "t.target", "t.ramp")
+    same = starts.join(targets, "__source")
     inside = Window.partitionBy("__source", "__bucket").orderBy("__key", *ties).rowsBetween(Window.unboundedPreceding, -1)
-    found = (
+    found = (  # window and join go by the same keys, so rows are shuffled once for both
         sized.withColumn("__in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .alias("d")
-        .join(same.alias("c"), F.expr("d.__source <=> c.__source AND d.__bucket = c.__bucket"))
-        .select("d.doc_id", "d.size", "c.source_size", "c.target", "c.ramp", (F.col("__start") + F.col("__in")).alias("__at"), *(["d.__row"] if carry else []))
+        .join(same, ["__source", "__bucket"])
+        .select("doc_id", "size", "source_size", "target", "ramp", (F.col("__start") + F.col("__in")).alias("__at"), *(["__row"] if carry else []))
     )
     goal = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.expr("CAST(round(target) AS BIGINT) DIV source_size")).otherwise(F.lit(0))
