@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import structure as Y
 from lexiloom.functions import text as T
-from lexiloom.operators import chat, ledger, quality, runtime, score, segment
+from lexiloom.operators import chat, engine, extract, ledger, quality, runtime, score, segment
 from lexiloom.plans import prompts
 from lexiloom.plans import specs as S
-from lexiloom.queries import CONTACT, LICENCE, _document_ledger, _items, _plain, _sql, docs, long, lookup
+from lexiloom.queries import ADDRESS, AMOUNT, BACKENDS, CHUNK, CONTACT, HAS_SECRET, LICENCE, MODELS, _document_ledger, _items, _plain, _sql, docs, long, lookup
 from lexiloom.sources import serde
 from lexiloom.streaming import streams
 
@@ -104,6 +104,71 @@ def specs_as_json(spark, sf_dir) -> DataFrame:
     )
 
 
+def _refused(make) -> bool:
+    try:
+        make()
+    except (S.SpecError, Y.StructureError):
+        return True
+    return False
+
+
+def spec_rules(spark, sf_dir) -> DataFrame:
+    """For each source, specifications made of its numbers: which of them are refused."""
+    runtime.prepare(spark)
+
+    @F.udf("struct<aspect_role:boolean,vision_refs:boolean,scale:boolean,pricing:boolean,fallback:boolean,group:boolean,nested:boolean,example:boolean,deep:boolean>")
+    def made(source: str, a: int, b: int):
+        role, text = S.ROLES[a], S.StringConcept("c", "d", llm_role=S.ROLES[a])
+        model = lambda name, **more: S.Model(f"acme/{name}", **more)
+        nested = S.Aspect(source, "one", aspects=(S.Aspect("sub", "two"),))
+        return (
+            _refused(lambda: S.Aspect("a", "b", concepts=(text,))),
+            _refused(lambda: S.StringConcept("c", "d", llm_role=role, add_references=True)),
+            _refused(lambda: S.RatingConcept("r", "d", (a, b))),
+            _refused(lambda: S.Model(f"{'ollama' if b % 2 else 'acme'}/{source}", auto_pricing=a % 2 == 0, pricing=S.Pricing(1, 2) if a == 2 else None)),
+            _refused(lambda: model("x", role=role, fallback=model("y", role=S.ROLES[b], is_fallback=a != 3))),
+            _refused(lambda: S.Group((model("x", role=role), model("y", role=S.ROLES[b], output_language="adapt" if b == 1 else "en")))),
+            _refused(lambda: S.Aspect("top", "three", aspects=(nested if a % 2 else S.Aspect("TOP" if b % 2 else "low", "four"),))),
+            _refused(lambda: S.JsonObjectConcept("j", "d", {"size": int}, examples=({"size": a if b % 2 else source},))),
+            S.Pipeline(concepts=(S.StringConcept("c", "d", add_references=a % 2 == 0, reference_depth="sentences" if b % 2 else "paragraphs"),)).needs_sentences,
+        )
+
+    rows = docs(spark, sf_dir).where("source IS NOT NULL").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("source", made("source", (F.length("source") % 6).cast("int"), (F.col("n") % 6).cast("int")).alias("m")).select("source", "m.*")
+
+
+def templates_rendered(spark, sf_dir) -> DataFrame:
+    """A template with a loop and conditions, filled in for each language and its sources."""
+    runtime.prepare(spark)
+    text = "{# sources #}{{ lang }}:{% for s in sources %} {{ loop.index }}.{{ s.name }}{% if s.n == 1 %}!{% elif s.n != 2 and not loop.last %}+{% else %}-{% endif %}{% endfor %}"
+    filled = F.udf(lambda lang, rows: prompts.fill(text, {"lang": lang, "sources": [r.asDict() for r in rows]}), "string")
+    counts = docs(spark, sf_dir).where("source IS NOT NULL").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    held = counts.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct(F.col("source").alias("name"), "n"))).alias("rows"))
+    return held.select("lang", filled("lang", "rows").alias("filled"))
+
+
+def own_prompts(spark, sf_dir) -> DataFrame:
+    """Prompts by a template of the caller's own, ten paragraphs a call."""
+    text = "{{ shape }}|{% for s in specs %}{{ s.id }}={{ s.name }}{% endfor %}|{% for p in paragraphs %}{% if not loop.first %};{% endif %}{{ p.number }}:{{ p.text }}{% endfor %}"
+    got = extract.extract(docs(spark, sf_dir), S.Pipeline((LICENCE,)), MODELS, BACKENDS, engine.Settings(paragraphs_per_call=CHUNK, render=text))
+    return got.ledger.select("doc_id", long("call_idx"), F.md5("prompt").alias("prompt_md5"))
+
+
+def concurrent_calls(spark, sf_dir) -> DataFrame:
+    """Calls made at the same time: one for each concept and each ten paragraphs, in the order of a sequential run."""
+    got = extract.extract(docs(spark, sf_dir), S.Pipeline(concepts=(ADDRESS, HAS_SECRET, AMOUNT)), MODELS, BACKENDS, engine.Settings(paragraphs_per_call=CHUNK, concurrent=True), keep_prompts=False)
+    calls = got.ledger.groupBy("doc_id").agg(F.count(F.lit(1)).alias("calls"), F.max("call_idx").cast("long").alias("last"))
+    items = got.items.where("owner = 'concept:Amount'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_amounts"))
+    return calls.join(items, "doc_id", "left").na.fill(0, ["n_amounts"])
+
+
+def items_replaced(spark, sf_dir) -> DataFrame:
+    """Items of two aspects, those of one of them put in place of by a second run with another rule."""
+    first = _items(docs(spark, sf_dir), (LICENCE, CONTACT))
+    again = _items(docs(spark, sf_dir), (S.Aspect("Licence", "Licensing terms", rule="[0-9]"),))
+    return extract.replaced(first, again).groupBy("doc_id", "owner").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- structures and tools
 
 
@@ -387,6 +452,11 @@ QUERIES = {
     "group_roles": group_roles,
     "nesting_rules": nesting,
     "specs_as_json": specs_as_json,
+    "spec_rules": spec_rules,
+    "templates_rendered": templates_rendered,
+    "own_prompts": own_prompts,
+    "concurrent_calls": concurrent_calls,
+    "items_replaced": items_replaced,
     "props_valid": props_valid,
     "tool_calls": tool_calls,
     "tool_schemas": tool_schemas,
@@ -434,6 +504,16 @@ SELECT doc_id, valid, CASE WHEN valid THEN n ELSE 0 END AS n_all, CASE WHEN vali
 SELECT source, a <> b AS valid, CASE WHEN a <> b THEN 'two/' || source ELSE '' END AS model, CASE WHEN a <> b THEN ({_ROLES})[a] || ',' || ({_ROLES})[b] ELSE '' END AS roles FROM s""",
     "nesting_rules": """SELECT 'n' || n_nationkey AS aspect_id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 = 0 AND lower(r_name) = 'asia' UNION ALL SELECT 'c' || c_custkey FROM customer""",
     "specs_as_json": """SELECT n_nationkey, 'Pipeline' AS class, n_name AS aspect, 'ä nation' AS description, n_name || ' north' AS sub_aspect, '{area: float, names: list[str]}' AS structure, CAST(n_regionkey + 1 AS BIGINT) AS best, true AS plain_letters, true AS same, true AS refused FROM nation""",
+    "spec_rules": """WITH s AS (SELECT source, length(source) % 6 AS a, count(*) % 6 AS b FROM documents WHERE source IS NOT NULL GROUP BY source)
+SELECT source, a >= 2 AS aspect_role, a IN (2, 3) AS vision_refs, NOT (b > a) AS scale, (a = 2) OR (a % 2 = 0 AND b % 2 = 1) AS pricing, a <> b OR a = 3 AS fallback, a = b OR b = 1 AS "group", a % 2 = 1 OR b % 2 = 1 AS nested, b % 2 = 0 AS example, a % 2 = 0 AND b % 2 = 1 AS deep FROM s""",
+    "templates_rendered": """WITH c AS (SELECT lang, source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY source, n) AS i, count(*) OVER (PARTITION BY lang) AS k FROM c)
+SELECT lang, lang || ':' || string_agg(' ' || i || '.' || source || CASE WHEN n = 1 THEN '!' WHEN n <> 2 AND i < k THEN '+' ELSE '-' END, '' ORDER BY i) AS filled FROM r GROUP BY lang""",
+    "own_prompts": _sql(
+        ", c AS (SELECT doc_id, para_idx // 10 AS chunk, para_idx % 10 AS pos, regexp_replace(regexp_replace(regexp_replace(raw_text, '@CTL', '', 'g'), '@WS+', ' ', 'g'), '^@WS+|@WS+$', '', 'g') AS t FROM paras) "
+        """SELECT doc_id, chunk AS call_idx, md5('[{"aspect_id": "A0", "paragraph_ids": ["P0"]}]|A0=Licence|' || coalesce(string_agg(pos || ':' || t, ';' ORDER BY pos) FILTER (t <> ''), '')) AS prompt_md5 FROM c GROUP BY 1, 2"""
+    ),
+    "concurrent_calls": _sql(", n AS (SELECT doc_id, CAST(ceil(count(*) / 10.0) AS BIGINT) AS k, sum(len(regexp_extract_all(raw_text, '[0-9]{2,}')))::BIGINT AS n_amounts FROM paras GROUP BY doc_id) SELECT doc_id, 3 * k AS calls, 3 * k - 1 AS last, n_amounts FROM n"),
+    "items_replaced": _sql("SELECT doc_id, 'aspect:Licence' AS owner, count(*) AS n FROM paras WHERE regexp_matches(raw_text, '[0-9]') GROUP BY 1 UNION ALL SELECT doc_id, 'aspect:Contact', count(*) FROM sents WHERE contains(raw_text, '@') GROUP BY 1", True),
     "props_valid": """SELECT event_id, event_id % 4 = 0 AS valid, CASE event_id % 4 WHEN 1 THEN '$.k: not int' WHEN 2 THEN '$: unknown [''more'']' WHEN 3 THEN '$.k: missing' ELSE '' END AS why FROM events""",
     "tool_calls": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'error' ELSE o_orderkey || ':' || o_orderstatus || ':' || printf('%.2f', o_totalprice) END AS answer FROM orders",
     "tool_schemas": """SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS name, unnest(['{"type":"integer"}', '{"type":"integer"}', '{"anyOf":[{"type":"string"},{"type":"null"}]}', '{"type":"number"}', '{"items":{"type":"string"},"type":"array"}', '{"anyOf":[{"type":"string"},{"type":"null"}]}']) AS schema, 'key,status' AS required, 'which order' AS note, 'Buy something.' AS summary""",
