@@ -66,6 +66,8 @@ def spread_join(rows: DataFrame, one: DataFrame, key: str, total: int, how: str
     of ``rows`` where that is known.
     """
     most = max(ROWS_PER_KEY, total // 1000)
+    if total <= most:  # no key can have more
+        return rows.join(one, key, how)
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
     hot = F.broadcast(counts.where(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("__salts")))
     others = [F.col(f"`{c}`") for c in rows.columns if c != key] or [F.lit(0)]

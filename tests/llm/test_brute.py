@@ -11,7 +11,8 @@ import pytest
 import xxhash
 from conftest import SMALL
 from lexiloom.llm import language_id, mixing, near_dedup, piece_dropout, token_orc
-from lexiloom.llm.common import shared_dir
+from lexiloom.llm.common import Scratch, shared_dir
+from lexiloom.llm.components import components
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -83,6 +84,22 @@ def test_links_of_a_block_by_plain_sets():
         assert closed(got) == closed(want) and len(got) == len(set(root.tolist())) - len(closed(want))
 
 
+def test_components_of_chains_stars_and_loops(spark):
+    rng = random.Random(2)
+    links = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(300, 301), (301, 302), (302, 300), (5, 5)]
+    links += [(1000 + rng.randrange(80), 1000 + rng.randrange(80)) for _ in range(70)]
+    rng.shuffle(links)
+    root = {n: n for a, b in links if a != b for n in (a, b)}
+    for _ in range(100):
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    for held in (links, links[:1], [(9, 3)], [(4, 4)], []):
+        want = root if held is links else {n: min(x) for x in held if x[0] != x[1] for n in x}
+        got = components(spark.createDataFrame(held, "a long, b long"), Scratch(spark, "test")).collect()
+        assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
+
+
 # ---- 4
 
 
